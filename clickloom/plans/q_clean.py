@@ -168,7 +168,7 @@ cte("catalog_rows", """
 SELECT CAST(product_id AS VARCHAR) AS item_id, cat_l1 AS c1, cat_l2 AS c2, trim(lower(brand)) AS b,
        coalesce(round(avg_price, 2), 0.0) AS price, item_total_confidence AS interactions, product_id FROM itemf""")
 cte("catalog", f"""
-SELECT item_id, c1, c2, array_to_string(list_transform(string_split(b, ' '), w -> CASE
+SELECT item_id, c1, c2, array_to_string(list_transform(string_split(b, ' '), lambda w: CASE
          WHEN w IN ('lg','hp','aeg','tcl','bmw','kia','cpu','ssd','led','rgb','usb','hdmi','tv','jbl','msn') THEN upper(w)
          ELSE upper(w[1]) || w[2:] END), ' ') AS brand, price
 FROM catalog_rows WHERE product_id IN {PRESETS}

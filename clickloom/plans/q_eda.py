@@ -499,9 +499,9 @@ def _(t):
 
 
 @query("win_11_previous_in_session", """
-SELECT event_id, lag(product_id) OVER (PARTITION BY user_session ORDER BY event_time, event_id) AS previous_item FROM baskets""")
+SELECT event_id, lag(product_id) OVER (PARTITION BY user_session ORDER BY event_time, event_id, product_id) AS previous_item FROM baskets""")
 def _(t):
-    return scale.with_previous(t.baskets, ["user_session"], "event_time", ["event_id"], {"previous_item": "product_id"}).select("event_id", "previous_item")
+    return scale.with_previous(t.baskets, ["user_session"], "event_time", ["event_id", "product_id"], {"previous_item": "product_id"}).select("event_id", "previous_item")
 
 
 @query("win_12_last_n", """
@@ -517,11 +517,11 @@ def _(t):
 
 
 @query("win_15_next_item", """
-SELECT event_id, lead(product_id) OVER (PARTITION BY user_session ORDER BY event_time, event_id) AS next_item FROM baskets""")
+SELECT event_id, lead(product_id) OVER (PARTITION BY user_session ORDER BY event_time, event_id, product_id) AS next_item FROM baskets""")
 def _(t):
     # The next event is the previous one of the reversed order.
-    back = t.baskets.withColumns({"_back": F.timestamp_micros(-F.unix_micros("event_time")), "_tie": -F.col("event_id")})
-    return scale.with_previous(back, ["user_session"], "_back", ["_tie"], {"next_item": "product_id"}).select("event_id", "next_item")
+    back = t.baskets.withColumns({"_back": F.timestamp_micros(-F.unix_micros("event_time")), "_tie": -F.col("event_id"), "_tie2": -F.col("product_id")})
+    return scale.with_previous(back, ["user_session"], "_back", ["_tie", "_tie2"], {"next_item": "product_id"}).select("event_id", "next_item")
 
 
 # --------------------------------------------------------------------------- sorts and top-k
@@ -632,7 +632,7 @@ def _(t):
 
 @query("scl_04_brand_title", """
 SELECT DISTINCT p_name AS raw, array_to_string(list_transform(string_split(CASE WHEN p_partkey % 3 = 0 THEN 'lg ' ELSE '' END || lower(p_name), ' '),
-  w -> CASE WHEN w IN ('lg', 'tv') THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') AS title FROM part""")
+  lambda w: CASE WHEN w IN ('lg', 'tv') THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ') AS title FROM part""")
 def _(t):
     part = t.spark.read.parquet(f"{t.sf_dir}/part.parquet")
     lead = F.when(F.col("p_partkey") % 3 == 0, "lg ").otherwise("")
@@ -700,7 +700,7 @@ def _(t):
 @query("scl_40_arrays", """
 SELECT user_idx, user_session, CAST(len(item_seq) AS INT) AS length, array_to_string(item_seq, ',') AS items, item_seq[-1] AS last_item,
        array_to_string(item_seq[:-2], ',') AS all_but_last, array_to_string(item_seq[-2:], ',') AS tail,
-       array_to_string(list_concat(list_transform(range(7 - len(item_seq)), x -> 0), item_seq), ',') AS padded,
+       array_to_string(list_concat(list_transform(range(7 - len(item_seq)), lambda x: 0), item_seq), ',') AS padded,
        CAST(len(list_distinct(item_seq)) AS INT) AS n_different FROM split_sessions WHERE split = 'train'""")
 def _(t):
     return t.sessions["train"].select(

@@ -66,8 +66,9 @@ def difference(df, con, sql: str) -> str | None:
         return f"columns {sorted(set(a_cols) ^ set(b_cols))}"
     if a == b:
         return None if a else "both empty"
-    left = [x for x in a if x not in set(b)][:2]
-    right = [x for x in b if x not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    left = [x for x in a if x not in in_b][:2]
+    right = [x for x in b if x not in in_a][:2]
     return f"rows {len(a)} vs {len(b)} cols={a_cols}\n   spark {left}\n   sql   {right}"
 
 
