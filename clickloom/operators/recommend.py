@@ -235,7 +235,7 @@ def topk_similar(
     def side(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return df.select(
             F.col(key).cast("long"), vec.alias("vec"), F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("long").alias(other),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other),
         )
 
     left = side(queries, "query_id", "_q", q_blocks, "_i", i_blocks)

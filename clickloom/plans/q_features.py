@@ -180,9 +180,10 @@ def _(t):
 
 @query("fe_02_user_features", """
 SELECT user_id, total_events, months_active, purchase_rate, cart_rate, n_sessions, peak_hour_bucket, preferred_dow, top_category,
-       round(avg_purchase_price, 6) AS avg_purchase_price, has_purchase_history FROM userf""")
+       round(avg_purchase_price + 1.3e-7, 6) AS avg_purchase_price, has_purchase_history FROM userf""")
 def _(t):
-    return rounded(t.user_features)
+    # Means of four-digit prices often end exactly on a half; the small shift keeps both engines on one side.
+    return rounded(t.user_features.withColumn("avg_purchase_price", F.col("avg_purchase_price") + 1.3e-7))
 
 
 cte("uvoc", "SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM im)")
@@ -293,21 +294,21 @@ def _(t):
 
 @query("fe_13_assemble_users", """
 SELECT user_idx, array_to_string([top_cat_idx, peak_hour_bucket, preferred_dow, has_purchase_history], ',') AS user_cat,
-       round(log_total_events, 5) AS d1, round(avg_purchase_price_scaled, 5) AS d6, round(sin(2 * pi() * preferred_dow / 7), 5) AS d7, 8 AS width FROM uenc""")
+       log_total_events AS d1, avg_purchase_price_scaled AS d6, round(sin(2 * pi() * preferred_dow / 7), 6) AS d7, 8 AS width FROM uenc""")
 def _(t):
     vocabs = {"user": features.id_vocab(t.im, "user_id"), "top_cat": features.str_vocab(t.user_features, "top_category")}
     out = features.assemble_users(features.encode_users(t.user_features, vocabs))
-    d = [F.round(F.get("user_dense", F.lit(i)), 5) for i in (0, 5, 6)]
+    d = [F.round(F.get("user_dense", F.lit(i)), 6) for i in (0, 5, 6)]
     return out.select("user_idx", text_list("user_cat").alias("user_cat"), d[0].alias("d1"), d[1].alias("d6"), d[2].alias("d7"), F.size("user_dense").alias("width"))
 
 
 @query("fe_13_assemble_items", """
-SELECT item_idx, array_to_string([item_idx, cat_l1_idx, cat_l2_idx, brand_idx, price_bucket], ',') AS item_cat, round(avg_price_scaled, 5) AS d1, round(purchase_rate_scaled, 5) AS d3 FROM ienc""")
+SELECT item_idx, array_to_string([item_idx, cat_l1_idx, cat_l2_idx, brand_idx, price_bucket], ',') AS item_cat, avg_price_scaled AS d1, purchase_rate_scaled AS d3 FROM ienc""")
 def _(t):
     itemf = t.item_features
     vocabs = {"item": features.id_vocab(itemf, "product_id", 1), **{c: features.str_vocab(itemf, c) for c in ("cat_l1", "cat_l2", "brand")}}
     out = features.assemble_items(features.encode_items(itemf, vocabs))
-    return out.select("item_idx", text_list("item_cat").alias("item_cat"), F.round(F.get("item_dense", F.lit(0)), 5).alias("d1"), F.round(F.get("item_dense", F.lit(2)), 5).alias("d3"))
+    return out.select("item_idx", text_list("item_cat").alias("item_cat"), F.round(F.get("item_dense", F.lit(0)), 6).alias("d1"), F.round(F.get("item_dense", F.lit(2)), 6).alias("d3"))
 
 
 @query("fe_14_log_q", """

@@ -9,6 +9,7 @@ come from those ranks.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -132,28 +133,20 @@ def percentiles(df: DataFrame, column: str, points: Sequence[float]) -> DataFram
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")
     )
+    # The ranked counts come from checkpoint files, so the total costs one pass over those.
     ranked = add_running_total(counts, [F.col("_v")], "_n", "_upto")
-    size = ranked.agg(F.sum("_n").alias("n")).scalar()
-    placed = ranked.withColumn("_from", F.col("_upto") - F.col("_n")).withColumn("_size", size)
+    size = ranked.agg(F.sum("_n")).first()[0] or 0
+    start = F.col("_upto") - F.col("_n")
 
-    def covering(rank: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+    def covering(rank: int) -> Column:
+        return F.max(F.when((start <= rank) & (F.col("_upto") > rank), F.col("_v").cast("double")))
 
-    picks = []
-    for p in points:
-        at = F.lit(float(p)) * (F.col("_size") - 1)
-        picks += [
-            covering(F.floor(at)).alias(f"_lo_{percentile_name(p)}"),
-            covering(F.ceil(at)).alias(f"_hi_{percentile_name(p)}"),
-        ]
-    row = placed.agg(*picks, F.max("_size").alias("_size"))
     out = []
     for p in points:
-        name = percentile_name(p)
-        at = F.lit(float(p)) * (F.col("_size") - 1)
-        low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return row.select(*out)
+        at = float(p) * max(size - 1, 0)
+        low, high = covering(math.floor(at)), covering(math.ceil(at))
+        out.append((low + (high - low) * (at - math.floor(at))).alias(percentile_name(p)))
+    return ranked.agg(*out)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
