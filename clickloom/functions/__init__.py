@@ -159,8 +159,9 @@ def norm(a: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """Vector scaled to length 1; a zero vector stays zero."""
-    length = F.when(norm(a) > 0, norm(a)).otherwise(F.lit(1.0))
-    return F.transform(col(a), lambda x: x.cast("double") / length)
+    length = F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))
+    # The length is spread over an array so that it is computed once per vector, not per element.
+    return F.zip_with(col(a), F.array_repeat(length, F.size(col(a))), lambda x, n: x.cast("double") / n)
 
 
 def text_list(arr: Column | str) -> Column:

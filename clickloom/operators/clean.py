@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom import scale
@@ -67,22 +67,36 @@ def exact_dedup(ev: DataFrame, keys: Sequence[str] = DUP_KEYS) -> DataFrame:
     return kept.select(*keys, "_row.*").select(*ev.columns)
 
 
+def _gaps(seconds: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
+    """Add the gap to the previous ``_second`` of the key, exact for gaps up to ``reach``.
+
+    The window runs inside (key, day). A second near the end of a day is also shown to the next day, so
+    gaps across midnight are seen and no key gathers in one task.
+    """
+    day = F.floor(F.col("_second") / scale.DAY)
+    late = F.pmod(F.col("_second"), F.lit(scale.DAY)) >= scale.DAY - reach
+    shown = seconds.withColumn("_day", day).withColumn(
+        "_shown", F.explode(F.when(late, F.array("_day", F.col("_day") + 1)).otherwise(F.array("_day")))
+    )
+    w = Window.partitionBy(*keys, "_shown").orderBy("_second")
+    marked = shown.withColumn("_gap", F.col("_second") - F.lag("_second").over(w))
+    return marked.where(F.col("_shown") == F.col("_day"))
+
+
 def near_dedup(
     ev: DataFrame, seconds: int = Config.near_dup_seconds, keys: Sequence[str] = NEAR_KEYS, tie: str = "event_id"
 ) -> DataFrame:
     """Drop a row whose whole-second gap to the previous row of its (user, item, type) is too small.
 
-    Rows of one second collapse to their first before the shuffle; the gaps are then taken between
-    the seconds of a key, in day slices, so the busiest key stays spread.
+    Rows of one second collapse to their first before the shuffle; what is left to compare are the
+    seconds of a key.
     """
     rest = [c for c in ev.columns if c not in keys]
     by_time = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(["event_time", *([tie] if tie in rest else [])])])
     packed = F.struct(by_time.alias("order"), F.struct(*rest).alias("row"))
     first = ev.groupBy(*keys, scale.epoch_seconds("event_time").alias("_second")).agg(F.min(packed).alias("_first"))
-    timed = first.withColumn("_time", F.timestamp_seconds("_second"))
-    marked = scale.with_previous(timed, list(keys), "_time", [], {"_previous": "_second"})
-    keep = F.col("_previous").isNull() | (F.col("_second") - F.col("_previous") > seconds)
-    return marked.where(keep).select(*keys, "_first.row.*").select(*ev.columns)
+    keep = F.col("_gap").isNull() | (F.col("_gap") > seconds)
+    return _gaps(first, keys, seconds).where(keep).select(*keys, "_first.row.*").select(*ev.columns)
 
 
 def near_dup_counts(ev: DataFrame, windows: Sequence[int] = (1, 5, 30), keys: Sequence[str] = NEAR_KEYS) -> DataFrame:
@@ -90,12 +104,10 @@ def near_dup_counts(ev: DataFrame, windows: Sequence[int] = (1, 5, 30), keys: Se
     per_second = ev.groupBy(*keys, scale.epoch_seconds("event_time").alias("_second")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    timed = per_second.withColumn("_time", F.timestamp_seconds("_second"))
-    gaps = scale.with_previous(timed, list(keys), "_time", [], {"_previous": "_second"})
-    gap = F.col("_second") - F.col("_previous")
+    gaps = _gaps(per_second, keys, max(windows))
 
     def close(w: int) -> Column:
-        return F.sum(F.col("_n") - 1 + F.when(gap <= w, 1).otherwise(0)).cast("long")
+        return F.sum(F.col("_n") - 1 + F.when(F.col("_gap") <= w, 1).otherwise(0)).cast("long")
 
     return gaps.agg(
         F.sum("_n").alias("total_rows"),
@@ -133,27 +145,24 @@ def _one_round(pairs: DataFrame, k: int) -> DataFrame:
     return kept.join(_survivors(pairs, "product_id", k), "product_id", "left_semi")
 
 
-def _size(pairs: DataFrame):
-    return pairs.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("events"),
-        F.count_distinct("user_id").alias("users"),
-        F.count_distinct("product_id").alias("items"),
-    ).first()
-
-
-def k_core_rounds(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Config.core_rounds):
+def k_core_rounds(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Config.core_rounds, report: bool = False):
     """Iterate on (user, item, count) pairs; return the surviving pairs and one record per round.
 
     The rounds never touch the event rows: counts add up over pairs, and a filter only ever removes
-    more. Each round is checkpointed, and the loop stops when the event count stands still.
+    more. Each round is checkpointed, and the loop stops when the event count stands still. Users and
+    items per round are counted only for a report.
     """
+    extra = (
+        (F.count_distinct("user_id").alias("users"), F.count_distinct("product_id").alias("items")) if report else ()
+    )
+    events = F.coalesce(F.sum("n"), F.lit(0)).alias("events")
     pairs = scale.cut_lineage(_pairs(ev))
-    before = _size(pairs)["events"]
+    before = pairs.agg(events).first()["events"]
     rounds = []
     for i in range(1, max_rounds + 1):
         pairs = scale.cut_lineage(_one_round(pairs, k))
-        size = _size(pairs)
-        rounds.append((i, size["events"], size["users"], size["items"], before - size["events"]))
+        size = pairs.agg(events, *extra).first()
+        rounds.append((i, *size, before - size["events"]))
         if size["events"] == before:
             break
         before = size["events"]
@@ -167,7 +176,7 @@ def k_core(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Config.core_
 
 
 def k_core_report(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Config.core_rounds) -> DataFrame:
-    _, rounds = k_core_rounds(ev, k, max_rounds)
+    _, rounds = k_core_rounds(ev, k, max_rounds, report=True)
     return ev.sparkSession.createDataFrame(rounds, "round int, events long, users long, items long, removed long")
 
 

@@ -97,11 +97,26 @@ def id_vocab(df: DataFrame, column: str, start: int = 0, name: str = "idx") -> D
     return scale.add_position(ids, [F.col(column)], name, start)
 
 
+def str_vocabs(df: DataFrame, columns: Sequence[str], name: str = "idx") -> dict[str, DataFrame]:
+    """(text, idx) per column: 'unknown' is 0, the others are numbered from 1 in sorted order.
+
+    All columns share one pass and one sort: values are numbered by (column, text) together, and each
+    column subtracts where its range starts.
+    """
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("_v")) for c in columns])))
+    others = pairs.where(F.col("_v").isNotNull() & (F.col("_v") != UNKNOWN)).distinct()
+    placed = scale.add_position(others, [F.col("_c"), F.col("_v")], "_at", 0)
+    zero = df.sparkSession.createDataFrame([(UNKNOWN, 0)], f"_v string, {name} long")
+    out = {}
+    for c in columns:
+        mine = placed.where(F.col("_c") == c)
+        start = mine.agg(F.min("_at").alias("s")).scalar()
+        out[c] = mine.select("_v", (F.col("_at") - start + 1).alias(name)).unionByName(zero).withColumnRenamed("_v", c)
+    return out
+
+
 def str_vocab(df: DataFrame, column: str, name: str = "idx") -> DataFrame:
-    """(text, idx): 'unknown' is 0, the others are numbered from 1 in sorted order."""
-    others = df.select(column).where(F.col(column).isNotNull() & (F.col(column) != UNKNOWN)).distinct()
-    zero = df.sparkSession.createDataFrame([(UNKNOWN, 0)], f"{column} string, {name} long")
-    return scale.add_position(others, [F.col(column)], name, 1).select(column, name).unionByName(zero)
+    return str_vocabs(df, [column], name)[column]
 
 
 def encode_column(df: DataFrame, vocab: DataFrame, column: str, name: str, missing: int | None = None) -> DataFrame:
@@ -157,9 +172,7 @@ def vocabularies(im: DataFrame, itemf: DataFrame, userf: DataFrame) -> dict[str,
     return {
         "user": id_vocab(im, "user_id"),
         "item": id_vocab(itemf, "product_id", start=1),
-        "cat_l1": str_vocab(itemf, "cat_l1"),
-        "cat_l2": str_vocab(itemf, "cat_l2"),
-        "brand": str_vocab(itemf, "brand"),
+        **str_vocabs(itemf, ("cat_l1", "cat_l2", "brand")),
         "top_cat": str_vocab(userf, "top_category"),
     }
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clickloom import scale
 from clickloom.config import PAD, Config
-from clickloom.functions import n_rows, unit
+from clickloom.functions import n_rows
 from clickloom.operators import sample
 
 # Users who have seen at most this many items are served from the head of a ranking; when any user
@@ -70,6 +70,19 @@ def _walk(users: DataFrame, ranked: DataFrame, key: str | None, extra: Column) -
     return scale.salted_join(steps, ranked.select(*on, "item_idx", "score"), on, "inner")
 
 
+def _walk_lists(users: DataFrame, ranked: DataFrame, key: str, reach: Column) -> DataFrame:
+    """The first ``reach`` entries of the ranking of each user's key; the caller bounds list lengths.
+
+    One short array per key travels to the users, salted because one key may serve most of them.
+    """
+    packed = F.sort_array(F.collect_list(F.struct("rank", "item_idx", "score")))
+    lists = ranked.groupBy(key).agg(packed.alias("_list"))
+    met = scale.salted_join(users, lists, [key], "inner", salts=4)
+    return met.select("user_idx", F.explode(F.slice("_list", F.lit(1), reach.cast("int"))).alias("_rec")).select(
+        "user_idx", "_rec.item_idx", "_rec.score"
+    )
+
+
 # --------------------------------------------------------------------------- popularity
 
 
@@ -84,16 +97,19 @@ def _head_array(head: DataFrame) -> Column:
     return head.agg(as_recs.alias("h")).scalar()
 
 
-def rec_popular(tp: DataFrame, users: DataFrame, n: int = 20, bound: int = SEEN_BOUND) -> DataFrame:
+def rec_popular(
+    tp: DataFrame, users: DataFrame, n: int = 20, bound: int = SEEN_BOUND, max_seen: int | None = None
+) -> DataFrame:
     """Most popular items each user has not seen."""
     scores = item_popularity(tp)
     users = users.select("user_idx").distinct()
-    if _max_seen(tp) > bound:
+    max_seen = _max_seen(tp) if max_seen is None else max_seen
+    if max_seen > bound:
         need = users.join(pairs_per_user(tp), "user_idx", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
         steps = _walk(need, _ranked(scores), None, F.col("n_seen") + n).drop("n_seen")
         return _unseen_top(steps.drop("rank"), tp, n, [F.desc("score"), F.asc("item_idx")])
-    # n + bound items hold n unseen ones for everybody.
-    head = _head(scores, n + bound)
+    # n + max_seen items hold n unseen ones for everybody, and max_seen is at most ``bound`` here.
+    head = _head(scores, n + max_seen)
     seen = tp.join(F.broadcast(head.select("item_idx")), "item_idx").groupBy("user_idx").agg(
         F.collect_set("item_idx").alias("_seen")
     )
@@ -107,11 +123,11 @@ def _drop_seen(lists: DataFrame, n: int) -> DataFrame:
     return lists.withColumn("_list", F.filter(reach, lambda r: ~F.array_contains(seen, r["item_idx"])))
 
 
-def _pad_popular(lists: DataFrame, tp: DataFrame, users: DataFrame, n: int, bound: int) -> DataFrame:
+def _pad_popular(lists: DataFrame, tp: DataFrame, users: DataFrame, n: int, bound: int, max_seen: int) -> DataFrame:
     """Fill lists shorter than n with popular items neither seen nor already listed (score 0 order kept)."""
     size = lists.groupBy("user_idx").agg(n_rows().alias("_have"))
     short = users.join(size, "user_idx", "left").where(F.coalesce("_have", F.lit(0)) < n)
-    popular = rec_popular(tp, short.select("user_idx"), 2 * n, bound)
+    popular = rec_popular(tp, short.select("user_idx"), 2 * n, bound, max_seen)
     fresh = popular.join(lists.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti")
     joined = lists.withColumn("_tier", F.lit(0)).unionByName(fresh.withColumn("_tier", F.lit(1)))
     return scale.top_per_key(joined.withColumnRenamed("rank", "_old"), ["user_idx"], [F.asc("_tier"), F.asc("_old")], n).select(
@@ -137,13 +153,14 @@ def rec_category(
     scores = item_popularity(tp).join(items.select("item_idx", category), "item_idx")
     top = users.join(user_top_category(tp, items, category), "user_idx")
     need = top.join(pairs_per_user(tp), "user_idx", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
-    if _max_seen(tp) > bound:
-        ranked = _ranked(scores, category)
+    max_seen = _max_seen(tp)
+    if max_seen > bound:
+        steps = _walk(need, _ranked(scores, category), category, F.col("n_seen") + n).select("user_idx", "item_idx", "score")
     else:
-        ranked = scale.top_per_key(scores, [category], [F.desc("score"), F.asc("item_idx")], n + bound)
-    steps = _walk(need, ranked, category, F.col("n_seen") + n).select("user_idx", "item_idx", "score")
+        ranked = scale.top_per_key(scores, [category], [F.desc("score"), F.asc("item_idx")], n + max_seen)
+        steps = _walk_lists(need, ranked, category, F.col("n_seen") + n)
     own = _unseen_top(steps, tp, n, [F.desc("score"), F.asc("item_idx")])
-    return _pad_popular(own, tp, users, n, bound)
+    return _pad_popular(own, tp, users, n, bound, max_seen)
 
 
 # --------------------------------------------------------------------------- co-occurrence
@@ -158,13 +175,14 @@ def representative_item(tp: DataFrame) -> DataFrame:
 def co_counts(tp: DataFrame, reps: DataFrame, cap: int | None = Config.neighbour_cap, seed: int = 42) -> DataFrame:
     """(rep, item_idx, n): users of ``rep`` (at most ``cap``, hash-sampled) who also have the item.
 
-    The cap is the method's own parameter; None counts all. The join on the user is salted.
+    The cap is the method's own parameter; None counts all. A hot user's join partition is split by
+    the adaptive skew join, since the counts group by another key.
     """
     near = tp.join(reps.select(F.col("rep").alias("item_idx")).distinct(), "item_idx", "left_semi").select("item_idx", "user_idx")
     if cap is not None:
         near = sample.cap_per_key(near, "item_idx", cap, ["user_idx", "item_idx"], seed)
     mine = near.select("user_idx", F.col("item_idx").alias("rep"))
-    together = scale.salted_join(mine, tp.select("user_idx", "item_idx"), ["user_idx"], "inner")
+    together = mine.join(tp.select("user_idx", "item_idx"), "user_idx")
     return together.where(F.col("rep") != F.col("item_idx")).groupBy("rep", "item_idx").agg(n_rows().alias("n"))
 
 
@@ -178,18 +196,28 @@ def rec_cooccurrence(
     """Items that share most users with the user's representative item, then global popularity."""
     users = users.select("user_idx").distinct()
     reps = users.join(representative_item(tp), "user_idx")
+    max_seen = _max_seen(tp)
+    # No user reaches past rank n + max_seen, so longer lists would never be read.
+    top = min(top, n + max_seen)
     ranked = top_neighbours(co_counts(tp, reps, cap), top).withColumn("score", F.col("n").cast("double"))
     need = reps.join(pairs_per_user(tp), "user_idx")
-    reach = F.least(F.col("n_seen") + n, F.lit(top))
-    steps = _walk(need, ranked, "rep", reach).select("user_idx", "item_idx", "score")
+    steps = _walk_lists(need, ranked, "rep", F.least(F.col("n_seen") + n, F.lit(top)))
     own = _unseen_top(steps, tp, n, [F.desc("score"), F.asc("item_idx")])
-    return _pad_popular(own, tp, users, n, bound)
+    return _pad_popular(own, tp, users, n, bound, max_seen)
 
 
 # --------------------------------------------------------------------------- vectors
 
 
-def _block_top(k: int, exclude_self: bool):
+def _matrix(vectors: pd.Series, normalize: bool) -> np.ndarray:
+    rows = np.stack(vectors.to_list()).astype("float64")
+    if normalize:
+        length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        rows = rows / np.where(length > 0, length, 1.0)
+    return rows
+
+
+def _block_top(k: int, exclude_self: bool, normalize: bool):
     """Top-k of every query of one block against one block of items (numpy, inside a task)."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -197,10 +225,10 @@ def _block_top(k: int, exclude_self: bool):
         if len(left) and len(right):
             right = right.sort_values("item_idx")
             ids = right["item_idx"].to_numpy()
-            matrix = np.stack(right["vec"].to_list()).T
+            matrix = _matrix(right["vec"], normalize).T
             for at in range(0, len(left), 256):
                 part = left.iloc[at : at + 256]
-                scores = np.stack(part["vec"].to_list()) @ matrix
+                scores = _matrix(part["vec"], normalize) @ matrix
                 for q, row in zip(part["query_id"].to_numpy(), scores):
                     if exclude_self:
                         row = np.where(ids == q, -np.inf, row)
@@ -230,11 +258,10 @@ def topk_similar(
     n_q, n_i = queries.count(), items.count()
     q_blocks = max(1, math.ceil(n_q / block), min(spark.sparkContext.defaultParallelism, n_q // 500))
     i_blocks = max(1, math.ceil(n_i / block))
-    vec = unit("vec") if normalize else F.transform("vec", lambda x: x.cast("double"))
 
     def side(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return df.select(
-            F.col(key).cast("long"), vec.alias("vec"), F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own),
+            F.col(key).cast("long"), "vec", F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own),
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other),
         )
 
@@ -242,7 +269,7 @@ def topk_similar(
     right = side(items, "item_idx", "_i", i_blocks, "_q", q_blocks)
     best = (
         left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i"))
-        .applyInPandas(_block_top(k, exclude_self), "query_id long, item_idx long, score double")
+        .applyInPandas(_block_top(k, exclude_self, normalize), "query_id long, item_idx long, score double")
     )
     return scale.top_per_key(best, ["query_id"], [F.desc("score"), F.asc("item_idx")], k).select(
         "query_id", "rank", "item_idx", "score"
@@ -288,13 +315,14 @@ def recommend_sessions(events: DataFrame, vecs: DataFrame, k: int, dim: int) ->
 def item_knn(tp: DataFrame, k: int = 20) -> DataFrame:
     """k nearest items by cosine of their confidence vectors over users.
 
-    Co-rated pairs meet on the user, salted, and are summed before the shuffle.
+    Co-rated pairs meet on the user, where the adaptive skew join splits hot users, and their products
+    are summed before the next shuffle.
     """
     norms = tp.groupBy("item_idx").agg(F.sqrt(F.sum(F.col("confidence_score") * F.col("confidence_score"))).alias("norm"))
     left = tp.select("user_idx", "item_idx", F.col("confidence_score").alias("a"))
     right = tp.select("user_idx", F.col("item_idx").alias("neighbour"), F.col("confidence_score").alias("b"))
     products = (
-        scale.salted_join(left, right, ["user_idx"], "inner").where(F.col("item_idx") != F.col("neighbour"))
+        left.join(right, "user_idx").where(F.col("item_idx") != F.col("neighbour"))
         .groupBy("item_idx", "neighbour").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
     )
     scored = products.join(norms, "item_idx").join(norms.toDF("neighbour", "norm_b"), "neighbour")

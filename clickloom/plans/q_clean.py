@@ -276,7 +276,7 @@ def _(t):
 
 @query("flt_08_min_confidence", "SELECT * FROM tp WHERE confidence_score >= 2")
 def _(t):
-    return clean.min_confidence(t.pairs)
+    return clean.min_confidence(t.pairs_once)
 
 
 @query("flt_08_min_confidence_report", """
@@ -285,7 +285,7 @@ SELECT count(*) AS pairs, count(*) FILTER (confidence_score >= 2) AS kept,
        count(DISTINCT user_idx) FILTER (confidence_score >= 2) AS users,
        count(DISTINCT item_idx) FILTER (confidence_score >= 2) AS items FROM tp""")
 def _(t):
-    return clean.min_confidence_report(t.pairs)
+    return clean.min_confidence_report(t.pairs_once)
 
 
 @query("flt_09_min_views", """
@@ -515,14 +515,14 @@ def _(t):
 
 @query("smp_06_sample_rows", f"SELECT user_idx, item_idx FROM tp ORDER BY {draw_sql(42, 'user_idx', 'item_idx')}, user_idx, item_idx LIMIT 500")
 def _(t):
-    return sample.sample_rows(t.pairs, 500, ["user_idx", "item_idx"]).select("user_idx", "item_idx")
+    return sample.sample_rows(t.pairs_once, 500, ["user_idx", "item_idx"]).select("user_idx", "item_idx")
 
 
 @query("smp_07_cap_per_key", f"""
 SELECT item_idx, user_idx FROM (SELECT *, row_number() OVER (
   PARTITION BY item_idx ORDER BY {draw_sql(42, 'user_idx', 'item_idx')}, user_idx) AS rn FROM tp) WHERE rn <= 10""")
 def _(t):
-    return sample.cap_per_key(t.pairs, "item_idx", 10, ["user_idx", "item_idx"]).select("item_idx", "user_idx")
+    return sample.cap_per_key(t.pairs_once, "item_idx", 10, ["user_idx", "item_idx"]).select("item_idx", "user_idx")
 
 
 @query("smp_08_draw_from_pool", f"""

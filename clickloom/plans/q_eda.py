@@ -513,7 +513,7 @@ def _(t):
 @query("win_13_popularity_rank", """
 SELECT item_idx, freq, row_number() OVER (ORDER BY freq DESC, item_idx) AS pop_rank FROM (SELECT item_idx, count(*) AS freq FROM tp GROUP BY 1)""")
 def _(t):
-    return scale.add_position(eda.count_per(t.pairs, "item_idx", "freq"), [F.desc("freq"), F.asc("item_idx")], "pop_rank")
+    return scale.add_position(eda.count_per(t.pairs_once, "item_idx", "freq"), [F.desc("freq"), F.asc("item_idx")], "pop_rank")
 
 
 @query("win_15_next_item", """
@@ -549,7 +549,7 @@ def _(t):
 @query("top_04_top_k_per_user", """
 SELECT user_idx, item_idx, rank FROM (SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY confidence_score DESC, item_idx) AS rank FROM tp) WHERE rank <= 20""")
 def _(t):
-    return scale.top_per_key(t.pairs, ["user_idx"], [F.desc("confidence_score"), F.asc("item_idx")], 20).select("user_idx", "item_idx", "rank")
+    return scale.top_per_key(t.pairs_once, ["user_idx"], [F.desc("confidence_score"), F.asc("item_idx")], 20).select("user_idx", "item_idx", "rank")
 
 
 @query("top_05_head_and_tail", """

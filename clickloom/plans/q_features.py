@@ -118,7 +118,7 @@ def _(t):
 
 @query("jn_14_gather", "SELECT p.user_idx, p.item_idx, i.cat_l2, i.brand, i.price_bucket FROM tp p JOIN items i USING (item_idx)")
 def _(t):
-    return scale.salted_join(t.pairs.select("user_idx", "item_idx"), t.items.select("item_idx", "cat_l2", "brand", "price_bucket"), ["item_idx"], "inner")
+    return scale.salted_join(t.pairs_once.select("user_idx", "item_idx"), t.items.select("item_idx", "cat_l2", "brand", "price_bucket"), ["item_idx"], "inner")
 
 
 cte("reps", "SELECT user_idx, item_idx AS rep FROM (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY confidence_score DESC, item_idx) AS rn FROM tp) WHERE rn = 1")
@@ -158,7 +158,7 @@ def _(t):
 
 @query("jn_18_exclude_seen", "SELECT user_idx, item_idx FROM truth WHERE (user_idx, item_idx) NOT IN (SELECT user_idx, item_idx FROM tp)")
 def _(t):
-    return t.truth.join(t.pairs, ["user_idx", "item_idx"], "left_anti")
+    return t.truth.join(t.pairs_once, ["user_idx", "item_idx"], "left_anti")
 
 
 # --------------------------------------------------------------------------- features
@@ -212,7 +212,7 @@ class Encoded:
     """The encoded tables of one data folder; the vocabularies are numbered once."""
 
     def __init__(self, t):
-        self.itemf, self.userf, self.im = t.item_features, t.user_features, t.im
+        self.itemf, self.userf, self.im = t.stored_item_features, t.stored_user_features, scale.cut_lineage(t.im)
         self.vocabs = features.vocabularies(self.im, self.itemf, self.userf)
         self.items = features.encode_items(self.itemf, self.vocabs)
         self.users = features.encode_users(self.userf, self.vocabs)
@@ -236,15 +236,15 @@ def _(t):
 
 @query("fe_06_encode_items", "SELECT * FROM ienc")
 def _(t):
-    itemf = t.item_features
-    vocabs = {"item": features.id_vocab(itemf, "product_id", 1), **{c: features.str_vocab(itemf, c) for c in ("cat_l1", "cat_l2", "brand")}}
+    itemf = t.stored_item_features
+    vocabs = {"item": features.id_vocab(itemf, "product_id", 1), **features.str_vocabs(itemf, ("cat_l1", "cat_l2", "brand"))}
     return rounded(features.encode_items(itemf, vocabs))
 
 
 @query("fe_07_encode_users", "SELECT * FROM uenc")
 def _(t):
-    vocabs = {"user": features.id_vocab(t.im, "user_id"), "top_cat": features.str_vocab(t.user_features, "top_category")}
-    return rounded(features.encode_users(t.user_features, vocabs))
+    vocabs = {"user": features.id_vocab(t.im, "user_id"), "top_cat": features.str_vocab(t.stored_user_features, "top_category")}
+    return rounded(features.encode_users(t.stored_user_features, vocabs))
 
 
 @query("fe_08_train_pairs", "SELECT * FROM tpenc")
@@ -296,8 +296,8 @@ def _(t):
 SELECT user_idx, array_to_string([top_cat_idx, peak_hour_bucket, preferred_dow, has_purchase_history], ',') AS user_cat,
        log_total_events AS d1, avg_purchase_price_scaled AS d6, round(sin(2 * pi() * preferred_dow / 7), 6) AS d7, 8 AS width FROM uenc""")
 def _(t):
-    vocabs = {"user": features.id_vocab(t.im, "user_id"), "top_cat": features.str_vocab(t.user_features, "top_category")}
-    out = features.assemble_users(features.encode_users(t.user_features, vocabs))
+    vocabs = {"user": features.id_vocab(t.im, "user_id"), "top_cat": features.str_vocab(t.stored_user_features, "top_category")}
+    out = features.assemble_users(features.encode_users(t.stored_user_features, vocabs))
     d = [F.round(F.get("user_dense", F.lit(i)), 6) for i in (0, 5, 6)]
     return out.select("user_idx", text_list("user_cat").alias("user_cat"), d[0].alias("d1"), d[1].alias("d6"), d[2].alias("d7"), F.size("user_dense").alias("width"))
 
@@ -305,8 +305,8 @@ def _(t):
 @query("fe_13_assemble_items", """
 SELECT item_idx, array_to_string([item_idx, cat_l1_idx, cat_l2_idx, brand_idx, price_bucket], ',') AS item_cat, avg_price_scaled AS d1, purchase_rate_scaled AS d3 FROM ienc""")
 def _(t):
-    itemf = t.item_features
-    vocabs = {"item": features.id_vocab(itemf, "product_id", 1), **{c: features.str_vocab(itemf, c) for c in ("cat_l1", "cat_l2", "brand")}}
+    itemf = t.stored_item_features
+    vocabs = {"item": features.id_vocab(itemf, "product_id", 1), **features.str_vocabs(itemf, ("cat_l1", "cat_l2", "brand"))}
     out = features.assemble_items(features.encode_items(itemf, vocabs))
     return out.select("item_idx", text_list("item_cat").alias("item_cat"), F.round(F.get("item_dense", F.lit(0)), 6).alias("d1"), F.round(F.get("item_dense", F.lit(2)), 6).alias("d3"))
 
@@ -360,8 +360,8 @@ def _(t):
     f"SELECT '{c}' AS column_name, count({c}) AS n, round(round(avg({c}), 5), 5) + 0.0 AS mean, round(stddev_samp({c}), 5) AS std, round(min({c}), 5) AS min, round(max({c}), 5) AS max FROM ienc"
     for c in ("avg_price_scaled", "log_confidence_scaled", "purchase_rate_scaled")))
 def _(t):
-    itemf = t.item_features
-    vocabs = {"item": features.id_vocab(itemf, "product_id", 1), **{c: features.str_vocab(itemf, c) for c in ("cat_l1", "cat_l2", "brand")}}
+    itemf = t.stored_item_features
+    vocabs = {"item": features.id_vocab(itemf, "product_id", 1), **features.str_vocabs(itemf, ("cat_l1", "cat_l2", "brand"))}
     out = features.describe_scaled(features.encode_items(itemf, vocabs), ("avg_price_scaled", "log_confidence_scaled", "purchase_rate_scaled"))
     return rounded(out, 5).withColumn("mean", F.col("mean") + 0.0)
 
@@ -385,7 +385,7 @@ STAT_ORDER = ("product_id, total_confidence, n_views, n_purchases, n_carts, purc
 
 @query("fv_01_item_stats", "SELECT * REPLACE (round(purchase_rate, 6) AS purchase_rate) FROM stats")
 def _(t):
-    return rounded(verify.item_stats(t.im, t.item_features))
+    return rounded(verify.item_stats(t.im, t.stored_item_features))
 
 
 def quintile_sql(value: str, average: str) -> str:
@@ -397,17 +397,17 @@ FROM (SELECT *, {value} AS v, CAST(greatest(1, ceil(5 * (row_number() OVER (ORDE
 
 @query("fv_02_quintiles_users", quintile_sql("n_users", "avg_n_users"))
 def _(t):
-    return verify.quintiles(verify.item_stats(t.im, t.item_features), "n_users", "avg_n_users")
+    return verify.quintiles(verify.item_stats(t.im, t.stored_item_features), "n_users", "avg_n_users")
 
 
 @query("fv_02_quintiles_confidence", quintile_sql("total_confidence", "avg_confidence"))
 def _(t):
-    return verify.quintiles(verify.item_stats(t.im, t.item_features), "total_confidence", "avg_confidence")
+    return verify.quintiles(verify.item_stats(t.im, t.stored_item_features), "total_confidence", "avg_confidence")
 
 
 @query("win_07_quintile_ranks", quintile_sql("total_confidence", "avg_confidence"))
 def _(t):
-    return verify.quintiles(verify.item_stats(t.im, t.item_features), "total_confidence", "avg_confidence")
+    return verify.quintiles(verify.item_stats(t.im, t.stored_item_features), "total_confidence", "avg_confidence")
 
 
 @query("fv_03_pareto", """
@@ -415,7 +415,7 @@ WITH s AS (SELECT row_number() OVER (ORDER BY n_purchases DESC) AS rn, sum(n_pur
   sum(n_purchases) OVER () AS total, count(*) OVER () AS k FROM stats WHERE n_purchases > 0)
 SELECT t::DOUBLE AS threshold, min(rn) AS rank, round(min(rn) * 100 / any_value(k), 4) AS pct_items FROM s, (SELECT unnest([0.5, 0.8, 0.9]) AS t) WHERE upto >= t * total GROUP BY 1""")
 def _(t):
-    return verify.pareto(verify.item_stats(t.im, t.item_features))
+    return verify.pareto(verify.item_stats(t.im, t.stored_item_features))
 
 
 cte("top_share", "SELECT t.user_id, t.cat_l1, t.n_events / s.total AS share FROM top_cats t JOIN (SELECT user_id, sum(n_events) AS total FROM user_cats GROUP BY 1) s USING (user_id)")
@@ -428,17 +428,17 @@ def describe_sql(col: str, src: str, d: int = 3) -> str:
 
 @query("fv_04_top_category_share", describe_sql("share", "top_share"))
 def _(t):
-    return verify.describe(verify.top_category_share(t.train, t.item_features), "share")
+    return verify.describe(verify.top_category_share(t.train, t.stored_item_features), "share")
 
 
 @query("fv_04_share_bins", "SELECT CASE WHEN share <= 0.5 THEN '<50%' WHEN share <= 0.7 THEN '50-70%' WHEN share <= 0.85 THEN '70-85%' ELSE '>85%' END AS bin, count(*) AS n_users FROM top_share GROUP BY 1")
 def _(t):
-    return verify.share_bins(verify.top_category_share(t.train, t.item_features))
+    return verify.share_bins(verify.top_category_share(t.train, t.stored_item_features))
 
 
 @query("win_10_first_per_group", "SELECT user_id, cat_l1, round(share, 6) AS share FROM top_share")
 def _(t):
-    return rounded(verify.top_category_share(t.train, t.item_features))
+    return rounded(verify.top_category_share(t.train, t.stored_item_features))
 
 
 cte("cat_match", """
@@ -449,8 +449,8 @@ SELECT s.cat_l1 AS train_top_cat, f.cat_l1 = s.cat_l1 AS hit FROM btest b JOIN i
 SELECT train_top_cat AS category, count(*) AS purchases, round(avg(CAST(hit AS INT)), 6) AS match_rate FROM cat_match GROUP BY 1
 UNION ALL SELECT '(all)', count(*), round(avg(CAST(hit AS INT)), 6) FROM cat_match""")
 def _(t):
-    top = verify.top_category_share(t.train, t.item_features)
-    return verify.category_match_report(verify.category_match(t.test, top, t.item_features))
+    top = verify.top_category_share(t.train, t.stored_item_features)
+    return verify.category_match_report(verify.category_match(t.test, top, t.stored_item_features))
 
 
 cte("spreads", "SELECT b.user_id, stddev_samp(f.price_bucket) AS spread FROM btrain b JOIN itemf f USING (product_id) WHERE b.event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 2")
@@ -458,13 +458,13 @@ cte("spreads", "SELECT b.user_id, stddev_samp(f.price_bucket) AS spread FROM btr
 
 @query("fv_06_price_spread", describe_sql("spread", "spreads"))
 def _(t):
-    return verify.describe(verify.price_spread(t.train, t.item_features), "spread")
+    return verify.describe(verify.price_spread(t.train, t.stored_item_features), "spread")
 
 
 @query("fv_06_spread_bins", """
 SELECT CASE WHEN spread <= 0.5 THEN 'very_consistent' WHEN spread <= 1 THEN 'consistent' WHEN spread <= 2 THEN 'mixed' WHEN spread <= 4 THEN 'random' END AS bin, count(*) AS n_users FROM spreads GROUP BY 1""")
 def _(t):
-    return verify.spread_bins(verify.price_spread(t.train, t.item_features))
+    return verify.spread_bins(verify.price_spread(t.train, t.stored_item_features))
 
 
 CORR = """
@@ -474,7 +474,7 @@ JOIN (SELECT user_id, avg(avg_price) AS b FROM btest JOIN itemf USING (product_i
 
 @query("fv_07_price_correlation", CORR)
 def _(t):
-    return verify.price_correlation(t.train, t.test, t.item_features)
+    return verify.price_correlation(t.train, t.test, t.stored_item_features)
 
 
 def rising_sql(value: str, average: str) -> str:
@@ -492,4 +492,4 @@ UNION ALL SELECT 'item_purchase_rate', z, CASE WHEN z > 40 THEN 'yes' ELSE 'no'
 UNION ALL SELECT 'user_top_category', m, CASE WHEN m > 0.3 THEN 'yes' ELSE 'no' END FROM r
 UNION ALL SELECT 'user_avg_purchase_price', p, CASE WHEN p > 0.4 THEN 'yes' ELSE 'no' END FROM r""")
 def _(t):
-    return verify.feature_decisions(t.train, t.test, t.item_features, t.im)
+    return verify.feature_decisions(t.train, t.test, t.stored_item_features, t.im)

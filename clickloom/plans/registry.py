@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom import scale
 from clickloom.operators import clean, features, sequences, tables
 from clickloom.sources import views
 
@@ -63,23 +64,37 @@ class Tables:
     def user_features(self) -> DataFrame:
         return features.user_features(self.train, self.item_features)
 
+    # Tables that a query reads several times are written once, as the stored tables they stand for.
+
     @cached_property
-    def pairs(self) -> DataFrame:
+    def stored_item_features(self) -> DataFrame:
+        return scale.cut_lineage(self.item_features)
+
+    @cached_property
+    def stored_user_features(self) -> DataFrame:
+        return scale.cut_lineage(features.user_features(self.train, self.stored_item_features))
+
+    @cached_property
+    def pairs_once(self) -> DataFrame:
         """Train pairs keyed by the raw ids; item ids move up by one because 0 is the pad."""
         return pairs_of(self.im)
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return scale.cut_lineage(self.pairs_once)
+
     @cached_property
     def items(self) -> DataFrame:
-        return items_of(self.item_features)
+        return items_of(self.stored_item_features)
 
     @cached_property
     def click_pairs(self) -> DataFrame:
-        return pairs_of(tables.interactions(self.click_splits[0]))
+        return scale.cut_lineage(pairs_of(tables.interactions(self.click_splits[0])))
 
     @cached_property
     def click_items(self) -> DataFrame:
         ev = self.clicks
-        return items_of(features.item_features(ev, tables.interactions(self.click_splits[0])))
+        return scale.cut_lineage(items_of(features.item_features(ev, tables.interactions(self.click_splits[0]))))
 
     @cached_property
     def click_vocabs(self) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +105,7 @@ class Tables:
     @cached_property
     def mapped(self) -> DataFrame:
         """Clicks without exact copies, with user_idx, item_idx and event_idx."""
-        return features.drop_oov(clean.exact_dedup(self.clicks), *self.click_vocabs)
+        return scale.cut_lineage(features.drop_oov(clean.exact_dedup(self.clicks), *self.click_vocabs))
 
     @cached_property
     def sessions(self) -> dict[str, DataFrame]:

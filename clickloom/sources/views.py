@@ -15,9 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category and brand text per part, computed on the dimension before it meets the events."""
+    second_word = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_id"),
+        F.col("p_size").cast("long").alias("category_id"),
+        F.concat_ws(".", F.lower("p_type"), second_word).alias("category_code"),
+        F.lower("p_brand").alias("brand"),
+    )
+
+
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    part = table(spark, sf_dir, "part")
     base = events.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("event_time"),
@@ -26,46 +36,44 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("price"),
         "user_id",
     )
-    second_word = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
     session = F.concat_ws(
         "-", F.col("user_id").cast("string"), F.date_trunc("week", "event_time").cast("date").cast("string")
     )
-    rich = base.join(part, F.col("p_partkey") == F.col("product_id")).select(
+    rich = base.join(_catalog(spark, sf_dir), "product_id").select(
         "event_id",
         "event_time",
         "event_type",
         "product_id",
-        F.col("p_size").cast("long").alias("category_id"),
-        F.when(F.col("product_id") % 6 != 0, F.concat_ws(".", F.lower("p_type"), second_word)).alias("category_code"),
-        F.when(F.col("product_id") % 7 != 0, F.lower("p_brand")).alias("brand"),
+        "category_id",
+        F.when(F.col("product_id") % 6 != 0, F.col("category_code")).alias("category_code"),
+        F.when(F.col("product_id") % 7 != 0, F.col("brand")).alias("brand"),
         "price",
         "user_id",
         F.when(F.col("event_id") % 997 != 0, session).alias("user_session"),
     )
-    copies = rich.where(F.col("event_id") % 50 == 0)
-    later = rich.where(F.col("event_id") % 70 == 0).withColumn(
-        "event_time", F.col("event_time") + F.expr("INTERVAL '1' SECOND")
+    # Each row once, plus an exact copy and a copy one second later for some: one scan, no union.
+    shifts = F.array_compact(
+        F.array(F.lit(0), F.when(F.col("event_id") % 50 == 0, 0), F.when(F.col("event_id") % 70 == 0, 1))
     )
-    return rich.unionByName(copies).unionByName(later)
+    shown = rich.withColumn("_shift", F.explode(shifts))
+    return shown.withColumn("event_time", F.col("event_time") + F.make_dt_interval(secs=F.col("_shift"))).drop("_shift")
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
-    part = table(spark, sf_dir, "part")
     kind = F.col("l_returnflag")
-    second_word = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
     return (
         lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(part, F.col("p_partkey") == F.col("l_partkey"))
+        .join(_catalog(spark, sf_dir), F.col("product_id") == F.col("l_partkey"))
         .select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"),
             (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.col("l_linenumber"))).alias("event_time"),
             F.when(kind == "N", "view").when(kind == "A", "cart").otherwise("purchase").alias("event_type"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("p_size").cast("long").alias("category_id"),
-            F.concat_ws(".", F.lower("p_type"), second_word).alias("category_code"),
-            F.lower("p_brand").alias("brand"),
+            "product_id",
+            "category_id",
+            "category_code",
+            "brand",
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("o_custkey").alias("user_id"),
             F.col("l_orderkey").cast("string").alias("user_session"),
