@@ -125,6 +125,8 @@ def _drop_seen(lists: DataFrame, n: int) -> DataFrame:
 
 def _pad_popular(lists: DataFrame, tp: DataFrame, users: DataFrame, n: int, bound: int, max_seen: int) -> DataFrame:
     """Fill lists shorter than n with popular items neither seen nor already listed (score 0 order kept)."""
+    # The lists are read three times below.
+    lists = scale.cut_lineage(lists)
     size = lists.groupBy("user_idx").agg(n_rows().alias("_have"))
     short = users.join(size, "user_idx", "left").where(F.coalesce("_have", F.lit(0)) < n)
     popular = rec_popular(tp, short.select("user_idx"), 2 * n, bound, max_seen)
