@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import mix
+from clickloom.llm import mix, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix,)}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of near-copies of every document."""
+    return simhash.classes(_table(spark, sf_dir, "documents")).drop("fp")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op3_simhash)}
 ORACLES: dict[str, str] = {}

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from clickloom import scale
 
@@ -61,3 +64,44 @@ def bounded(rows: DataFrame, groups: Sequence[str], limit: int, salt: str) -> Da
         .where(fraction("doc_id", salt=salt) * F.col("_total") < limit)
         .drop("_total")
     )
+
+
+#: Rows whose texts are Python objects at the same time.
+SLICE = 256
+
+
+def per_text(docs: DataFrame, make: Callable[[], Callable[[list], list[Sequence]]], columns: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep`` and new ``columns`` ("name type, ...") for every row, computed from whole texts in tasks.
+
+    ``make`` runs once in each task and returns a function from a list of texts (None for null) to
+    one sequence per new column. Kept columns pass through as they are, nulls and large ids included.
+    """
+    new = StructType.fromDDL(columns)
+    schema = StructType([*(docs.schema[c] for c in keep), *new.fields])
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches):
+        import pyarrow as pa
+
+        function = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                made = function(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(len(keep))), *(pa.array(x, kind) for x, kind in zip(made, kinds))], names=schema.names
+                )
+
+    return docs.select(*[F.col(c) for c in keep], F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def text_column(function: Callable[[], Callable[[list], Sequence]], kind: str) -> Callable:
+    """A column function of whole texts: ``function()`` runs once in a task, then on lists of texts."""
+
+    @F.pandas_udf(kind)
+    def column(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = function()
+        for part in parts:
+            yield pd.Series([x for at in range(0, len(part), SLICE) for x in run(part.iloc[at : at + SLICE].tolist())], index=part.index)
+
+    return column
