@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import mix, simhash
+from clickloom.llm import mix, simhash, tokens, warc
+
+#: Folder of the public vocabularies; by default that of the installed package.
+TOKENIZERS = os.environ.get("CLICKLOOM_TOKENIZERS")
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +34,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents")).drop("fp")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_simhash)}
-ORACLES: dict[str, str] = {}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their index."""
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, from directly addressable files."""
+    docs = tokens.encoded(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op3_simhash, op5_warc, op7_token_ids)}
+ORACLES: dict[str, str] = {"op5_warc": warc.SQL}
