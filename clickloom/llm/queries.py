@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import mix, simhash, tokens, warc
+from clickloom.llm import mix, quartile, secrets, simhash, tokens, warc
 
 #: Folder of the public vocabularies; by default that of the installed package.
 TOKENIZERS = os.environ.get("CLICKLOOM_TOKENIZERS")
@@ -45,5 +45,15 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_simhash, op5_warc, op7_token_ids)}
+def op9_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document and of its edited text, and their likeness."""
+    return quartile.chain(_table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op3_simhash, op5_warc, op7_token_ids, op9_quartile_digest, op10_secrets)}
 ORACLES: dict[str, str] = {"op5_warc": warc.SQL}

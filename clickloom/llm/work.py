@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import StructType
 
 from clickloom import scale
@@ -66,6 +67,17 @@ def bounded(rows: DataFrame, groups: Sequence[str], limit: int, salt: str) -> Da
     )
 
 
+def schemas(columns: str) -> tuple[StructType, pa.Schema]:
+    """A "name type, ..." list as Spark's and as Arrow's schema."""
+    schema = StructType.fromDDL(columns)
+    return schema, to_arrow_schema(schema)
+
+
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
+
 #: Rows whose texts are Python objects at the same time.
 SLICE = 256
 
@@ -81,8 +93,6 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[[list], list[Sequence]
     kinds = [to_arrow_type(f.dataType) for f in new.fields]
 
     def run(batches):
-        import pyarrow as pa
-
         function = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
