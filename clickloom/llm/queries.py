@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickloom.llm import mix, quartile, secrets, simhash, tokens, warc
+from clickloom.llm import language, mix, quartile, secrets, simhash, tokens, toxicity, warc, work
 
 #: Folder of the public vocabularies; by default that of the installed package.
 TOKENIZERS = os.environ.get("CLICKLOOM_TOKENIZERS")
@@ -34,6 +35,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a fifth by id is held out of training."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.where(work.remainder("doc_id", 5) != 0), language.read_pieces(tokenizer_path("byte_bpe_multi_50k.tiktoken")))
+    held_out = F.coalesce(work.remainder("doc_id", 5) == 0, F.lit(False))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through their index."""
     return warc.archived(_table(spark, sf_dir, "pages"))
@@ -45,6 +54,15 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a third by id is held out of training."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels.where(work.remainder("doc_id", 3) != 1))
+    held_out = F.coalesce(work.remainder("doc_id", 3) == 1, F.lit(False))
+    predicted = (F.col("score") >= toxicity.REJECT).cast("int")
+    return toxicity.score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op9_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document and of its edited text, and their likeness."""
     return quartile.chain(_table(spark, sf_dir, "documents"))
@@ -55,5 +73,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_simhash, op5_warc, op7_token_ids, op9_quartile_digest, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mix, op3_simhash, op4_language, op5_warc, op7_token_ids, op8_toxicity, op9_quartile_digest, op10_secrets)}
 ORACLES: dict[str, str] = {"op5_warc": warc.SQL}

@@ -35,6 +35,7 @@ from clickloom.llm import work
 
 LEAST = 0  # bytes of a payload that can be revisited
 GAP, READ = 1 << 16, 1 << 23  # bytes between two ranges of one read; bytes of a read, about
+TASK = 1 << 27  # bytes that a reading task fetches, about
 FILE_BYTES = 1 << 30  # an archive is closed beyond this size
 _ID = "urn:clickloom:page:"
 _DATE = "2000-01-01T00:00:00Z"  # pages have no fetch date; a fixed one keeps archives reproducible
@@ -174,7 +175,11 @@ def read(spark: SparkSession, selected: DataFrame, where: str, payloads: bool =
         if source:
             source.close()
 
-    ordered = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    rows = selected.select("file", "offset", "length")
+    # Tasks by the bytes to read: index rows are far smaller than the records they point at.
+    tasks = -(-(rows.agg(F.sum("length")).first()[0] or 0) // TASK)
+    tasks = max(1, min(100_000, max(tasks, spark.sparkContext.defaultParallelism)))
+    ordered = rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, schema)
 
 
