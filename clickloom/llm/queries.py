@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import language, mix, quartile, secrets, simhash, tokens, toxicity, warc, work
+from clickloom.llm import decontaminate, language, mix, quartile, secrets, simhash, tokens, toxicity, warc, work
 
 #: Folder of the public vocabularies; by default that of the installed package.
 TOKENIZERS = os.environ.get("CLICKLOOM_TOKENIZERS")
@@ -30,6 +30,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in every document."""
+    return decontaminate.passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of near-copies of every document."""
     return simhash.classes(_table(spark, sf_dir, "documents")).drop("fp")
@@ -73,5 +78,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_simhash, op4_language, op5_warc, op7_token_ids, op8_toxicity, op9_quartile_digest, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_simhash, op4_language, op5_warc, op7_token_ids, op8_toxicity, op9_quartile_digest, op10_secrets)}
 ORACLES: dict[str, str] = {"op5_warc": warc.SQL}
