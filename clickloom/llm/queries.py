@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, language, mix, quartile, secrets, simhash, tokens, toxicity, warc, work
+from clickloom.llm import decontaminate, language, mix, quality, quartile, secrets, simhash, tokens, toxicity, warc, work
 
 #: Folder of the public vocabularies; by default that of the installed package.
 TOKENIZERS = os.environ.get("CLICKLOOM_TOKENIZERS")
@@ -53,6 +53,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document and whether the resample takes it."""
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, from directly addressable files."""
     docs = tokens.encoded(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -78,5 +83,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_simhash, op4_language, op5_warc, op7_token_ids, op8_toxicity, op9_quartile_digest, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_simhash, op4_language, op5_warc, op6_quality, op7_token_ids, op8_toxicity, op9_quartile_digest, op10_secrets)}
 ORACLES: dict[str, str] = {"op5_warc": warc.SQL}
