@@ -169,7 +169,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows, masks, ready = fps.withColumn("mask", F.lit(0).cast("long")), [0], []
     for depth in range(_CUTS):
         rows = _cut(rows, masks, radius)
-        masks = [b for m in masks for b in _blocks(m, radius + 1)]
+        # From the second cut on, two ways can lead to the same bits.
+        rows = rows.distinct() if depth else rows
+        masks = sorted({b for m in masks for b in _blocks(m, radius + 1)})
         rows = work.store(rows, "blocks")
         if depth == _CUTS - 1:
             break
