@@ -18,13 +18,13 @@ class Config:
     price_floor: float = 1.0
     bot_events_per_day: float = 300.0
     core_k: int = 3
-    core_rounds: int = 10
+    core_rounds: int | None = None  # a number makes an unfinished k-core an error
     session_min_len: int = 2
     session_max_len: int = 20
     user_max_len: int = 50
     warm_pairs: int = 20
     hard_negatives: int = 3
-    neighbour_cap: int = 2000
+    neighbour_cap: int | None = None
     drift_threshold: float = 0.1
     drift_top_n: int = 50
     event_weights: dict = field(default_factory=lambda: dict(EVENT_WEIGHTS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,12 +146,17 @@ def _one_round(pairs: DataFrame, k: int) -> DataFrame:
     return kept.join(_survivors(pairs, "product_id", k), "product_id", "left_semi")
 
 
-def k_core_rounds(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Config.core_rounds, report: bool = False):
+class NotConverged(RuntimeError):
+    """Raised when the allowed rounds end before the k-core stands still."""
+
+
+def k_core_rounds(ev: DataFrame, k: int = Config.core_k, max_rounds: int | None = Config.core_rounds, report: bool = False):
     """Iterate on (user, item, count) pairs; return the surviving pairs and one record per round.
 
     The rounds never touch the event rows: counts add up over pairs, and a filter only ever removes
-    more. Each round is checkpointed, and the loop stops when the event count stands still. Users and
-    items per round are counted only for a report.
+    more. Each round is checkpointed, and the loop goes on until the event count stands still;
+    with ``max_rounds`` it fails if that takes longer. Users and items per round are counted only
+    for a report.
     """
     extra = (
         (F.count_distinct("user_id").alias("users"), F.count_distinct("product_id").alias("items")) if report else ()
@@ -159,7 +165,9 @@ def k_core_rounds(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Confi
     pairs = scale.cut_lineage(_pairs(ev))
     before = pairs.agg(events).first()["events"]
     rounds = []
-    for i in range(1, max_rounds + 1):
+    for i in itertools.count(1):
+        if max_rounds is not None and i > max_rounds:
+            raise NotConverged(f"the {k}-core still shrank in round {max_rounds}")
         pairs = scale.cut_lineage(_one_round(pairs, k))
         size = pairs.agg(events, *extra).first()
         rounds.append((i, *size, before - size["events"]))
@@ -169,19 +177,19 @@ def k_core_rounds(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Confi
     return pairs, rounds
 
 
-def k_core(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Config.core_rounds) -> DataFrame:
+def k_core(ev: DataFrame, k: int = Config.core_k, max_rounds: int | None = Config.core_rounds) -> DataFrame:
     """Events whose user and item both keep at least k events."""
     pairs, _ = k_core_rounds(ev, k, max_rounds)
     return ev.join(pairs.select("user_id", "product_id"), ["user_id", "product_id"], "left_semi").select(*ev.columns)
 
 
-def k_core_report(ev: DataFrame, k: int = Config.core_k, max_rounds: int = Config.core_rounds) -> DataFrame:
+def k_core_report(ev: DataFrame, k: int = Config.core_k, max_rounds: int | None = Config.core_rounds) -> DataFrame:
     _, rounds = k_core_rounds(ev, k, max_rounds, report=True)
     return ev.sparkSession.createDataFrame(rounds, "round int, events long, users long, items long, removed long")
 
 
 def core_simulation(ev: DataFrame, k: int = 5, rounds: int = 3) -> DataFrame:
-    """Sizes after each of a fixed number of rounds.
+    """Sizes after each of a fixed number of rounds; pairs and survivors are stored once a round.
 
     The last row counts surviving keys rather than the keys left in the events, as the report does.
     """
@@ -200,11 +208,11 @@ def core_simulation(ev: DataFrame, k: int = 5, rounds: int = 3) -> DataFrame:
             )
         return one.select(F.lit(stage).alias("stage"), "users", "items", "events")
 
-    pairs = _pairs(ev)
+    pairs = scale.cut_lineage(_pairs(ev))
     out = sized(pairs, "raw")
     for i in range(1, rounds + 1):
-        users, items = _survivors(pairs, "user_id", k), _survivors(pairs, "product_id", k)
-        pairs = pairs.join(users, "user_id", "left_semi").join(items, "product_id", "left_semi")
+        users, items = (scale.cut_lineage(_survivors(pairs, key, k)) for key in ("user_id", "product_id"))
+        pairs = scale.cut_lineage(pairs.join(users, "user_id", "left_semi").join(items, "product_id", "left_semi"))
         last = i == rounds
         out = out.unionByName(
             sized(pairs, f"after_round_{i}", users if last else None, items if last else None)
@@ -217,18 +225,25 @@ def core_simulation(ev: DataFrame, k: int = 5, rounds: int = 3) -> DataFrame:
 STEPS = ("raw", "null_session", "exact_dedup", "near_dedup", "price_floor", "bots")
 
 
-def clean_steps(ev: DataFrame, cfg: Config = Config()) -> dict[str, DataFrame]:
-    """The table after every cleaning step, in the fixed order."""
-    steps = {"raw": ev}
-    ev = drop_null_session(fill_unknown(ev))
-    steps["null_session"] = ev
-    ev = exact_dedup(ev)
-    steps["exact_dedup"] = ev
-    ev = near_dedup(ev, cfg.near_dup_seconds)
-    steps["near_dedup"] = ev
-    ev = price_floor(ev, cfg.price_floor)
-    steps["price_floor"] = ev
-    steps["bots"] = remove_bots(ev, cfg.bot_events_per_day)
+def clean_steps(ev: DataFrame, cfg: Config = Config(), upto: str = STEPS[-1]) -> dict[str, DataFrame]:
+    """The table after every cleaning step up to ``upto``, in the fixed order.
+
+    Removing bots reads its input twice, so the floored table is written once before it.
+    """
+    actions = (
+        lambda df: df,
+        lambda df: drop_null_session(fill_unknown(df)),
+        exact_dedup,
+        lambda df: near_dedup(df, cfg.near_dup_seconds),
+        lambda df: price_floor(df, cfg.price_floor),
+        lambda df: remove_bots(scale.cut_lineage(df), cfg.bot_events_per_day),
+    )
+    steps = {}
+    for name, action in zip(STEPS, actions):
+        ev = action(ev)
+        steps[name] = ev
+        if name == upto:
+            break
     return steps
 
 

@@ -67,7 +67,8 @@ def drift_report(
     train: DataFrame, test: DataFrame, threshold: float = Config.drift_threshold, n: int = Config.drift_top_n, names: tuple[str, str] = ("train", "test")
 ) -> DataFrame:
     """One record: divergence, overlap, coverage, sizes, verdict, narrative and both top-20 lists."""
-    p, q = item_shares(train), item_shares(test)
+    # One row per item each, read by every figure below: written once.
+    p, q = scale.cut_lineage(item_shares(train)), scale.cut_lineage(item_shares(test))
 
     def top20(side: DataFrame, field: str) -> Column:
         packed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), "item_id", "share")))

@@ -17,9 +17,8 @@ from clickloom.config import PAD, Config
 from clickloom.functions import n_rows
 from clickloom.operators import sample
 
-# Users who have seen at most this many items are served from the head of a ranking; when any user
-# has seen more, the rankings are joined instead.
-SEEN_BOUND = 1000
+# Ranks that travel together when users walk down a ranking.
+RANK_BLOCK = 64
 
 
 # --------------------------------------------------------------------------- rankings
@@ -34,10 +33,6 @@ def pairs_per_user(tp: DataFrame) -> DataFrame:
     return tp.groupBy("user_idx").agg(n_rows().alias("n_seen"))
 
 
-def _max_seen(tp: DataFrame) -> int:
-    return pairs_per_user(tp).agg(F.max("n_seen")).first()[0] or 0
-
-
 def _ranked(scores: DataFrame, key: str | None = None) -> DataFrame:
     """Full ranking (per key): position in one global sort, minus the position where the key starts."""
     order = [F.col(key)] if key else []
@@ -45,14 +40,7 @@ def _ranked(scores: DataFrame, key: str | None = None) -> DataFrame:
     if key is None:
         return placed
     start = placed.groupBy(key).agg((F.min("rank") - 1).alias("_start"))
-    return scale.salted_join(placed, start, [key]).withColumn("rank", F.col("rank") - F.col("_start")).drop("_start")
-
-
-def _numbered(lists: DataFrame, n: int) -> DataFrame:
-    """(user_idx, rank, item_idx, score) from a sorted array of (item_idx, score) structs."""
-    return lists.select("user_idx", F.posexplode(F.slice("_list", 1, n)).alias("_at", "_rec")).select(
-        "user_idx", (F.col("_at") + 1).cast("long").alias("rank"), "_rec.item_idx", "_rec.score"
-    )
+    return placed.join(start, key).withColumn("rank", F.col("rank") - F.col("_start")).drop("_start")
 
 
 def _unseen_top(candidates: DataFrame, tp: DataFrame, n: int, order: list[Column]) -> DataFrame:
@@ -60,76 +48,46 @@ def _unseen_top(candidates: DataFrame, tp: DataFrame, n: int, order: list[Column
     return scale.top_per_key(fresh, ["user_idx"], order, n).select("user_idx", "rank", "item_idx", "score")
 
 
-def _walk(users: DataFrame, ranked: DataFrame, key: str | None, extra: Column) -> DataFrame:
-    """The first ``extra`` ranks of each user's ranking, by joining on the rank itself.
+def _walk(users: DataFrame, ranked: DataFrame, key: str | None, reach: Column, size: int = RANK_BLOCK) -> DataFrame:
+    """(user_idx, item_idx, score): the first ``reach`` ranks of the ranking of each user's key.
 
-    A user needs n + (items seen) ranks at most, so the total is linear in users and pairs.
-    """
-    steps = users.withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), extra.cast("long"))))
-    on = ["rank"] if key is None else [key, "rank"]
-    return scale.salted_join(steps, ranked.select(*on, "item_idx", "score"), on, "inner")
-
-
-def _walk_lists(users: DataFrame, ranked: DataFrame, key: str, reach: Column) -> DataFrame:
-    """The first ``reach`` entries of the ranking of each user's key; the caller bounds list lengths.
-
-    One short array per key travels to the users, salted because one key may serve most of them.
+    Rankings are cut into blocks of ``size`` ranks, and a user asks for as many blocks as its
+    reach needs: n unseen items lie within n + (items seen) ranks, so the total is linear in users
+    and pairs, and no list grows beyond a block. Users of a popular key are split by the adaptive
+    skew join.
     """
+    block = F.floor((F.col("rank") - 1) / size)
+    on = ["_block"] if key is None else [key, "_block"]
     packed = F.sort_array(F.collect_list(F.struct("rank", "item_idx", "score")))
-    lists = ranked.groupBy(key).agg(packed.alias("_list"))
-    met = scale.salted_join(users, lists, [key], "inner", salts=4)
-    return met.select("user_idx", F.explode(F.slice("_list", F.lit(1), reach.cast("int"))).alias("_rec")).select(
-        "user_idx", "_rec.item_idx", "_rec.score"
+    blocks = ranked.withColumn("_block", block).groupBy(*on).agg(packed.alias("_part"))
+    asked = users.withColumn("_reach", reach.cast("long")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_reach") - 1) / size)))
     )
+    met = asked.join(blocks, on).select("user_idx", "_reach", F.explode("_part").alias("_rec"))
+    return met.where(F.col("_rec.rank") <= F.col("_reach")).select("user_idx", "_rec.item_idx", "_rec.score")
 
 
-# --------------------------------------------------------------------------- popularity
-
+def _with_seen(users: DataFrame, tp: DataFrame) -> DataFrame:
+    return users.join(pairs_per_user(tp), "user_idx", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
 
-def _head(scores: DataFrame, size: int) -> DataFrame:
-    return scores.orderBy(F.desc("score"), F.asc("item_idx")).limit(size)
 
-
-def _head_array(head: DataFrame) -> Column:
-    """The head of a ranking as one sorted array value; the caller bounds the head."""
-    packed = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_idx")))
-    as_recs = F.transform(packed, lambda x: F.struct(x["item_idx"].alias("item_idx"), (-x["neg"]).alias("score")))
-    return head.agg(as_recs.alias("h")).scalar()
+# --------------------------------------------------------------------------- popularity
 
 
-def rec_popular(
-    tp: DataFrame, users: DataFrame, n: int = 20, bound: int = SEEN_BOUND, max_seen: int | None = None
-) -> DataFrame:
+def rec_popular(tp: DataFrame, users: DataFrame, n: int = 20, block: int = RANK_BLOCK) -> DataFrame:
     """Most popular items each user has not seen."""
-    scores = item_popularity(tp)
-    users = users.select("user_idx").distinct()
-    max_seen = _max_seen(tp) if max_seen is None else max_seen
-    if max_seen > bound:
-        need = users.join(pairs_per_user(tp), "user_idx", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
-        steps = _walk(need, _ranked(scores), None, F.col("n_seen") + n).drop("n_seen")
-        return _unseen_top(steps.drop("rank"), tp, n, [F.desc("score"), F.asc("item_idx")])
-    # n + max_seen items hold n unseen ones for everybody, and max_seen is at most ``bound`` here.
-    head = _head(scores, n + max_seen)
-    seen = tp.join(F.broadcast(head.select("item_idx")), "item_idx").groupBy("user_idx").agg(
-        F.collect_set("item_idx").alias("_seen")
-    )
-    lists = users.join(seen, "user_idx", "left").withColumn("_head", _head_array(head))
-    return _numbered(_drop_seen(lists, n), n)
+    need = _with_seen(users.select("user_idx").distinct(), tp)
+    steps = _walk(need, _ranked(item_popularity(tp)), None, F.col("n_seen") + n, block)
+    return _unseen_top(steps, tp, n, [F.desc("score"), F.asc("item_idx")])
 
 
-def _drop_seen(lists: DataFrame, n: int) -> DataFrame:
-    seen = F.coalesce("_seen", F.array().cast("array<long>"))
-    reach = F.slice("_head", F.lit(1), F.size(seen) + n)
-    return lists.withColumn("_list", F.filter(reach, lambda r: ~F.array_contains(seen, r["item_idx"])))
-
-
-def _pad_popular(lists: DataFrame, tp: DataFrame, users: DataFrame, n: int, bound: int, max_seen: int) -> DataFrame:
+def _pad_popular(lists: DataFrame, tp: DataFrame, users: DataFrame, n: int) -> DataFrame:
     """Fill lists shorter than n with popular items neither seen nor already listed (score 0 order kept)."""
     # The lists are read three times below.
     lists = scale.cut_lineage(lists)
     size = lists.groupBy("user_idx").agg(n_rows().alias("_have"))
     short = users.join(size, "user_idx", "left").where(F.coalesce("_have", F.lit(0)) < n)
-    popular = rec_popular(tp, short.select("user_idx"), 2 * n, bound, max_seen)
+    popular = rec_popular(tp, short.select("user_idx"), 2 * n)
     fresh = popular.join(lists.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti")
     joined = lists.withColumn("_tier", F.lit(0)).unionByName(fresh.withColumn("_tier", F.lit(1)))
     return scale.top_per_key(joined.withColumnRenamed("rank", "_old"), ["user_idx"], [F.asc("_tier"), F.asc("_old")], n).select(
@@ -147,22 +105,14 @@ def user_top_category(tp: DataFrame, items: DataFrame, category: str = "cat_l2")
     return scale.top_per_key(scored, ["user_idx"], [F.desc("c"), F.asc(category)], 1).select("user_idx", category)
 
 
-def rec_category(
-    tp: DataFrame, items: DataFrame, users: DataFrame, n: int = 20, category: str = "cat_l2", bound: int = SEEN_BOUND
-) -> DataFrame:
+def rec_category(tp: DataFrame, items: DataFrame, users: DataFrame, n: int = 20, category: str = "cat_l2") -> DataFrame:
     """Unseen popular items of each user's strongest category, then global popularity."""
     users = users.select("user_idx").distinct()
     scores = item_popularity(tp).join(items.select("item_idx", category), "item_idx")
     top = users.join(user_top_category(tp, items, category), "user_idx")
-    need = top.join(pairs_per_user(tp), "user_idx", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
-    max_seen = _max_seen(tp)
-    if max_seen > bound:
-        steps = _walk(need, _ranked(scores, category), category, F.col("n_seen") + n).select("user_idx", "item_idx", "score")
-    else:
-        ranked = scale.top_per_key(scores, [category], [F.desc("score"), F.asc("item_idx")], n + max_seen)
-        steps = _walk_lists(need, ranked, category, F.col("n_seen") + n)
+    steps = _walk(_with_seen(top, tp), _ranked(scores, category), category, F.col("n_seen") + n)
     own = _unseen_top(steps, tp, n, [F.desc("score"), F.asc("item_idx")])
-    return _pad_popular(own, tp, users, n, bound, max_seen)
+    return _pad_popular(own, tp, users, n)
 
 
 # --------------------------------------------------------------------------- co-occurrence
@@ -175,9 +125,9 @@ def representative_item(tp: DataFrame) -> DataFrame:
 
 
 def co_counts(tp: DataFrame, reps: DataFrame, cap: int | None = Config.neighbour_cap, seed: int = 42) -> DataFrame:
-    """(rep, item_idx, n): users of ``rep`` (at most ``cap``, hash-sampled) who also have the item.
+    """(rep, item_idx, n): users of ``rep`` who also have the item.
 
-    The cap is the method's own parameter; None counts all. A hot user's join partition is split by
+    ``cap`` counts at most that many users of each rep, hash-sampled; None counts all. A hot user's join partition is split by
     the adaptive skew join, since the counts group by another key.
     """
     near = tp.join(reps.select(F.col("rep").alias("item_idx")).distinct(), "item_idx", "left_semi").select("item_idx", "user_idx")
@@ -188,24 +138,24 @@ def co_counts(tp: DataFrame, reps: DataFrame, cap: int | None = Config.neighbour
     return together.where(F.col("rep") != F.col("item_idx")).groupBy("rep", "item_idx").agg(n_rows().alias("n"))
 
 
-def top_neighbours(counts: DataFrame, n: int = 500) -> DataFrame:
+def top_neighbours(counts: DataFrame, n: int) -> DataFrame:
     return scale.top_per_key(counts, ["rep"], [F.desc("n"), F.asc("item_idx")], n)
 
 
 def rec_cooccurrence(
-    tp: DataFrame, users: DataFrame, n: int = 20, cap: int | None = Config.neighbour_cap, top: int = 500, bound: int = SEEN_BOUND
+    tp: DataFrame, users: DataFrame, n: int = 20, cap: int | None = Config.neighbour_cap, top: int | None = None
 ) -> DataFrame:
-    """Items that share most users with the user's representative item, then global popularity."""
+    """Items that share most users with the user's representative item, then global popularity.
+
+    ``top`` leaves out neighbours beyond that rank; by default a user goes as far as it needs.
+    """
     users = users.select("user_idx").distinct()
     reps = users.join(representative_item(tp), "user_idx")
-    max_seen = _max_seen(tp)
-    # No user reaches past rank n + max_seen, so longer lists would never be read.
-    top = min(top, n + max_seen)
-    ranked = top_neighbours(co_counts(tp, reps, cap), top).withColumn("score", F.col("n").cast("double"))
-    need = reps.join(pairs_per_user(tp), "user_idx")
-    steps = _walk_lists(need, ranked, "rep", F.least(F.col("n_seen") + n, F.lit(top)))
+    ranked = _ranked(co_counts(tp, reps, cap).select("rep", "item_idx", F.col("n").cast("double").alias("score")), "rep")
+    ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
+    steps = _walk(_with_seen(reps, tp), ranked, "rep", F.col("n_seen") + n)
     own = _unseen_top(steps, tp, n, [F.desc("score"), F.asc("item_idx")])
-    return _pad_popular(own, tp, users, n, bound, max_seen)
+    return _pad_popular(own, tp, users, n)
 
 
 # --------------------------------------------------------------------------- vectors
@@ -321,6 +271,7 @@ def item_knn(tp: DataFrame, k: int = 20) -> DataFrame:
     are summed before the next shuffle.
     """
     norms = tp.groupBy("item_idx").agg(F.sqrt(F.sum(F.col("confidence_score") * F.col("confidence_score"))).alias("norm"))
+    norms = norms.where("norm > 0")  # items of zero confidence have no direction
     left = tp.select("user_idx", "item_idx", F.col("confidence_score").alias("a"))
     right = tp.select("user_idx", F.col("item_idx").alias("neighbour"), F.col("confidence_score").alias("b"))
     products = (

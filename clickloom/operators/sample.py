@@ -21,13 +21,12 @@ def _events_of(ev: DataFrame, users: DataFrame) -> DataFrame:
 
 def sample_users_random(ev: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """All events of n random users."""
-    picked = _users(ev).orderBy(scale.draw(seed, "user_id"), "user_id").limit(n)
-    return _events_of(ev, picked)
+    return _events_of(ev, scale.first_rows(_users(ev), [scale.draw(seed, "user_id"), F.asc("user_id")], n))
 
 
 def hashed_users(ev: DataFrame, n: int) -> DataFrame:
-    """The n users with the smallest fingerprint: a top-n, not a global window."""
-    return _users(ev).orderBy(F.md5(F.col("user_id").cast("string")), "user_id").limit(n)
+    """The n users with the smallest fingerprint."""
+    return scale.first_rows(_users(ev), [F.md5(F.col("user_id").cast("string")), F.asc("user_id")], n)
 
 
 def sample_users_hash(ev: DataFrame, n: int) -> DataFrame:
@@ -44,7 +43,7 @@ def sample_to_rows(ev: DataFrame, target_rows: int, seed: int = 42, min_events:
     eligible = eligible_users(ev, min_events)
     mean = eligible.agg(F.avg("event_count")).first()[0]
     n = int(target_rows / mean) if mean else 0
-    return _events_of(ev, eligible.orderBy(scale.draw(seed, "user_id"), "user_id").limit(n))
+    return _events_of(ev, scale.first_rows(eligible, [scale.draw(seed, "user_id"), F.asc("user_id")], n))
 
 
 def sample_quality(frames: dict[str, DataFrame]) -> DataFrame:
@@ -76,12 +75,12 @@ def sample_profile(ev: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """n rows by hash order of their key columns."""
-    return df.orderBy(scale.draw(seed, *key), *key).limit(n)
+    return scale.first_rows(df, [scale.draw(seed, *key), *[F.asc(k) for k in key]], n)
 
 
 def cap_per_key(df: DataFrame, key: str, n: int, by: Sequence[str], seed: int = 42) -> DataFrame:
     """At most n rows per key, in hash order of ``by``."""
-    return scale.top_per_key(df, [key], [scale.draw(seed, *by), *[F.col(c) for c in by]], n, "_pick").drop("_pick")
+    return scale.top_many_per_key(df, [key], [scale.draw(seed, *by), *[F.col(c) for c in by]], n, "_pick").drop("_pick")
 
 
 def draw_from_pool(keys: DataFrame, pool: DataFrame, item: str, n: int, seed: int = 42) -> DataFrame:

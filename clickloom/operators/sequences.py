@@ -88,8 +88,15 @@ def sequence_profile(seq: DataFrame, max_len: int = Config.session_max_len) -> D
     return lengths.withColumn("users", users).withColumn("per_user", F.round(F.col("sequences") / F.col("users"), 6))
 
 
+def _whole(seq: DataFrame) -> DataFrame:
+    if "chunk" in seq.columns:
+        raise ValueError("rows of chunked histories are not sequences of their own; cut them to length first")
+    return seq
+
+
 def shift_targets(seq: DataFrame, n: int) -> DataFrame:
     """Padded training rows of length n-1: input, next-item target, and the mask of real targets."""
+    seq = _whole(seq)
     items, events = left_pad("item_seq", n), left_pad("event_seq", n)
     target = F.slice(items, 2, n - 1)
     return seq.withColumns(
@@ -104,6 +111,7 @@ def shift_targets(seq: DataFrame, n: int) -> DataFrame:
 
 def prefix_target(seq: DataFrame, n: int) -> DataFrame:
     """Evaluation rows: the last item is the target, the rest is left-padded to n-1."""
+    seq = _whole(seq)
     return seq.withColumns(
         {
             "target": F.element_at("item_seq", -1),
@@ -113,10 +121,15 @@ def prefix_target(seq: DataFrame, n: int) -> DataFrame:
     ).drop("item_seq", "event_seq")
 
 
-def user_prefix(users: DataFrame, seq: DataFrame, n: int) -> DataFrame:
-    """Padded history for every user, all zeros and has_history = false when there is none."""
-    newest = seq.groupBy("user_idx").agg(F.max_by(F.struct("item_seq", "event_seq"), "chunk").alias("s")) if "chunk" in seq.columns else \
-        seq.select("user_idx", F.struct("item_seq", "event_seq").alias("s"))
+def user_prefix(users: DataFrame, mapped: DataFrame, n: int, end=None, min_len: int = 2) -> DataFrame:
+    """The last n events before ``end`` of every user, padded; zeros and has_history = false without.
+
+    Histories of fewer than ``min_len`` events count as none. Only the last events of a user are
+    ever collected, however long the history.
+    """
+    ev = mapped if end is None else mapped.where(F.col("event_time") < F.lit(end).cast("timestamp"))
+    recent = collect_sequences(last_per_key(ev, ["user_idx"], max(n, min_len)), ["user_idx"]).where(F.col("seq_len") >= min_len)
+    newest = recent.select("user_idx", F.struct("item_seq", "event_seq").alias("s"))
     zeros = F.array_repeat(F.lit(0).cast("long"), n)
     return users.select("user_idx").join(newest, "user_idx", "left").select(
         "user_idx",

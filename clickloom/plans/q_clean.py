@@ -346,7 +346,7 @@ def _(t):
 
 @query("cln_02_near_dedup", shown_sql("near"))
 def _(t):
-    return shown(clean.clean_steps(t.clicks, CFG)["near_dedup"])
+    return shown(clean.clean_steps(t.clicks, CFG, "near_dedup")["near_dedup"])
 
 
 @query("cln_03_remove_bots", shown_sql("cleaned"))
@@ -356,7 +356,7 @@ def _(t):
 
 @query("cln_03_bot_users", "SELECT user_id, round(events_per_day, 6) AS events_per_day FROM bots")
 def _(t):
-    floored = clean.clean_steps(t.clicks, CFG)["price_floor"]
+    floored = clean.clean_steps(t.clicks, CFG, "price_floor")["price_floor"]
     return clean.bot_users(floored, BOT_PER_DAY).withColumn("events_per_day", F.round("events_per_day", 6))
 
 

@@ -43,8 +43,8 @@ def _(t):
 
 @query("rec_01_popular_joined", "SELECT * FROM rec_pop")
 def _(t):
-    # The way taken when some user has seen more items than the bounded head allows for.
-    return recommend.rec_popular(t.pairs, t.truth, 20, bound=0)
+    # Short rank blocks, so that users walk over several of them.
+    return recommend.rec_popular(t.pairs, t.truth, 20, block=7)
 
 
 @query("rec_02_category", "SELECT * FROM rec_cat")
@@ -64,7 +64,7 @@ def _(t):
 
 @query("top_06_neighbours", "SELECT rep, item_idx, n, crank AS rank FROM co_top")
 def _(t):
-    return recommend.top_neighbours(recommend.co_counts(t.pairs, recommend.representative_item(t.pairs)))
+    return recommend.top_neighbours(recommend.co_counts(t.pairs, recommend.representative_item(t.pairs)), 500)
 
 
 # --------------------------------------------------------------------------- vectors
@@ -160,7 +160,7 @@ def _(t):
 
 
 @query("rec_08_item_knn", """
-WITH n AS (SELECT item_idx, sqrt(sum(confidence_score * confidence_score)) AS w FROM ctp GROUP BY 1),
+WITH n AS (SELECT item_idx, sqrt(sum(confidence_score * confidence_score)) AS w FROM ctp GROUP BY 1 HAVING sum(confidence_score * confidence_score) > 0),
      p AS (SELECT a.item_idx, b.item_idx AS neighbour, sum(a.confidence_score * b.confidence_score) AS ab FROM ctp a JOIN ctp b ON a.user_idx = b.user_idx AND a.item_idx <> b.item_idx GROUP BY 1, 2)
 SELECT item_idx, rank, neighbour, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_idx ORDER BY round(score, 12) DESC, neighbour) AS rank FROM (
   SELECT p.item_idx, p.neighbour, ab / (x.w * y.w) AS score FROM p JOIN n x ON x.item_idx = p.item_idx JOIN n y ON y.item_idx = p.neighbour)) WHERE rank <= 20""")
@@ -170,7 +170,7 @@ def _(t):
 
 @query("rec_09_als")
 def _(t):
-    model = recommend.als_fit(t.click_pairs, rank=16, iterations=5)
+    model = recommend.als_fit(t.click_pairs)
     return recommend.als_recommend(model, t.click_pairs.select("user_idx").distinct(), 10)
 
 

@@ -119,8 +119,8 @@ SELECT u.user_idx, {join_list(f"coalesce({pad_sql('s.item_seq', 10)}, list_trans
 FROM user_vocab u LEFT JOIN user_seqs s USING (user_idx)""")
 def _(t):
     users = t.click_vocabs[0].toDF("user_id", "user_idx")
-    seq = sequences.user_sequences(t.mapped, datetime.fromisoformat(TRAIN_END))
-    return seq_text(sequences.user_prefix(users, seq, 10), "prefix_items", "prefix_events")
+    prefix = sequences.user_prefix(users, t.mapped, 10, datetime.fromisoformat(TRAIN_END))
+    return seq_text(prefix, "prefix_items", "prefix_events")
 
 
 @query("seq_11_prefix_pairs", f"""

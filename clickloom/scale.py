@@ -9,7 +9,9 @@ come from those ranks.
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -32,7 +34,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="clickloom-checkpoint-"))
+        # One machine only: its temporary folder is shared by all tasks, and goes with the process.
+        folder = tempfile.mkdtemp(prefix="clickloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
@@ -96,6 +101,11 @@ def add_position(df: DataFrame, order: Sequence[Column], name: str = "position",
     )
 
 
+def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in ``order``, cut at a global position: n may be large, no task holds them all."""
+    return add_position(df, order, "_position").where(F.col("_position") <= n).drop("_position")
+
+
 def add_running_total(
     df: DataFrame,
     order: Sequence[Column],
@@ -245,19 +255,21 @@ def with_running_sum(
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key.
 
-    Up to the optimizer's group-limit threshold Spark already drops surplus rows before the
-    shuffle. Beyond it a salted first pass does the same, so a hot key sends at most
-    ``32 * n`` rows to its final task.
+    For small ``n`` the optimizer's group limit drops surplus rows before the shuffle. A large
+    ``n`` is beyond its threshold, so callers that need one use :func:`top_many_per_key`.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(32)))
-        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= n).drop("_salt", rank)
     final = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(final).cast("long")).where(F.col(rank) <= n)
 
 
+def top_many_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
+    """:func:`top_per_key` for large ``n``: a salted first pass cuts what a hot key sends to its last task."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(32)))
+    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    kept = salted.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= n).drop("_salt", rank)
+    return top_per_key(kept, keys, order, n, rank)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join where a key of ``big`` may be hot and ``small`` has few rows per key.
 

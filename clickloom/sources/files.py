@@ -52,11 +52,12 @@ def bad_event_times(df: DataFrame, column: str = "event_time") -> DataFrame:
     )
 
 
-def load_events(spark: SparkSession, paths: str | Sequence[str], max_bad: int = 1000) -> DataFrame:
-    """Tolerant load: empty text is null, malformed or jagged rows are set aside up to a budget.
+def load_with_rejects(spark: SparkSession, paths: str | Sequence[str], max_bad: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Tolerant load: (events, rejects). Empty text is null, malformed or jagged rows are rejected.
 
-    Malformed rows are counted in one pass before anything is returned; above ``max_bad`` the load
-    fails. The header is checked against the schema, so unknown columns are refused.
+    ``rejects`` has the raw fields of every rejected row and the reason. Rejected rows are counted
+    in one pass before anything is returned; above ``max_bad`` the load fails. The header is checked
+    against the schema, so unknown columns are refused.
     """
     corrupt = "_corrupt"
     schema = T.StructType([*RAW_EVENT_SCHEMA.fields, T.StructField(corrupt, T.StringType())])
@@ -77,7 +78,15 @@ def load_events(spark: SparkSession, paths: str | Sequence[str], max_bad: int =
     bad = marked.groupBy("_bad").agg(F.count(F.lit(1)).alias("n"), touch).filter("_bad and _touch is not null").first()
     if bad is not None and bad["n"] > max_bad:
         raise ValueError(f"{bad['n']} malformed rows, more than the {max_bad} allowed")
-    return marked.where(~F.col("_bad")).withColumn("event_time", when).drop(corrupt, "_bad")
+    reason = F.when(F.col(corrupt).isNotNull(), "fields do not match the columns").otherwise("event_time is no time")
+    fields = [f.name for f in RAW_EVENT_SCHEMA.fields]
+    rejects = marked.where("_bad").select(*fields, F.col(corrupt).alias("raw_row"), reason.alias("reason"))
+    return marked.where(~F.col("_bad")).withColumn("event_time", when).drop(corrupt, "_bad"), rejects
+
+
+def load_events(spark: SparkSession, paths: str | Sequence[str], max_bad: int = 1000) -> DataFrame:
+    """The events of :func:`load_with_rejects`."""
+    return load_with_rejects(spark, paths, max_bad)[0]
 
 
 def split_holdout(paths: Iterable[str], stems: Sequence[str] = HOLDOUT_STEMS) -> tuple[list[str], list[str]]:
@@ -167,8 +176,8 @@ def export_sorted(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """One-record report as a JSON folder."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """Report as a JSON folder, every record of it."""
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_vocab(df: DataFrame, path: str) -> None:

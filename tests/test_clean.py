@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from clickloom.config import Config
@@ -107,3 +108,25 @@ def test_leave_one_out_needs_two_purchases(spark):
     train, held = tables.leave_one_out(ev)
     assert ids(held) == [1]
     assert ids(train) == [0, 2, 3]
+
+
+def _chain(spark, links):
+    """Users and items in a row, each user between two items: its 2-core is empty, one round at a time."""
+    rows = [(u, i) for u in range(links) for i in (u, u + 1)]
+    return spark.createDataFrame(rows, "user_id long, product_id long")
+
+
+def test_k_core_goes_on_to_the_fixed_point(spark):
+    chain = _chain(spark, 30)
+    assert clean.k_core(chain, 2).count() == 0
+    with pytest.raises(clean.NotConverged):
+        clean.k_core(chain, 2, max_rounds=5)
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Scan ")
+
+
+def test_rounds_are_stored(spark):
+    few = spark.createDataFrame([(u, i) for u in range(9) for i in range(9)], "user_id long, product_id long")
+    assert _scans(clean.core_simulation(few, 2, 3)) <= 16

@@ -49,17 +49,16 @@ def popular_walk(tp_rows, users, n):
     return {u: [i for i in order if i not in seen.get(u, set())][:n] for u in users}, order, seen
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_popular_both_ways_equal_the_walk(spark, tp, bound):
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_popular_equals_the_walk(spark, tp, block):
     users = spark.createDataFrame([(u,) for u in [0, 1, 2, 99, 500]], "user_idx long")
     want, _, _ = popular_walk([tuple(r) for r in tp.collect()], [0, 1, 2, 99, 500], 10)
-    assert listed(recommend.rec_popular(tp, users, 10, bound)) == want
+    assert listed(recommend.rec_popular(tp, users, 10, block)) == want
 
 
-@pytest.mark.parametrize("bound", [0, 1000])
-def test_category_both_ways_agree_and_pad(spark, tp, items, bound):
+def test_category_and_pad(tp, items):
     users = tp.select("user_idx").distinct()
-    recs = listed(recommend.rec_category(tp, items, users, 10, bound=bound))
+    recs = listed(recommend.rec_category(tp, items, users, 10))
     rows = [tuple(r) for r in tp.collect()]
     cat = {r.item_idx: r.cat_l2 for r in items.collect()}
     _, order, seen = popular_walk(rows, [], 10)
@@ -203,3 +202,10 @@ def test_als_recommends(tp):
     model = recommend.als_fit(tp, rank=4, iterations=2)
     out = recommend.als_recommend(model, tp.select("user_idx").where("user_idx < 3"), 5)
     assert out.groupBy("user_idx").agg(F.count("*").alias("n")).where("n <> 5").count() == 0
+
+
+def test_co_counts_have_no_cap(spark):
+    rows = [(u, i, 1.0) for u in range(2_500) for i in (1, 2)]
+    tp = spark.createDataFrame(rows, "user_idx long, item_idx long, confidence_score double")
+    reps = spark.createDataFrame([(1,)], "rep long")
+    assert [tuple(r) for r in recommend.co_counts(tp, reps).collect()] == [(1, 2, 2_500)]

@@ -154,3 +154,17 @@ def test_window_accepts_either_item_column(spark):
 def test_sorted_export_keeps_order(spark, tmp_path):
     files.export_sorted(spark.range(100).orderBy(F.desc("id")), str(tmp_path / "o"), "id")
     assert spark.read.parquet(str(tmp_path / "o")).count() == 100
+
+
+def test_prefix_of_a_history_longer_than_a_chunk(spark):
+    long = mapped(spark, list(range(1, 10_002)), [1] * 10_001)
+    users = long.select("user_idx").distinct()
+    row = sequences.user_prefix(users, long, 5).first()
+    assert row.prefix_items == [9997, 9998, 9999, 10000, 10001] and row.has_history
+
+
+def test_chunks_are_not_taken_for_sequences(spark):
+    chunked = sequences.user_sequences(mapped(spark, list(range(1, 8)), [1] * 7), chunk=3)
+    for step in (sequences.shift_targets, sequences.prefix_target):
+        with pytest.raises(ValueError):
+            step(chunked, 5)
