@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom import scale
@@ -43,6 +43,22 @@ def _skip(rank: Column, taken: Column) -> Column:
     return rank + F.size(F.filter(shifted, lambda x: x <= rank)).cast("long")
 
 
+def _past_own(draws: DataFrame, own: DataFrame) -> DataFrame:
+    """Turn the free ranks (``value``) of draws into positions that skip the user's own.
+
+    The j-th own position p of a user and pool stands before every rank above p - start - j, so one
+    running count over ranks and own positions, sorted together, gives the shift. The count streams:
+    memory does not depend on how many positives a user has.
+    """
+    key = ["user_idx", "pool"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("position")) - 1
+    marks = own.select(*key, (F.col("position") - F.col("start") - place).alias("value"), F.lit(0).alias("_draws"))
+    both = draws.withColumn("_draws", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    running = Window.partitionBy(*key).orderBy("value", "_draws").rowsBetween(Window.unboundedPreceding, 0)
+    shifted = both.withColumn("_shift", F.sum(1 - F.col("_draws")).over(running)).where("_draws = 1")
+    return shifted.withColumn("position", F.col("start") + F.col("value") + F.col("_shift")).drop("_draws", "_shift")
+
+
 def _pools(items: DataFrame) -> DataFrame:
     """(pool, item_idx, position): category, price and whole-catalog pools in one numbering.
 
@@ -106,23 +122,22 @@ def hard_negatives(
     inside = F.pmod(scale.draw(seed, "user_idx", "item_idx", "draw", F.lit("item")), F.col("size"))
     by_cat = by_cat.withColumn("position", F.col("start") + inside)
 
-    # Everyone else: draw positions inside one pool, past the user's own positives in it.
-    own = tp.select("user_idx", "item_idx").join(pools.where(F.col("pool") != "a"), "item_idx")
-    own = own.groupBy("user_idx", "pool").agg(F.sort_array(F.collect_list("position")).alias("taken"))
+    # Everyone else: draw free ranks inside one pool, then move past the user's own positives in it.
+    own = tp.select("user_idx", "item_idx").join(pools.where(F.col("pool") != "a"), "item_idx").select("user_idx", "pool", "position")
+    n_own = own.groupBy("user_idx", "pool").agg(n_rows().alias("n_own"))
     rest = routed.where(F.col("route") != "anti").withColumn("pool", F.coalesce("cat_pool", "bucket_pool"))
-    rest = scale.salted_join(rest.select("user_idx", "item_idx", "route", "pool"), spans, ["pool"], "inner").join(own, ["user_idx", "pool"], "left")
+    rest = rest.select("user_idx", "item_idx", "route", "pool").join(spans, "pool").join(n_own, ["user_idx", "pool"], "left")
     catalog = spans.where(F.col("pool") == "a").select(F.struct("start", "size").alias("s")).scalar()
-    me = pools.where(F.col("pool") == "a").select("item_idx", F.array("position").alias("me"))
-    taken = F.coalesce("taken", F.array().cast("array<long>"))
-    empty = F.col("size") - F.size(taken) <= 0
+    me = pools.where(F.col("pool") == "a").select("item_idx", F.col("position").alias("me"))
+    taken = F.coalesce("n_own", F.lit(0))
+    empty = F.col("size") - taken <= 0
     rest = rest.join(me, "item_idx").withColumn("_a", catalog).select(
         "user_idx", "item_idx", F.when(empty, "any").otherwise(F.col("route")).alias("route"),
+        F.when(empty, "a").otherwise(F.col("pool")).alias("pool"),
         F.when(empty, F.col("_a.start")).otherwise(F.col("start")).alias("start"),
-        F.when(empty, F.col("_a.size")).otherwise(F.col("size")).alias("size"),
-        F.when(empty, F.col("me")).otherwise(taken).alias("taken"),
+        F.when(empty, F.col("_a.size") - 1).otherwise(F.col("size") - taken).alias("free"),
+        (F.col("me") - F.col("_a.start")).alias("me"),
     )
-    free = F.col("size") - F.size("taken")
-    rest = rest.withColumn("free", free)
     ranks: list[str] = []
     for i in range(n):
         # Sampling without replacement: the i-th draw comes from the first free-n+i+1 ranks, and a
@@ -134,14 +149,15 @@ def hard_negatives(
         again = F.pmod(scale.draw(seed, "user_idx", "item_idx", F.lit(i)), F.greatest(F.col("free"), F.lit(1)))
         rest = rest.withColumn(f"_r{i}", F.when(F.col("free") < n, again).otherwise(hit))
         ranks.append(f"_r{i}")
-    relative = F.transform("taken", lambda p: p - F.col("start"))
-    rest = rest.withColumn("_rel", relative).select(
-        "user_idx", "item_idx", "route", "start", "_rel", F.posexplode(F.array(*ranks)).alias("draw", "_rank")
+    rest = rest.select("user_idx", "item_idx", "route", "pool", "start", "me", F.posexplode(F.array(*ranks)).alias("draw", "value"))
+    # In the whole catalog only the positive itself is passed over.
+    anywhere = rest.where(F.col("route") == "any").withColumn(
+        "position", F.col("start") + F.col("value") + F.when(F.col("me") <= F.col("value"), 1).otherwise(0)
     )
-    rest = rest.withColumn("position", F.col("start") + _skip(F.col("_rank"), F.col("_rel")))
+    inside_pool = _past_own(rest.where(F.col("route") != "any").drop("me"), own.join(spans.select("pool", "start"), "pool"))
 
     columns = ["user_idx", "item_idx", "route", "draw", "position"]
-    drawn = by_cat.select(*columns).unionByName(rest.select(*columns))
+    drawn = by_cat.select(*columns).unionByName(anywhere.select(*columns)).unionByName(inside_pool.select(*columns))
     # Positions are unique, and the draws spread over them.
     found = drawn.join(pools.select("position", F.col("item_idx").alias("negative")), "position")
     return found.select("user_idx", "item_idx", "route", "draw", "negative")

@@ -107,7 +107,7 @@ def _(t):
 @query("src_08_load_sessions", "SELECT split, count(*) AS n FROM split_sessions GROUP BY split")
 def _(t):
     folder = scale.scratch_path(t.spark, "sessions")
-    sequences.save_sessions(t.sessions, folder, 5)
+    sequences.save_sessions(t.sessions, folder)
     out = None
     for name, df in files.load_sessions(t.spark, folder).items():
         if name != "metadata":
@@ -447,7 +447,7 @@ WHERE prev IS NULL OR prev <> item_idx""")
 cte("split_sessions", """
 SELECT split, user_idx, user_session, list(item_idx ORDER BY event_time, event_id) AS item_seq,
        list(event_idx ORDER BY event_time, event_id) AS event_seq, count(*) AS seq_len
-FROM seq_kept WHERE age <= 5 GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+FROM seq_kept WHERE age <= 20 GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 cte("mapped_once", """
 SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (
   PARTITION BY user_id, event_time, event_type, product_id, user_session ORDER BY event_id) AS rn FROM mapped) WHERE rn = 1""")

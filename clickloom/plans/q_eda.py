@@ -700,7 +700,7 @@ def _(t):
 @query("scl_40_arrays", """
 SELECT user_idx, user_session, CAST(len(item_seq) AS INT) AS length, array_to_string(item_seq, ',') AS items, item_seq[-1] AS last_item,
        array_to_string(item_seq[:-2], ',') AS all_but_last, array_to_string(item_seq[-2:], ',') AS tail,
-       array_to_string(list_concat(list_transform(range(7 - len(item_seq)), lambda x: 0), item_seq), ',') AS padded,
+       array_to_string(list_concat(list_transform(range(greatest(7 - len(item_seq), 0)), lambda x: 0), item_seq[-7:]), ',') AS padded,
        CAST(len(list_distinct(item_seq)) AS INT) AS n_different FROM split_sessions WHERE split = 'train'""")
 def _(t):
     return t.sessions["train"].select(

@@ -301,7 +301,7 @@ SELECT count(*) AS n_sessions, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 EN
 
 
 def session_targets(t):
-    return sequences.prefix_target(sequences.add_contiguous_id(t.sessions["test"]), 5)
+    return sequences.prefix_target(sequences.add_contiguous_id(t.sessions["test"]), 20)
 
 
 def session_recs(t, k):

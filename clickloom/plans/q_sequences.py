@@ -11,7 +11,7 @@ from clickloom.operators import drift, eda, sequences
 from clickloom.plans.q_features import drift_windows, rounded
 from clickloom.plans.registry import TEST_START, TRAIN_END, cte, query
 
-MAX_LEN = 5
+MAX_LEN = 20
 
 
 def seq_text(df, *names):
@@ -96,15 +96,15 @@ def _(t):
 
 
 @query("seq_08_shift_targets", f"""
-SELECT user_idx, user_session, seq_len, {join_list('p[:4]')} AS input_items, {join_list('e[:4]')} AS input_events, {join_list('p[2:]')} AS target_items,
+SELECT user_idx, user_session, seq_len, {join_list(f'p[:{MAX_LEN - 1}]')} AS input_items, {join_list(f'e[:{MAX_LEN - 1}]')} AS input_events, {join_list('p[2:]')} AS target_items,
        array_to_string(list_transform(p[2:], lambda x: x <> 0), ',') AS mask
-FROM (SELECT *, {pad_sql('item_seq', 5)} AS p, {pad_sql('event_seq', 5)} AS e FROM split_sessions WHERE split = 'train')""")
+FROM (SELECT *, {pad_sql('item_seq', MAX_LEN)} AS p, {pad_sql('event_seq', MAX_LEN)} AS e FROM split_sessions WHERE split = 'train')""")
 def _(t):
     return seq_text(sequences.shift_targets(t.sessions["train"], MAX_LEN), "input_items", "input_events", "target_items", "mask")
 
 
 cte("test_targets", f"""
-SELECT user_idx, user_session, seq_len, item_seq[-1] AS target, {pad_sql('item_seq[:-2]', 4)} AS prefix_items, {pad_sql('event_seq[:-2]', 4)} AS prefix_events,
+SELECT user_idx, user_session, seq_len, item_seq[-1] AS target, {pad_sql('item_seq[:-2]', MAX_LEN - 1)} AS prefix_items, {pad_sql('event_seq[:-2]', MAX_LEN - 1)} AS prefix_events,
        row_number() OVER (ORDER BY user_idx, user_session) - 1 AS session_idx FROM split_sessions WHERE split = 'test'""")
 
 
@@ -140,7 +140,7 @@ def _(t):
 
 
 @query("seq_13_validate_sequences", "\nUNION ALL ".join(
-    f"""SELECT '{s}' AS split, count(*) AS n_rows, count(*) FILTER (len(item_seq) > 5) AS too_long, count(*) FILTER (len(item_seq) < 2) AS too_short,
+    f"""SELECT '{s}' AS split, count(*) AS n_rows, count(*) FILTER (len(item_seq) > {MAX_LEN}) AS too_long, count(*) FILTER (len(item_seq) < 2) AS too_short,
   count(*) FILTER (item_seq[-1] = 0) AS pad_last, CAST(0 AS BIGINT) AS adjacent_repeats, CAST(0 AS BIGINT) AS uneven, TRUE AS rows_match FROM split_sessions WHERE split = '{s}'"""
     for s in ("train", "val", "test")))
 def _(t):

@@ -109,9 +109,9 @@ class Tables:
 
     @cached_property
     def sessions(self) -> dict[str, DataFrame]:
-        """Session sequences per split, cut to the last five events so that the cut is exercised."""
+        """Session sequences per split."""
         parts = tables.three_way_split(self.mapped, TRAIN_END, TEST_START)
-        return {n: sequences.session_sequences(df, max_len=5) for n, df in zip(("train", "val", "test"), parts)}
+        return {n: sequences.session_sequences(df) for n, df in zip(("train", "val", "test"), parts)}
 
     @cached_property
     def truth(self) -> DataFrame:

@@ -209,3 +209,14 @@ def test_co_counts_have_no_cap(spark):
     tp = spark.createDataFrame(rows, "user_idx long, item_idx long, confidence_score double")
     reps = spark.createDataFrame([(1,)], "rep long")
     assert [tuple(r) for r in recommend.co_counts(tp, reps).collect()] == [(1, 2, 2_500)]
+
+
+def test_hard_negatives_of_a_user_with_very_many_positives(spark):
+    """Fifty thousand positives of unknown category in one price bucket: only the last items are free."""
+    n = 50_000
+    items = spark.range(1, n + 11).select(F.col("id").alias("item_idx"), F.lit("unknown").alias("cat_l2"), F.lit(3).alias("price_bucket"), F.lit("x").alias("brand"))
+    tp = spark.range(1, n + 1).select(F.lit(7).cast("long").alias("user_idx"), F.col("id").alias("item_idx"), F.lit(1.0).alias("confidence_score"))
+    got = negatives.hard_negatives(tp, items, 3, warm=10)
+    row = got.agg(F.count("*").alias("n"), F.min("negative").alias("low"), F.max("negative").alias("high"), F.count_distinct("negative").alias("d")).first()
+    assert (row.n, row.low, row.high, row.d) == (3 * n, n + 1, n + 10, 10)
+    assert got.groupBy("item_idx").agg(F.count_distinct("negative").alias("d")).where("d < 3").count() == 0
