@@ -288,6 +288,11 @@ def paired_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
     return pairs.join(l, "user_idx").join(r, "item_idx").select("user_idx", "item_idx", dot("vu", "vi").alias("score"))
 
 
+def paired_cosine_stats(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """mean, deviation, p10, p50 and p90 of the paired cosines."""
+    return _spread(scale.cut_lineage(paired_cosine(pairs, left, right)), "score")
+
+
 def batches(tp: DataFrame, size: int, n: int, seed: int = 42) -> DataFrame:
     """n random batches of ``size`` pairs: the first n*size pairs in hash order, cut in order."""
     picked = tp.withColumn("_h", scale.draw(seed, "user_idx", "item_idx")).orderBy("_h", "user_idx", "item_idx").limit(n * size)

@@ -97,6 +97,12 @@ def id_vocab(df: DataFrame, column: str, start: int = 0, name: str = "idx") -> D
     return scale.add_position(ids, [F.col(column)], name, start)
 
 
+def first_seen_vocab(df: DataFrame, column: str, order: Sequence[str] = ("event_time", "event_id"), start: int = 0, name: str = "idx") -> DataFrame:
+    """(id, idx): distinct ids numbered from ``start`` in the order in which they first appear."""
+    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
+    return scale.add_position(first, [F.col("_first"), F.col(column)], name, start).drop("_first")
+
+
 def str_vocabs(df: DataFrame, columns: Sequence[str], name: str = "idx") -> dict[str, DataFrame]:
     """(text, idx) per column: 'unknown' is 0, the others are numbered from 1 in sorted order.
 
@@ -255,6 +261,15 @@ def confidence_weight(tp: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- vectors
 
 
+def centroid_summary(centroids: DataFrame) -> DataFrame:
+    """One row: users with and without strong pairs, and the mean norm of those with."""
+    has = F.col("n_items") > 0
+    length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda acc, x: acc + x * x))
+    return centroids.agg(
+        F.count_if(has).alias("with_history"), F.count_if(~has).alias("without_history"), F.round(F.avg(F.when(has, length)), 6).alias("mean_norm")
+    )
+
+
 def user_centroid(tp: DataFrame, vecs: DataFrame, dim: int, min_score: float = 2.0) -> DataFrame:
     """Mean item vector over each user's strong pairs; a zero vector when there is none.
 

@@ -6,6 +6,7 @@ Every recommender returns (user_idx, rank, item_idx, score), rank from 1.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -169,16 +170,13 @@ def _matrix(vectors: pd.Series, normalize: bool) -> np.ndarray:
     return rows
 
 
-def _block_top(k: int, exclude_self: bool, normalize: bool):
-    """Top-k of every query of one block against one block of items (numpy, inside a task)."""
+def _block_top(ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool, normalize: bool):
+    """Top-k of every query against one block of items, ids ascending (numpy, inside a task)."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = {"query_id": [], "item_idx": [], "score": []}
-        if len(left) and len(right):
-            right = right.sort_values("item_idx")
-            ids = right["item_idx"].to_numpy()
-            matrix = _matrix(right["vec"], normalize).T
-            for at in range(0, len(left), 256):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for left in batches:
+            cols = {"query_id": [], "item_idx": [], "score": []}
+            for at in range(0, len(left) if len(ids) else 0, 256):
                 part = left.iloc[at : at + 256]
                 scores = _matrix(part["vec"], normalize) @ matrix
                 for q, row in zip(part["query_id"].to_numpy(), scores):
@@ -190,9 +188,9 @@ def _block_top(k: int, exclude_self: bool, normalize: bool):
                     cols["query_id"].append(np.full(len(best), q))
                     cols["item_idx"].append(ids[best])
                     cols["score"].append(row[best])
-        return pd.DataFrame({c: np.concatenate(v) if v else np.array([]) for c, v in cols.items()}).astype(
-            {"query_id": "int64", "item_idx": "int64", "score": "float64"}
-        )
+            yield pd.DataFrame({c: np.concatenate(v) if v else np.array([]) for c, v in cols.items()}).astype(
+                {"query_id": "int64", "item_idx": "int64", "score": "float64"}
+            )
 
     return run
 
@@ -202,27 +200,25 @@ def topk_similar(
 ) -> DataFrame:
     """Exact top-k by inner product (cosine when normalised): (query_id, rank, item_idx, score).
 
-    Both sides are cut into blocks of at most about ``block`` vectors and every pair of blocks is one
-    task, which keeps k rows per query; a final top-k per query merges the blocks. Nothing is
-    broadcast, so the number of vectors on either side is free to grow.
+    The items go to the tasks in blocks of about ``block`` vectors, one broadcast each, so its size is
+    bounded whatever the table holds. Queries stay where they are; k rows of every query and block
+    meet in the final top-k.
     """
-    spark = queries.sparkSession
-    n_q, n_i = queries.count(), items.count()
-    q_blocks = max(1, math.ceil(n_q / block), min(spark.sparkContext.defaultParallelism, n_q // 500))
-    i_blocks = max(1, math.ceil(n_i / block))
-
-    def side(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select(
-            F.col(key).cast("long"), "vec", F.pmod(F.xxhash64(key), F.lit(n_own)).alias(own),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other),
-        )
-
-    left = side(queries, "query_id", "_q", q_blocks, "_i", i_blocks)
-    right = side(items, "item_idx", "_i", i_blocks, "_q", q_blocks)
-    best = (
-        left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i"))
-        .applyInPandas(_block_top(k, exclude_self, normalize), "query_id long, item_idx long, score double")
-    )
+    sc = queries.sparkSession.sparkContext
+    source = queries.select(F.col("query_id").cast("long"), "vec")
+    n_blocks = max(1, math.ceil(items.count() / block))
+    best = None
+    for b in range(n_blocks):
+        part = items.where(F.pmod(F.xxhash64("item_idx"), F.lit(n_blocks)) == b).select(F.col("item_idx").cast("long"), "vec").toPandas()
+        part = part.sort_values("item_idx")
+        matrix = _matrix(part["vec"], normalize).T if len(part) else np.zeros((0, 0))
+        shared = sc.broadcast((part["item_idx"].to_numpy(), matrix))
+
+        def run(batches, shared=shared):
+            return _block_top(*shared.value, k, exclude_self, normalize)(batches)
+
+        found = source.mapInPandas(run, "query_id long, item_idx long, score double")
+        best = found if best is None else best.unionByName(found)
     return scale.top_per_key(best, ["query_id"], [F.desc("score"), F.asc("item_idx")], k).select(
         "query_id", "rank", "item_idx", "score"
     )

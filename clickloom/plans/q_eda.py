@@ -437,6 +437,11 @@ def _(t):
     return eda.category_bins(t.item_features, "cat_l2")
 
 
+@query("agg_41_category_bins_l1", "SELECT cat_l1, count(*) AS item_count, round(count(*) / sum(count(*)) OVER () * 100, 4) AS pct FROM itemf GROUP BY 1")
+def _(t):
+    return eda.category_bins(t.item_features, "cat_l1")
+
+
 @query("agg_41_category_bin_stats", f"""
 SELECT count(*)::BIGINT AS n_bins, round(avg(item_count), 6) AS mean, min(item_count) AS min, max(item_count) AS max,
        {', '.join(f"{q('item_count', p)} AS p{round(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99))},

@@ -223,6 +223,13 @@ def _(t):
     return features.id_vocab(t.im, "user_id", name="user_idx")
 
 
+@query("fe_03_first_appearance", """
+SELECT user_id, row_number() OVER (ORDER BY event_time, event_id) - 1 AS idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS rn FROM clicks) WHERE rn = 1""")
+def _(t):
+    return features.first_seen_vocab(t.clicks, "user_id")
+
+
 @query("fe_04_str_vocab", "SELECT v AS cat_l2, idx FROM voc_l2")
 def _(t):
     return features.str_vocab(t.item_features, "cat_l2")
@@ -291,6 +298,13 @@ def _(t):
     return rounded(out.select("user_idx", "n_items", F.get("centroid", F.lit(0)).alias("d1"), F.get("centroid", F.lit(63)).alias("d64"), norm("centroid").alias("norm")))
 
 
+@query("fe_12_centroid_summary", """
+SELECT count(*) FILTER (n_items > 0) AS with_history, count(*) FILTER (n_items = 0) AS without_history,
+       round(avg(sqrt(list_dot_product(centroid, centroid))) FILTER (n_items > 0), 6) AS mean_norm FROM centroids""")
+def _(t):
+    return features.centroid_summary(features.user_centroid(t.click_pairs, t.vectors, DIM))
+
+
 @query("fe_13_assemble_users", """
 SELECT user_idx, array_to_string([top_cat_idx, peak_hour_bucket, preferred_dow, has_purchase_history], ',') AS user_cat,
        log_total_events AS d1, avg_purchase_price_scaled AS d6, round(sin(2 * pi() * preferred_dow / 7), 6) AS d7, 8 AS width FROM uenc""")
@@ -404,9 +418,12 @@ def _(t):
     return verify.quintiles(verify.item_stats(t.im, t.stored_item_features), "total_confidence", "avg_confidence")
 
 
-@query("win_07_quintile_ranks", quintile_sql("total_confidence", "avg_confidence"))
+@query("win_07_quintile_ranks", f"""
+SELECT product_id, total_confidence, n_users, row_number() OVER (ORDER BY total_confidence, {STAT_ORDER}) AS place FROM stats""")
 def _(t):
-    return verify.quintiles(verify.item_stats(t.im, t.stored_item_features), "total_confidence", "avg_confidence")
+    stats = verify.item_stats(t.im, t.stored_item_features)
+    placed = scale.add_position(stats, [F.asc("total_confidence"), *[F.asc_nulls_first(k) for k in verify.STAT_KEYS]], "place")
+    return placed.select("product_id", "total_confidence", "n_users", "place")
 
 
 @query("fv_03_pareto", """

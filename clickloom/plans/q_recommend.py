@@ -371,9 +371,12 @@ def _(t):
     return evaluate.popularity_collapse(popular(t))
 
 
-@query("win_14_cumulative_slots", COLLAPSE)
+@query("win_14_cumulative_slots", """
+SELECT item_idx, slots, CAST(sum(slots) OVER (ORDER BY slots DESC, item_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto,
+       row_number() OVER (ORDER BY slots DESC, item_idx) AS place FROM (SELECT item_idx, count(*) AS slots FROM rec_pop GROUP BY 1)""")
 def _(t):
-    return evaluate.popularity_collapse(popular(t))
+    slots = popular(t).groupBy("item_idx").agg(F.count(F.lit(1)).alias("slots"))
+    return scale.add_running_total(slots, [F.desc("slots"), F.asc("item_idx")], "slots", "upto", "place")
 
 
 @query("ev_16_test_item_coverage", """
@@ -412,6 +415,11 @@ def _(t):
     return rounded(evaluate.paired_cosine(t.click_pairs.select("user_idx", "item_idx"), user_vectors(t), t.vectors))
 
 
+@query("ev_18_paired_stats", spread_sql("s", "(SELECT list_dot_product(u.v, i.v) AS s FROM ctp p JOIN uvecs u USING (user_idx) JOIN units i USING (item_idx))"))
+def _(t):
+    return evaluate.paired_cosine_stats(t.click_pairs.select("user_idx", "item_idx"), user_vectors(t), t.vectors)
+
+
 cte("batched", f"""
 SELECT user_idx, item_idx, (row_number() OVER (ORDER BY {draw_sql(42, 'user_idx', 'item_idx')}, user_idx, item_idx) - 1) // 64 AS batch FROM ctp""")
 cte("batch_pairs", """
