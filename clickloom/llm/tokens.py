@@ -6,14 +6,15 @@ chunk of those that continue, and so on; the last level takes what is left of an
 directory beside every bitmap counts the set bits before each block of ``BLOCK`` bits. The place of
 a continuing id on the next level is its rank: one directory entry and a count inside one block.
 
-Layout, little-endian: magic, version, number of documents, number of ids, number of levels;
-per level its width, number of chunks and the three lengths that follow; the documents' ends
-(unsigned 64 bits); then per level chunks, bitmap and directory.
+Layout, little-endian: magic, version, number of documents, of ids, of levels, length of the
+documents' names; per level its width, number of chunks and the three lengths that follow; the
+documents' ends (unsigned 64 bits); their doc_ids as one Arrow column; then per level chunks,
+bitmap and directory.
 
 ``write`` orders documents by doc_id across files with one range shuffle of the texts and encodes
 them in the tasks that write. Every attempt of a task writes files of its own name and reports
-them; the stored report (manifest) decides which files count, so a lost executor or a repeated task
-leaves a file that nobody reads and nothing else. ``read`` opens the files of the manifest.
+them; the stored report (manifest, one row per file) decides which files count, so a lost executor
+or a repeated task leaves a file that nobody reads and nothing else. ``read`` opens those files.
 
 Defined cases: a null text is empty and still gets its end id; rows without doc_id come first, rows
 that repeat a doc_id are ordered by text, and both keep their own place; an empty table writes no
@@ -22,12 +23,15 @@ file and reads back empty; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +42,16 @@ BLOCK = 512  # bits of a bitmap for one directory entry
 END_ID = 2
 FILE_IDS = 16_000_000  # ids of one file, about: bounds the memory of a writing task
 MAGIC = b"DACT"
-_HEAD = struct.Struct("<4sIQQI")
+_HEAD = struct.Struct("<4sIQQIQ")
 _LEVEL = struct.Struct("<IQQQQ")
 _TYPES = {8: np.uint8, 16: np.uint16, 32: np.uint32}
-_CACHE = 400_000  # words a task remembers
+_WORDS, _CORES = 400_000, 1_000_000  # words and letter runs that a process remembers
 
 
 # --------------------------------------------------------------------------- the code
 
 
-def pack(ids: np.ndarray, ends: np.ndarray, widths: Sequence[int] = WIDTHS) -> bytes:
+def pack(ids: np.ndarray, ends: np.ndarray, widths: Sequence[int] = WIDTHS, names: bytes = b"") -> bytes:
     """File contents for ids (unsigned 32 bits) of documents that end before ``ends``."""
     parts, heads, rest = [], [], ids.astype(np.uint32, copy=False)
     for k, width in enumerate(widths):
@@ -67,20 +71,22 @@ def pack(ids: np.ndarray, ends: np.ndarray, widths: Sequence[int] = WIDTHS) -> b
         rest = rest[more] >> np.uint32(width)
         if not rest.size:
             break
-    head = _HEAD.pack(MAGIC, 1, len(ends), len(ids), len(heads))
-    return b"".join([head, *heads, ends.astype("<u8").tobytes(), *parts])
+    head = _HEAD.pack(MAGIC, 1, len(ends), len(ids), len(heads), len(names))
+    return b"".join([head, *heads, ends.astype("<u8").tobytes(), names, *parts])
 
 
 class Tokens:
     """A file's contents; ``at(i)`` is any one id, ``take(a, b)`` the ids of a range."""
 
     def __init__(self, data: bytes):
-        magic, _, docs, self.size, levels = _HEAD.unpack_from(data)
+        magic, _, docs, self.size, levels, named = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token file")
         at = _HEAD.size + levels * _LEVEL.size
         self.ends = np.frombuffer(data, "<u8", docs, at)
         at += 8 * docs
+        self.names = data[at : at + named]
+        at += named
         self.levels = []
         for k in range(levels):
             width, n, a, b, c = _LEVEL.unpack_from(data, _HEAD.size + k * _LEVEL.size)
@@ -91,11 +97,11 @@ class Tokens:
             at += a + b + c
 
     def _rank(self, k: int, i: int) -> int:
-        """Set bits before bit i of level k's bitmap."""
-        _, _, bitmap, ranks = self.levels[k]
-        block, byte = i // BLOCK, i // 8
-        inside = int.from_bytes(bitmap[block * BLOCK // 8 : byte].tobytes(), "little").bit_count()
-        return int(ranks[block]) + inside + (int(bitmap[byte]) & ((1 << i % 8) - 1)).bit_count() if i < 8 * len(bitmap) else int(ranks[-1]) + int.from_bytes(bitmap[(len(ranks) - 1) * BLOCK // 8 :].tobytes(), "little").bit_count()
+        """Set bits before bit i of level k's bitmap: the block's entry and a count inside the block."""
+        _, chunks, bitmap, ranks = self.levels[k]
+        block = min(i, len(chunks) - 1) // BLOCK
+        inside = int.from_bytes(bitmap[block * BLOCK // 8 : -(-i // 8)].tobytes(), "little")
+        return int(ranks[block]) + (inside & ((1 << i - block * BLOCK) - 1)).bit_count()
 
     def at(self, i: int) -> int:
         value, shift = 0, 0
@@ -137,22 +143,30 @@ class WordEncoder:
     #: White space to the tokenizer and to Unicode alike; what else may separate stays in the word.
     SEPARATOR = "\x00"
 
+    #: Latin letters, each one code point also after composition, then ASCII signs: to the tokenizer two
+    #: runs of their own, the first lower-cased. (Contractions need an apostrophe and are not of this form.)
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         mark = self._ids(self.SEPARATOR)
         self.mark = mark[0] if len(mark) == 1 else None
-        self.known: dict[str, bytes] = {"": b""}
+        # Only for a tokenizer that treats the two runs of a plain word apart.
+        probe = ("Aé", ".;")
+        self.splits = self.mark is not None and self._ids("".join(probe)) == self._ids(probe[0].lower()) + self._ids(probe[1])
+        self.words: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
-        alone = [w for w in words if self.mark is None or self.SEPARATOR in w]
-        joined = [w for w in words if self.mark is not None and self.SEPARATOR not in w]
-        for w in alone:
-            self.known[w] = np.array(self._ids(w), "<u4").tobytes()
+    def _look_up(self, new: list[str], into: dict[str, bytes]) -> None:
+        """Encode words and remember their ids."""
+        for w in [w for w in new if self.mark is None or self.SEPARATOR in w]:
+            into[w] = np.array(self._ids(w), "<u4").tobytes()
+        joined = [w for w in new if self.mark is not None and self.SEPARATOR not in w]
         for at in range(0, len(joined), 20_000):
             some = joined[at : at + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -161,101 +175,116 @@ class WordEncoder:
                 raise ValueError("the separator was not kept apart")
             raw, bounds = ids.tobytes(), [-4, *(4 * cuts).tolist(), 4 * len(ids)]
             for w, a, b in zip(some, bounds, bounds[1:]):
-                self.known[w] = raw[a + 4 : b]
+                into[w] = raw[a + 4 : b]
+
+    def _learn(self, new: set[str]) -> None:
+        if not self.splits:
+            return self._look_up(list(new), self.words)
+        if len(self.cores) > _CORES:
+            self.cores = {"": b""}
+        plain, match = {}, self.PLAIN.fullmatch
+        for w in new:
+            if m := match(w):
+                plain[w] = m[1].lower(), m[2]
+        self._look_up(list(new - plain.keys()), self.words)
+        cores = self.cores
+        self._look_up([x for x in {x for pair in plain.values() for x in pair} if x not in cores], cores)
+        self.words.update((w, cores[a] + cores[b]) for w, (a, b) in plain.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32 bits."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > _CACHE:
-            self.known = {"": b""}
-        self._learn(list({w for words in split for w in words} - self.known.keys()))
-        get = self.known.__getitem__
+        if len(self.words) > _WORDS:
+            self.words = {"": b""}
+        self._learn({w for w in set().union(*split) if w not in self.words})
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(definition: str) -> WordEncoder:
+    """The process's encoder; it keeps what it has learnt from one task to the next."""
+    key = hashlib.sha256(definition.encode()).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(definition)
+    return _ENCODERS[key]
+
+
+_MANIFEST = "file string, block int, seq long, documents long, n_tokens long"
+
+
 def write(docs: DataFrame, definition: str, where: str, end_id: int = END_ID, widths: Sequence[int] = WIDTHS) -> DataFrame:
-    """Write the ids of all documents below ``where``; the stored manifest: one row per document.
+    """Write the ids of all documents below ``where``; the stored manifest: one row per file.
 
-    ``definition`` is the tokenizer as JSON text, so tasks need no file of it. Columns: file, place
-    (document's number in its file), doc_id, n_tokens, block and seq (order over all files).
+    ``definition`` is the tokenizer as JSON text, so tasks need no file of it. ``block`` and ``seq``
+    order the files.
     """
     ordered = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("block"))
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    schema, arrow = work.schemas(_MANIFEST)
+    shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         store, path = work.open_store(where)
-        encoder, tail = WordEncoder(definition), np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
-        rows: list = []
-        seq, size = 0, 0
+        encode, tail = encoder(shared.value).encode, np.array([end_id], "<u4").tobytes()
+        held, ids, size, files, block = [], [], 0, 0, None
 
         def flush():
-            nonlocal held, rows, size
             name = f"{uuid.uuid4().hex}.dac"
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
+            ends = np.cumsum([len(x) // 4 for x in held])
+            names = pa.BufferOutputStream()
+            with pa.ipc.new_stream(names, pa.schema([("doc_id", ids[0].type)])) as out:
+                out.write_batch(pa.record_batch([pa.concat_arrays(ids)], names=["doc_id"]))
             store.create_dir(path, recursive=True)
             with store.open_output_stream(f"{path}/{name}") as out:
-                out.write(pack(np.frombuffer(b"".join(held), "<u4"), np.cumsum(lengths), widths))
-            ids = pa.concat_arrays([x for x, _, _ in rows])
-            block = pa.concat_arrays([x for _, x, _ in rows])
-            seqs = np.concatenate([x for _, _, x in rows])
-            made = pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(held), pa.string()), pa.array(np.arange(len(held))), ids, pa.array(lengths), block, pa.array(seqs)],
-                names=["file", "place", "doc_id", "n_tokens", "block", "seq"],
-            )
-            held, rows, size = [], [], 0
-            return made
+                out.write(pack(np.frombuffer(b"".join(held), "<u4"), ends, widths, names.getvalue().to_pybytes()))
+            return work.record_batch([(name, block, files, len(held), int(ends[-1]))], arrow)
 
         for batch in batches:
             for at in range(0, batch.num_rows, work.SLICE):
                 part = batch.slice(at, work.SLICE)
-                codes = [x + tail for x in encoder.encode(part.column(1).to_pylist())]
-                rows.append((part.column(0), part.column(2), np.arange(seq, seq + len(codes))))
+                codes = [x + tail for x in encode(part.column(1).to_pylist())]
+                block = part.column(2)[0].as_py()
+                ids.append(part.column(0))
                 held += codes
-                seq, size = seq + len(codes), size + sum(map(len, codes)) // 4
+                size += sum(map(len, codes)) // 4
                 if size >= FILE_IDS:
                     yield flush()
+                    held, ids, size, files = [], [], 0, files + 1
         if held:
             yield flush()
 
-    manifest = ordered.mapInArrow(run, f"file string, place long, doc_id {id_kind}, n_tokens long, block int, seq long")
-    return work.store(manifest, "manifest")
+    return work.store(ordered.mapInArrow(run, schema), "manifest")
 
 
 def starts(manifest: DataFrame) -> DataFrame:
     """(file, first): ids before each file. One row per file meets in the window."""
-    files = manifest.groupBy("file").agg(F.sum("n_tokens").alias("ids"), F.min("block").alias("block"), F.min("seq").alias("seq"))
     before = Window.orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))
+    return manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
 
 
-def read(spark: SparkSession, manifest: DataFrame, where: str) -> DataFrame:
-    """One row per document from the files: doc_id, file, place, start, n_tokens, ids_crc32."""
+def read(spark: SparkSession, manifest: DataFrame, where: str, id_kind: str = "long") -> DataFrame:
+    """One row per document from the files: doc_id, file, place (in its file), start, n_tokens, ids_crc32."""
     files = work.store(starts(manifest), "starts")
-    kind = manifest.schema["doc_id"].dataType.simpleString()
+    schema, arrow = work.schemas(f"doc_id {id_kind}, file string, place long, start long, n_tokens long, ids_crc32 long")
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         store, path = work.open_store(where)
         for batch in batches:
             for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with store.open_input_file(f"{path}/{name}") as f:
                     tokens = Tokens(f.read())
+                ids = pa.ipc.open_stream(tokens.names).read_all().column(0).combine_chunks()
                 ends = tokens.ends.astype(np.int64)
                 lengths = np.diff(ends, prepend=0)
                 sums = [zlib.crc32(tokens.document(k).astype("<u4").tobytes()) for k in range(len(ends))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(ends), pa.string()), pa.array(np.arange(len(ends))), pa.array(first + ends - lengths), pa.array(lengths), pa.array(sums, pa.int64())],
-                    names=["file", "place", "start", "n_tokens", "ids_crc32"],
-                )
+                columns = [ids, [name] * len(ends), np.arange(len(ends)), first + ends - lengths, lengths, sums]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    spread = files.repartition(max(1, min(files.count(), 100_000)), "file")
-    found = spread.mapInArrow(run, "file string, place long, start long, n_tokens long, ids_crc32 long")
-    return found.join(manifest.select("file", "place", "doc_id"), ["file", "place"]).select(F.col("doc_id").cast(kind).alias("doc_id"), "file", "place", "start", "n_tokens", "ids_crc32")
+    return files.repartition(max(1, min(files.count(), 100_000)), "file").mapInArrow(run, schema)
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -264,4 +293,4 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
         definition = f.read()
     spark = docs.sparkSession
     where = work.folder(spark, "tokens")
-    return read(spark, write(docs, definition, where, end_id), where)
+    return read(spark, write(docs, definition, where, end_id), where, docs.schema["doc_id"].dataType.simpleString())
