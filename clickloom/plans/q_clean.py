@@ -68,10 +68,9 @@ def _(t):
     path = scale.scratch_path(t.spark, "by-month")
     months = t.baskets.select(F.date_format("event_time", "yyyy-MM").alias("month"))
     months.withColumn("stem", F.col("month")).write.partitionBy("stem").parquet(path)
-    stems = [r["month"] for r in months.distinct().orderBy("month").collect()]  # one per calendar month
-    _, held = files.split_holdout([f"{m}.csv" for m in stems], [m for m in stems if m > "2000-12"])
-    counts = t.spark.read.parquet(path).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("held_out", F.col("month").isin([h.split(".")[0] for h in held]))
+    train, held = files.scan_split(t.spark, path, F.col("stem") > "2000-12")
+    both = train.withColumn("held_out", F.lit(False)).unionByName(held.withColumn("held_out", F.lit(True)))
+    return both.groupBy("month", "held_out").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_05_scan", "SELECT user_id, product_id, event_type FROM clicks")
@@ -87,21 +86,17 @@ def _(t):
     return files.load_window(t.baskets, "1999-12")
 
 
-@query("src_07_table_profile", """
-SELECT ordinal, column_name, null_count, row_count FROM (
-  SELECT count(*) AS row_count FROM clicks) r, (
-  SELECT 1 AS ordinal, 'event_id' AS column_name, count(*) FILTER (event_id IS NULL) AS null_count FROM clicks
-  UNION ALL SELECT 2, 'event_time', count(*) FILTER (event_time IS NULL) FROM clicks
-  UNION ALL SELECT 3, 'event_type', count(*) FILTER (event_type IS NULL) FROM clicks
-  UNION ALL SELECT 4, 'product_id', count(*) FILTER (product_id IS NULL) FROM clicks
-  UNION ALL SELECT 5, 'category_id', count(*) FILTER (category_id IS NULL) FROM clicks
-  UNION ALL SELECT 6, 'category_code', count(*) FILTER (category_code IS NULL) FROM clicks
-  UNION ALL SELECT 7, 'brand', count(*) FILTER (brand IS NULL) FROM clicks
-  UNION ALL SELECT 8, 'price', count(*) FILTER (price IS NULL) FROM clicks
-  UNION ALL SELECT 9, 'user_id', count(*) FILTER (user_id IS NULL) FROM clicks
-  UNION ALL SELECT 10, 'user_session', count(*) FILTER (user_session IS NULL) FROM clicks)""")
-def _(t):
-    return files.table_profile(t.clicks).drop("data_type", "is_nullable")
+CLICK_TYPES = {
+    "event_id": "bigint", "event_time": "timestamp", "event_type": "string", "product_id": "bigint", "category_id": "bigint",
+    "category_code": "string", "brand": "string", "price": "double", "user_id": "bigint", "user_session": "string",
+}
+
+
+@query("src_07_table_profile", "SELECT * FROM (" + "\nUNION ALL ".join(
+    f"SELECT {i} AS ordinal, '{name}' AS column_name, '{kind}' AS data_type, TRUE AS is_nullable, count(*) FILTER ({name} IS NULL) AS null_count, count(*) AS row_count FROM clicks"
+    for i, (name, kind) in enumerate(CLICK_TYPES.items(), 1)) + ")")
+def _(t):
+    return files.table_profile(t.clicks)
 
 
 @query("src_08_load_sessions", "SELECT split, count(*) AS n FROM split_sessions GROUP BY split")

@@ -67,6 +67,8 @@ def load_with_rejects(spark: SparkSession, paths: str | Sequence[str], max_bad:
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", False)
         .option("columnNameOfCorruptRecord", corrupt)
+        # A pruned parser judges only the fields that a query reads; a row must be good or bad in all.
+        .option("columnPruning", False)
         .schema(schema)
         .csv(paths)
     )
@@ -98,6 +100,18 @@ def split_holdout(paths: Iterable[str], stems: Sequence[str] = HOLDOUT_STEMS) ->
     return train, held
 
 
+def scan_split(spark: SparkSession, path: str, held: Column) -> tuple[DataFrame, DataFrame]:
+    """(train, holdout) of a folder partitioned by file stem; each scan opens its own partitions only."""
+    table = spark.read.parquet(path)
+    return table.where(~held), table.where(held)
+
+
+def table_size(spark: SparkSession, name: str) -> int | None:
+    """Bytes of a catalog table as last analysed, or None."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Statistics'").collect()
+    return int(rows[0]["data_type"].split()[0]) if rows else None
+
+
 def scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Parquet folder, only the named columns."""
     return spark.read.parquet(path).select(*columns)

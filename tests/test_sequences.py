@@ -168,3 +168,25 @@ def test_chunks_are_not_taken_for_sequences(spark):
     for step in (sequences.shift_targets, sequences.prefix_target):
         with pytest.raises(ValueError):
             step(chunked, 5)
+
+
+def test_rejected_rows_come_back_with_a_reason(spark, tmp_path):
+    header = ",".join(f.name for f in files.RAW_EVENT_SCHEMA.fields)
+    width = len(files.RAW_EVENT_SCHEMA.fields)
+    good = ["2019-11-01 00:00:00 UTC", "view"] + ["1"] * (width - 2)
+    (tmp_path / "a.csv").write_text("\n".join([header, ",".join(good), "not a time,view" + ",1" * (width - 2), ",".join(good + ["more", "fields"])]))
+    events, rejects = files.load_with_rejects(spark, str(tmp_path / "a.csv"))
+    assert events.count() == 1
+    assert sorted(r.reason for r in rejects.collect()) == ["event_time is no time", "fields do not match the columns"]
+
+
+def test_reports_keep_every_record(spark, tmp_path):
+    files.write_report(spark.range(3), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 3
+
+
+def test_table_size_is_read_from_the_catalog(spark, tmp_path):
+    spark.range(100).write.mode("overwrite").option("path", str(tmp_path / "t")).saveAsTable("sized")
+    spark.sql("ANALYZE TABLE sized COMPUTE STATISTICS")
+    assert files.table_size(spark, "sized") > 100
+    spark.sql("DROP TABLE sized")
