@@ -52,7 +52,7 @@ class Hasher:
         if len(self.known) > _CACHE:
             self.known = {}
         known = self.known
-        for t in set(tokens) - known.keys():
+        for t in [t for t in set(tokens) if t not in known]:
             raw = t.encode("utf-8", "surrogatepass")
             known[t] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)
         one = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
