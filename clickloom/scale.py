@@ -25,6 +25,9 @@ DAY = 86_400
 _ROW_BITS = 33
 
 
+_scratch: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at ``spark.checkpoint.dir``; only a local master may fall back to /tmp."""
     sc = spark.sparkContext
@@ -43,15 +46,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet beside the checkpoints and read it back; survives lost executors."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name next to the checkpoints."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}-{name}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}-{name}"
+    _scratch.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete every scratch folder of this process. Frames that were stored in them end with that."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def epoch_seconds(c: Column | str) -> Column:
