@@ -228,7 +228,7 @@ class Scorer:
         split = [words(t) for t in texts]
         if len(self.place) > _CACHE:
             self._forget()
-        self._learn(list({w for x in split for w in x} - self.place.keys()))
+        self._learn([w for w in set().union(*split) if w not in self.place])
         langs, scores, get = [], [], self.place.__getitem__
         for found in split:
             sums = self.table[np.fromiter(map(get, found), np.int64, len(found))].sum(axis=0)
