@@ -39,6 +39,7 @@ SUPPORT = 5  # toxic documents, at least, that a term must stand in and explain
 SHARE = 0.002  # the same as a share of the toxic documents
 DEPTH = 4  # terms that a toxic document asks for before it counts as explained
 PURITY = 0.97  # least share of toxic documents among a term's, at equal class sizes
+_HELD = 200_000  # terms that a task counts before it passes them on
 STEMS = range(4, 9)  # lengths of word beginnings
 REJECT = 0.7
 
@@ -145,13 +146,18 @@ def _words(text: str | None) -> set[str]:
 def _candidates(labelled: DataFrame, toxic: int, clean: int) -> list[tuple[str, int, int]]:
     schema, arrow = work.schemas("term string, toxic long, clean long")
 
+    def counted(counts: tuple[Counter, Counter]):
+        return work.record_batch([(t, counts[0][t], counts[1][t]) for t in counts[0].keys() | counts[1].keys()], arrow)
+
     def run(batches: Iterator) -> Iterator:
         counts = (Counter(), Counter())
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[0 if label else 1].update(terms_of(_words(text)))
-        # Terms of clean documents alone can't become candidates of this task's rows, but may of others'.
-        yield work.record_batch([(t, counts[0][t], counts[1][t]) for t in counts[0].keys() | counts[1].keys()], arrow)
+                if len(counts[0]) + len(counts[1]) > _HELD:
+                    yield counted(counts)
+                    counts = (Counter(), Counter())
+        yield counted(counts)
 
     pure = F.col("toxic") / toxic / (F.col("toxic") / toxic + (F.col("clean") + 0.5) / clean)
     least = max(SUPPORT, SHARE * toxic)
