@@ -139,13 +139,13 @@ def _(t):
 
 
 cte("drift_p", "SELECT product_id AS item_id, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM clicks WHERE event_time < TIMESTAMP '2024-01-16' GROUP BY 1")
-cte("drift_q", "SELECT product_id AS item_id, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM clicks WHERE event_time >= TIMESTAMP '2024-01-30 22:00:00' GROUP BY 1")
+cte("drift_q", "SELECT product_id AS item_id, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM clicks WHERE event_time >= TIMESTAMP '2024-01-16' GROUP BY 1")
 
 
 def drift_windows(t):
-    """The first half of the month against its last two hours, in which some items do not occur."""
-    a = t.clicks.where(F.col("event_time") < F.lit(datetime(2024, 1, 16)))
-    b = t.clicks.where(F.col("event_time") >= F.lit(datetime(2024, 1, 30, 22)))
+    """The first and the second half of the month, each whole."""
+    half = F.lit(datetime(2024, 1, 16))
+    a, b = t.clicks.where(F.col("event_time") < half), t.clicks.where(F.col("event_time") >= half)
     return a.select(F.col("product_id").alias("item_id")), b.select(F.col("product_id").alias("item_id"))
 
 
