@@ -305,8 +305,10 @@ def batch_scores(tp: DataFrame, uvec: DataFrame, ivec: DataFrame, size: int = 64
     b = batches(tp, size, n, seed)
     u = b.join(uvec.select("user_idx", unit("vec").alias("vu")), "user_idx").select("batch", F.struct("user_idx", "item_idx").alias("row"), "vu")
     i = b.join(ivec.select("item_idx", unit("vec").alias("vi")), "item_idx").select("batch", F.struct("user_idx", "item_idx").alias("other"), "vi")
+    # The rows of one side are dealt over all tasks; the other side is at most n * size vectors.
+    u = u.repartition(u.sparkSession.sparkContext.defaultParallelism, "row")
     scores = scale.cut_lineage(
-        u.join(i, "batch").select((F.col("row") == F.col("other")).alias("positive"), F.round(dot("vu", "vi"), 9).alias("s"))
+        u.join(F.broadcast(i), "batch").select((F.col("row") == F.col("other")).alias("positive"), F.round(dot("vu", "vi"), 9).alias("s"))
     )
     row = scores.agg(F.count_if("positive").alias("n_positive"), F.count_if(~F.col("positive")).alias("n_negative"))
     pos, neg = _spread(scores.where("positive"), "s", "pos_"), _spread(scores.where(~F.col("positive")), "s", "neg_")

@@ -167,11 +167,11 @@ SELECT item_id, c1, c2, array_to_string(list_transform(string_split(b, ' '), lam
          WHEN w IN ('lg','hp','aeg','tcl','bmw','kia','cpu','ssd','led','rgb','usb','hdmi','tv','jbl','msn') THEN upper(w)
          ELSE upper(w[1]) || w[2:] END), ' ') AS brand, price
 FROM catalog_rows WHERE product_id IN {PRESETS}
-   OR product_id IN (SELECT product_id FROM catalog_rows ORDER BY interactions DESC, product_id LIMIT 500)""")
+   OR product_id IN (SELECT product_id FROM catalog_rows ORDER BY interactions DESC, product_id LIMIT 2000)""")
 
 
 def catalog(t):
-    return files.build_catalog(t.item_features, 500, PRESETS)
+    return files.build_catalog(t.item_features, 2000, PRESETS)
 
 
 @query("snk_07_build_catalog", "SELECT * FROM catalog")

@@ -158,11 +158,11 @@ def _(t):
 
 
 @query("neg_10_popularity_risk", f"""
-WITH top AS (SELECT i.cat_l2, count(*) AS c FROM (SELECT item_idx FROM tp GROUP BY 1 ORDER BY count(*) DESC, item_idx LIMIT 200) JOIN items i USING (item_idx) GROUP BY 1),
+WITH top AS (SELECT i.cat_l2, count(*) AS c FROM (SELECT item_idx FROM tp GROUP BY 1 ORDER BY count(*) DESC, item_idx LIMIT 2000) JOIN items i USING (item_idx) GROUP BY 1),
      u AS (SELECT t.user_idx, coalesce(sum(top.c), 0) * 100 / (SELECT sum(c) FROM top) AS s FROM (SELECT DISTINCT p.user_idx, i.cat_l2 FROM tp p JOIN items i USING (item_idx)) t LEFT JOIN top USING (cat_l2) GROUP BY 1)
 SELECT count(*)::BIGINT AS n_users, round(avg(s), 6) AS mean, {', '.join(f"round(quantile_cont(s, {p}), 6) AS p{round(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9))} FROM u""")
 def _(t):
-    return negatives.popularity_risk(t.pairs, t.items, 200)
+    return negatives.popularity_risk(t.pairs, t.items, 2000)
 
 
 cte("freqs", "SELECT item_idx, count(*) AS freq, row_number() OVER (ORDER BY count(*) DESC, item_idx) AS pop_rank FROM tp GROUP BY 1")
@@ -171,9 +171,9 @@ cte("freqs", "SELECT item_idx, count(*) AS freq, row_number() OVER (ORDER BY cou
 @query("neg_11_popularity_profile", f"""
 SELECT count(*)::BIGINT AS trained_items, sum(freq)::BIGINT AS pairs, max(freq) AS max, {', '.join(f"round(quantile_cont(freq, {p}), 6) AS p{round(p * 100)}" for p in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99))},
        count(*) FILTER (freq < 15)::BIGINT AS rare_items, count(*) FILTER (freq = 1)::BIGINT AS once_items, (SELECT count(*) FROM items) AS catalog_items,
-       sum(freq) FILTER (pop_rank <= 200)::BIGINT AS top_pairs, (SELECT count(*) FROM items) - count(*)::BIGINT AS never_trained, round(sum(freq) FILTER (pop_rank <= 200) * 100 / sum(freq), 4) AS top_pct FROM freqs""")
+       sum(freq) FILTER (pop_rank <= 1000)::BIGINT AS top_pairs, (SELECT count(*) FROM items) - count(*)::BIGINT AS never_trained, round(sum(freq) FILTER (pop_rank <= 1000) * 100 / sum(freq), 4) AS top_pct FROM freqs""")
 def _(t):
-    return negatives.popularity_profile(t.pairs, t.items, 200, 15)
+    return negatives.popularity_profile(t.pairs, t.items, 1000, 15)
 
 
 @query("neg_11_top_items", """
@@ -182,14 +182,14 @@ def _(t):
     return negatives.top_items(t.pairs)
 
 
-cte("big_batches", f"SELECT *, (row_number() OVER (ORDER BY {draw_sql(42, 'user_idx', 'item_idx')}, user_idx, item_idx) - 1) // 512 AS batch FROM tp")
+cte("big_batches", f"SELECT *, (row_number() OVER (ORDER BY {draw_sql(42, 'user_idx', 'item_idx')}, user_idx, item_idx) - 1) // 2048 AS batch FROM tp")
 
 
 @query("neg_12_batch_popularity", """
-SELECT batch, count(*) AS pairs, round(count(*) FILTER (pop_rank <= 200) * 100 / count(*), 4) AS top_pct, round(count(*) FILTER (freq < 15) * 100 / count(*), 4) AS rare_pct,
+SELECT batch, count(*) AS pairs, round(count(*) FILTER (pop_rank <= 1000) * 100 / count(*), 4) AS top_pct, round(count(*) FILTER (freq < 15) * 100 / count(*), 4) AS rare_pct,
        round(avg(pop_rank), 6) AS mean_rank, round(median(pop_rank), 6) AS median_rank FROM big_batches JOIN freqs USING (item_idx) WHERE batch < 10 GROUP BY 1""")
 def _(t):
-    return negatives.batch_popularity(t.pairs, 512, 10, 200, 15)
+    return negatives.batch_popularity(t.pairs, 2048, 10, 1000, 15)
 
 
 def same_sql(level: str) -> str:
@@ -199,7 +199,7 @@ def same_sql(level: str) -> str:
 @query("neg_13_batch_same_category", f"""
 SELECT batch, n.pairs, a.same_cat_l1_pct, b.same_cat_l2_pct FROM (SELECT batch, count(*) AS pairs FROM big_batches WHERE batch < 10 GROUP BY 1) n JOIN {same_sql('cat_l1')} a USING (batch) JOIN {same_sql('cat_l2')} b USING (batch)""")
 def _(t):
-    return negatives.batch_same_category(t.pairs, t.items, 512, 10)
+    return negatives.batch_same_category(t.pairs, t.items, 2048, 10)
 
 
 @query("neg_14_collision_probability", """

@@ -421,17 +421,17 @@ def _(t):
 
 
 cte("batched", f"""
-SELECT user_idx, item_idx, (row_number() OVER (ORDER BY {draw_sql(42, 'user_idx', 'item_idx')}, user_idx, item_idx) - 1) // 64 AS batch FROM ctp""")
+SELECT user_idx, item_idx, (row_number() OVER (ORDER BY {draw_sql(42, 'user_idx', 'item_idx')}, user_idx, item_idx) - 1) // 2048 AS batch FROM ctp""")
 cte("batch_pairs", """
 SELECT a.user_idx = b.user_idx AND a.item_idx = b.item_idx AS positive, list_dot_product(u.v, i.v) AS s FROM batched a JOIN batched b ON a.batch = b.batch
-JOIN uvecs u ON u.user_idx = a.user_idx JOIN units i ON i.item_idx = b.item_idx WHERE a.batch < 4""")
+JOIN uvecs u ON u.user_idx = a.user_idx JOIN units i ON i.item_idx = b.item_idx WHERE a.batch < 5""")
 
 
 @query("ev_19_batch_scores", f"""
 SELECT p.*, n.*, round(p.pos_mean - n.neg_mean, 6) AS gap, (SELECT count(*) FROM batch_pairs WHERE positive) AS n_positive, (SELECT count(*) FROM batch_pairs WHERE NOT positive) AS n_negative
 FROM ({spread_sql('s', 'batch_pairs WHERE positive', 'pos_')}) p, ({spread_sql('s', 'batch_pairs WHERE NOT positive', 'neg_')}) n""")
 def _(t):
-    return evaluate.batch_scores(t.click_pairs, user_vectors(t), t.vectors, 64, 4)
+    return evaluate.batch_scores(t.click_pairs, user_vectors(t), t.vectors, 2048, 5)
 
 
 @query("ev_20_gt_vs_random", f"""
