@@ -1,7 +1,7 @@
 """Secret scans of whole texts: three plain patterns, and candidates confirmed by their structure.
 
-Beyond the patterns, runs of base64 or hex digits and dotted triples are decoded and reported only
-if what they hold parses: a private key in DER (nested lengths must add up exactly), a key in
+Beyond the patterns, runs of base64 or hex digits, in one line or wrapped, and dotted triples are decoded and
+reported only if what they hold parses: a private key in DER (nested lengths must add up exactly), a key in
 OpenSSH's own encoding, or a signed token whose header and claims are JSON objects and whose header names an
 algorithm. Public keys, certificates, digests and random strings parse as none of these.
 
@@ -31,11 +31,19 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "ssh_key", "signed_token")
 BASE = KINDS[:3]
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
+# Line breaks as they are, or written out as in JSON and source text; there, the letter is no digit of the next line.
+_BREAK = r"(?:\s|\\+[nr])"
+_BREAKS = re.compile(_BREAK + "+")
+_PEM = re.compile(rf"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=]|{_BREAK})*?)-----END \1-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 _SSH_MAGIC = b"openssh-key-v1\x00"
+# First lines of wrapped keys, of 16 digits at least: DER begins with byte 0x30, OpenSSH keys with their magic. And the lines after them.
+_WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M[A-P][A-Za-z0-9+/_-]{14,}|b3BlbnNza[A-Za-z0-9+/_-]{7,})")
+_HEX_WRAPPED = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{14,}|6[Ff]70656[Ee]73736[0-9A-Fa-f]{3,})")
+_NEXT = re.compile(_BREAK + r"+([A-Za-z0-9+/_-]+)")
+_HEX_NEXT = re.compile(_BREAK + r"+([0-9A-Fa-f]+)")
 
 
 # --------------------------------------------------------------------------- structures
@@ -80,22 +88,35 @@ def is_der_key(data: bytes) -> bool:
     return len(parts) >= 6 and set(tags[:6]) == {0x02} and len(parts[1][1]) >= 32  # numbers of RSA or DSA
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether ``data`` is a private key in OpenSSH's encoding: its length-prefixed fields add up."""
+def _ssh_length(data: bytes) -> int:
+    """Bytes of the key in OpenSSH's encoding that ``data`` begins with, by its length-prefixed fields; 0 if it's none."""
     if not data.startswith(_SSH_MAGIC):
-        return False
+        return 0
     at, fields = len(_SSH_MAGIC), 0
     while at + 4 <= len(data) and fields < 3:
         at += 4 + int.from_bytes(data[at : at + 4], "big")
         fields += 1
     if fields < 3 or at + 4 > len(data) or not 1 <= int.from_bytes(data[at : at + 4], "big") <= 16:
-        return False
+        return 0
     keys, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
     for _ in range(keys):
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+    return at
+
+
+def _der_length(data: bytes) -> int:
+    """Bytes of the DER element that ``data`` begins with, by its length field; 0 if that's malformed."""
+    if len(data) < 2 or not data[1] & 0x80:
+        return 2 + data[1] if len(data) > 1 else 0
+    size = data[1] & 0x7F
+    return 2 + size + int.from_bytes(data[2 : 2 + size], "big") if 1 <= size <= 4 and len(data) >= 2 + size else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Whether ``data`` is a private key in OpenSSH's encoding: its length-prefixed fields add up."""
+    return 0 < _ssh_length(data) == len(data)
 
 
 def _base64(text: str) -> bytes:
@@ -135,17 +156,49 @@ def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), "hex"
 
 
+def wrapped_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in lines of base64 or hex digits. The length that a key states says with which line it ends."""
+    for first, later, bits, decode in ((_WRAPPED, _NEXT, 6, _base64), (_HEX_WRAPPED, _HEX_NEXT, 4, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
+        for m in first.finditer(text):
+            lines, ends, have = [m[0]], [m.end()], len(m[0])
+            ssh = m[0][0] in "b6"
+            most = None if ssh else -(-8 * _der_length(decode(m[0][:16])) // bits)
+            # An OpenSSH key states its length field by field: all lines are joined, then cut.
+            while (most is None or have < most) and (n := later.match(text, ends[-1])):
+                lines.append(n[1])
+                ends.append(n.end())
+                have += len(n[1])
+            if ssh:
+                joined = "".join(lines)
+                most = -(-8 * _ssh_length(decode(joined[: len(joined) // 4 * 4])) // bits) or -(-8 * _ssh_length(decode(joined)) // bits)
+            have = 0
+            for k, end in enumerate(ends):
+                have += len(lines[k])
+                if have >= most:
+                    if have == most and (kind := _key_kind(decode("".join(lines[: k + 1])))):
+                        padding = re.compile("={0,2}").match(text, end) if bits == 6 else None
+                        yield m.start(), padding.end() if padding else end, kind
+                    break
+
+
 def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    found = set()
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if _key_kind(_base64("".join(m[2].split()))):
+            if _key_kind(_base64(_BREAKS.sub("", m[2]))):
+                found.add(m.span())
                 yield m.start(), m.end(), "pem_key"
     for m in _RUN.finditer(text):
         if kind := _key_kind(_base64(m[0])):
+            found.add(m.span())
             yield m.start(), m.end(), kind
     for m in _HEX_RUN.finditer(text):
         if kind := _key_kind(bytes.fromhex(m[0])):
+            found.add(m.span())
             yield m.start(), m.end(), kind
+    for a, b, kind in wrapped_spans(text):
+        if not any(x <= a and b <= y for x, y in found):
+            yield a, b, kind
     if "." in text:
         for m in _TOKEN.finditer(text):
             if is_signed_token(m[1], m[2]):
