@@ -207,7 +207,18 @@ def hex_digits(fp: Column | str) -> Column:
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id.
 
-    Rows that repeat the kept document stay once. A row without doc_id can't be named and stays.
+    Rows that repeat the kept document stay once. Rows that share a doc_id and differ in their fingerprint are
+    decided one by one. A row without doc_id can't be named and stays.
     """
-    gone = classes(docs, radius).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    marked = work.store(classes(docs, radius).where("doc_id IS NOT NULL").select("doc_id", "fp", "component_id"), "marked")
+    goes, mixed = F.max(F.col("doc_id") != F.col("component_id")).alias("goes"), (F.min("fp") != F.max("fp")).alias("mixed")
+    gone = work.store(marked.groupBy("doc_id").agg(goes, mixed).where("goes").drop("goes"), "gone")
+    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    doubtful = gone.where("mixed").select("doc_id")
+    if not doubtful.isEmpty():
+        signed = F.udf(lambda text: int(np.uint64(fingerprint(text)).astype(np.int64)), "long")
+        drop = marked.where("doc_id <> component_id").select("doc_id", F.col("fp").alias("_fp")).distinct()
+        rows = named.join(doubtful, "doc_id", "left_semi").withColumn("_fp", signed(F.col("text").cast("string")))
+        kept = kept.unionByName(rows.join(drop, ["doc_id", "_fp"], "left_anti").select(*docs.columns))
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(nameless)
