@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import audit, decontaminate, language, mix, quality, quartile, secrets, simhash, tokens, toxicity, warc, work
+from clickloom.llm import alignment, audit, decontaminate, language, mix, quality, quartile, secrets, setjoin, simhash, tokens, toxicity, warc, work
 
 #: Folder of the public vocabularies; by default that of the installed package.
 TOKENIZERS = os.environ.get("CLICKLOOM_TOKENIZERS")
@@ -83,10 +83,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set and component of linked sets of every document."""
+    return setjoin.classes(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of the 120 orders of five filters keeps and removes, by part and step."""
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_simhash, op4_language, op5_warc, op6_quality, op7_token_ids, op8_toxicity, op9_quartile_digest, op10_secrets, op12_filter_audit)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under two tokenizers, and how usual its links are."""
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as a, open(tokenizer_path("piece_bpe_32k.model"), "rb") as b:
+        return alignment.alignment(_table(spark, sf_dir, "documents"), a.read(), b.read())
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_simhash, op4_language, op5_warc, op6_quality, op7_token_ids, op8_toxicity, op9_quartile_digest, op10_secrets, op11_shingle_join, op12_filter_audit, op13_alignment)}
 ORACLES: dict[str, str] = {"op5_warc": warc.SQL, "op12_filter_audit": audit.SQL}
