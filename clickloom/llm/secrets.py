@@ -17,7 +17,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -42,6 +43,7 @@ _SSH_MAGIC = b"openssh-key-v1\x00"
 # First lines of wrapped keys, of 16 digits at least: DER begins with byte 0x30, OpenSSH keys with their magic. And the lines after them.
 _WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M[A-P][A-Za-z0-9+/_-]{14,}|b3BlbnNza[A-Za-z0-9+/_-]{7,})")
 _HEX_WRAPPED = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{14,}|6[Ff]70656[Ee]73736[0-9A-Fa-f]{3,})")
+_PADDING = re.compile("={0,2}")
 _NEXT = re.compile(_BREAK + r"+([A-Za-z0-9+/_-]+)")
 _HEX_NEXT = re.compile(_BREAK + r"+([0-9A-Fa-f]+)")
 
@@ -88,21 +90,32 @@ def is_der_key(data: bytes) -> bool:
     return len(parts) >= 6 and set(tags[:6]) == {0x02} and len(parts[1][1]) >= 32  # numbers of RSA or DSA
 
 
-def _ssh_length(data: bytes) -> int:
-    """Bytes of the key in OpenSSH's encoding that ``data`` begins with, by its length-prefixed fields; 0 if it's none."""
-    if not data.startswith(_SSH_MAGIC):
+def _ssh_length(read: Callable[[int, int], bytes]) -> int:
+    """Bytes of the key in OpenSSH's encoding that begins at 0, by its length-prefixed fields; 0 if it's none.
+
+    ``read(a, b)`` gives bytes a to b, fewer at the end of the data; only length fields are read.
+    """
+    def number(at: int) -> int:
+        raw = read(at, at + 4)
+        return int.from_bytes(raw, "big") if len(raw) == 4 else -1
+
+    at = len(_SSH_MAGIC)
+    if read(0, at) != _SSH_MAGIC:
         return 0
-    at, fields = len(_SSH_MAGIC), 0
-    while at + 4 <= len(data) and fields < 3:
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        fields += 1
-    if fields < 3 or at + 4 > len(data) or not 1 <= int.from_bytes(data[at : at + 4], "big") <= 16:
+    for _ in range(3):
+        n = number(at)
+        if n < 0:
+            return 0
+        at += 4 + n
+    keys = number(at)
+    if not 1 <= keys <= 16:
         return 0
-    keys, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
-    for _ in range(keys):
-        if at + 4 > len(data):
+    at += 4
+    for _ in range(keys + 1):
+        n = number(at)
+        if n < 0:
             return 0
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        at += 4 + n
     return at
 
 
@@ -116,7 +129,7 @@ def _der_length(data: bytes) -> int:
 
 def is_ssh_key(data: bytes) -> bool:
     """Whether ``data`` is a private key in OpenSSH's encoding: its length-prefixed fields add up."""
-    return 0 < _ssh_length(data) == len(data)
+    return 0 < _ssh_length(lambda a, b: data[a:b]) == len(data)
 
 
 def _base64(text: str) -> bytes:
@@ -156,29 +169,80 @@ def base_spans(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), "hex"
 
 
+class _Lines:
+    """Runs of lines of digits, each walked once however many candidates begin in it.
+
+    A candidate's first line ends where a line of some run ends; from there on its lines are the run's.
+    """
+
+    def __init__(self, text: str, later: re.Pattern, bits: int):
+        self.text, self.later, self.bits = text, later, bits
+        self.place: dict[int, tuple[tuple[list[int], list[int], list[int]], int]] = {}
+
+    def after(self, end: int) -> tuple[tuple[list[int], list[int], list[int]], int]:
+        """((begins, ends, digits up to each line's end) of the run, place of the line that ends at ``end``)."""
+        if end not in self.place:
+            begins, ends, upto, at = [end], [end], [0], end
+            while n := self.later.match(self.text, at):
+                at = n.end()
+                begins.append(n.start(1))
+                ends.append(at)
+                upto.append(upto[-1] + at - n.start(1))
+            run = begins, ends, upto
+            self.place.update((e, (run, k)) for k, e in enumerate(ends))
+        return self.place[end]
+
+    def digits(self, start: int, end: int, a: int, b: int) -> str:
+        """Digits a to b of the candidate whose first line is text[start:end]."""
+        first = end - start
+        out = [self.text[start + a : start + min(b, first)]] if a < first else []
+        (begins, ends, upto), k = self.after(end)
+        a, b = max(a - first, 0) + upto[k], b - first + upto[k]
+        at = bisect_right(upto, a)
+        while at < len(upto) and upto[at - 1] < b:
+            low, high = max(a - upto[at - 1], 0), min(b, upto[at]) - upto[at - 1]
+            out.append(self.text[begins[at] + low : begins[at] + high])
+            at += 1
+        return "".join(out)
+
+    def line_end(self, start: int, end: int, n: int) -> int | None:
+        """Where in the text the candidate's first n digits end, if a line ends there."""
+        (_, ends, upto), k = self.after(end)
+        want = n - (end - start) + upto[k]
+        at = bisect_left(upto, want, k)
+        return ends[at] if at < len(upto) and upto[at] == want else None
+
+
 def wrapped_spans(text: str) -> Iterator[tuple[int, int, str]]:
-    """Keys in lines of base64 or hex digits. The length that a key states says with which line it ends."""
+    """Keys in lines of base64 or hex digits. The length that a key states says with which line it ends.
+
+    Lengths are read from the few digits that hold them and looked up among the line ends; a candidate is
+    decoded only if a line ends where it should, so repeated starts of keys cost no walk over all lines each.
+    """
     for first, later, bits, decode in ((_WRAPPED, _NEXT, 6, _base64), (_HEX_WRAPPED, _HEX_NEXT, 4, lambda x: bytes.fromhex(x[: len(x) // 2 * 2]))):
+        lines = _Lines(text, later, bits)
+        group = (4, 3) if bits == 6 else (2, 1)  # digits that hold whole bytes
+
         for m in first.finditer(text):
-            lines, ends, have = [m[0]], [m.end()], len(m[0])
-            ssh = m[0][0] in "b6"
-            most = None if ssh else -(-8 * _der_length(decode(m[0][:16])) // bits)
-            # An OpenSSH key states its length field by field: all lines are joined, then cut.
-            while (most is None or have < most) and (n := later.match(text, ends[-1])):
-                lines.append(n[1])
-                ends.append(n.end())
-                have += len(n[1])
-            if ssh:
-                joined = "".join(lines)
-                most = -(-8 * _ssh_length(decode(joined[: len(joined) // 4 * 4])) // bits) or -(-8 * _ssh_length(decode(joined)) // bits)
-            have = 0
-            for k, end in enumerate(ends):
-                have += len(lines[k])
-                if have >= most:
-                    if have == most and (kind := _key_kind(decode("".join(lines[: k + 1])))):
-                        padding = re.compile("={0,2}").match(text, end) if bits == 6 else None
-                        yield m.start(), padding.end() if padding else end, kind
-                    break
+            start, end = m.span()
+
+            def read(a: int, b: int, start=start, end=end) -> bytes:
+                skip = a // group[1]
+                raw = decode(lines.digits(start, end, skip * group[0], -(-b // group[1]) * group[0]))
+                return raw[a - skip * group[1] : b - skip * group[1]]
+
+            if m[0][0] in "b6":
+                size = _ssh_length(read)
+            else:
+                head = decode(m[0][:16])
+                size = _der_length(head)
+                # All private keys begin with their version, a number of one byte.
+                inner = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0) if len(head) > 1 else 0
+                size = size if read(inner, inner + 2) == b"\x02\x01" else 0
+            n = -(-8 * size // bits)
+            if size and n >= end - start and (stop := lines.line_end(start, end, n)) is not None and (kind := _key_kind(decode(lines.digits(start, end, 0, n)))):
+                padding = _PADDING.match(text, stop) if bits == 6 else None
+                yield start, padding.end() if padding else stop, kind
 
 
 def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:

@@ -40,3 +40,21 @@ def test_wrapped_digits_that_are_no_key():
     for data in (PUBLIC, RSA[:-1], noise, b"\x30\x82\x02\x00" + noise):
         for digits in (b64(data), data.hex().upper()):
             assert [k for k in kinds(f"see {wrap(digits, 64)} there") if k.endswith("_key")] == []
+
+
+def test_repeated_starts_of_keys_cost_time_in_proportion():
+    import base64
+    import time
+
+    from clickloom.llm import secrets
+
+    ssh = "b3BlbnNzaC1rZXktdjEAAAAA"
+    der = "MIL" + base64.b64encode(bytes(range(60))).decode().rstrip("=").replace("+", "a").replace("/", "b")
+    for line in (ssh, der):
+        took = []
+        for n in (20_000, 40_000):
+            text = "\n".join([line] * n)
+            began = time.process_time()
+            assert [s for s in secrets.spans(text) if s[2] not in secrets.BASE] == []
+            took.append(time.process_time() - began)
+        assert took[1] < 3.5 * took[0] + 0.5 and took[1] < 12, took
