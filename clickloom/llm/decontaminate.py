@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found through exact pieces and verified by edit distance.
 
-Texts are reduced to lower-cased words (letters and digits) with single blanks between. An item of m
+Texts are reduced to lower-cased words (letters with their marks, and digits) with single blanks between. An item of m
 characters may differ by k = floor(m * ``RATE``) edits. Cut into k + 1 pieces, at least one piece
 stays whole in any such copy (pigeonhole), so one Aho-Corasick automaton over all pieces finds every
 place worth looking at; Myers' bit-parallel distance then decides there, against any beginning.
@@ -9,8 +9,8 @@ Documents are never shuffled. The items reach the tasks in blocks of bounded siz
 of text), one pass over the documents a block, however large the benchmark grows.
 
 Defined cases: a null or empty text has no passages; an item without words is found nowhere; items
-of under ``WORDS`` words must match exactly and at word bounds; of overlapping matches of an item
-the one with the fewest edits, then the first, is reported; repeated items and rows give repeated
+of under ``WORDS`` words must match exactly; a match that cuts words counts their letters outside it as
+edits; of overlapping matches of an item the one with the fewest edits, then the first, is reported; repeated items and rows give repeated
 results; a null doc_id or item_id stays null; empty tables give empty results; other columns are ignored.
 """
 
@@ -28,7 +28,8 @@ from clickloom.llm import work
 RATE = 0.08
 WORDS = 5
 BLOCK = 8 << 20
-_WORD = re.compile(r"\w+")
+#: Letters, digits and the marks that belong to letters.
+_WORD = re.compile(rf"[\w{work.MARKS}]+")
 
 
 class Match(NamedTuple):
@@ -78,6 +79,13 @@ def best_end(masks: dict[str, int], m: int, text: str, start: int, stop: int) ->
     return best, at
 
 
+def outside(text: str, start: int, end: int) -> int:
+    """Letters that the words cut by text[start:end] have outside it."""
+    before = start - (text.rfind(" ", 0, start) + 1) if text[start : start + 1] != " " else 0
+    after = text.find(" ", end) if text[end - 1 : end] != " " else end
+    return before + ((after if after >= 0 else len(text)) - end)
+
+
 class Finder:
     """Matches of one block of items in reduced texts."""
 
@@ -101,41 +109,59 @@ class Finder:
         if at:
             self.automaton.make_automaton()
 
-    def _windows(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(item, first, last begin) of every run of neighbouring places where an item may begin."""
+    def _windows(self, text: str) -> Iterator[tuple[int, list[int]]]:
+        """(item, begins): places where an item may begin, in runs whose matches may overlap."""
         begins: dict[int, list[int]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for item, a in places:
                 begins.setdefault(item, []).append(end + 1 - size - a)
         for item, found in begins.items():
             found.sort()
-            k = self.edits[item]
-            first = last = found[0]
-            for b in found[1:]:
-                if b - last > 2 * k + 1:
-                    yield item, first, last
-                    first = b
-                last = b
-            yield item, first, last
+            reach, at = len(self.items[item]) + 2 * self.edits[item], 0
+            for k in range(1, len(found) + 1):
+                if k == len(found) or found[k] - found[k - 1] > reach:
+                    yield item, found[at:k]
+                    at = k
+
+    def _exact(self, item: int, begins: list[int], text: str) -> Iterator[Match]:
+        """Matches of an item that may not differ."""
+        end, m = 0, len(self.items[item])
+        for start in begins:
+            # The only piece of such an item is the item itself.
+            if start >= end and not outside(text, start, start + m):
+                end = start + m
+                yield Match(item, start, end, 0)
+
+    def _close(self, item: int, low: int, stop: int, text: str) -> Iterator[Match]:
+        """Matches inside text[low:stop]: the best, then the best on either side of it, and so on."""
+        m, k, parts = len(self.items[item]), self.edits[item], [(low, stop)]
+        while parts:
+            low, stop = parts.pop()
+            if stop - low < m - k:
+                continue
+            distance, end = best_end(self.masks[item], m, text, low, stop)
+            if distance > k:
+                continue
+            turned = text[max(low, end - m - k) : end][::-1]
+            _, length = best_end(self.back[item], m, turned, 0, len(turned))
+            start = end - length
+            # Letters of cut words on both sides are edits too.
+            if distance + outside(text, start, end) <= k:
+                yield Match(item, start, end, distance)
+                parts += [(low, start), (end, stop)]
+            else:
+                after = text.find(" ", start, stop)
+                parts += [(low, start), (after + 1, stop)] if after >= 0 else [(low, start)]
 
     def find(self, text: str) -> list[Match]:
         out = []
-        for item, first, last in self._windows(text) if text and not self.empty else ():
-            pattern, k = self.items[item], self.edits[item]
-            m, low = len(pattern), max(0, first - k)
-            stop = min(len(text), last + m + k)
-            # A long run of possible begins can hold several copies: after one, look on behind it.
-            while low < stop:
-                distance, end = best_end(self.masks[item], m, text, low, stop)
-                if distance > k:
-                    break
-                turned = text[max(0, end - m - k) : end][::-1]
-                _, length = best_end(self.back[item], m, turned, 0, len(turned))
-                start = end - length
-                few = pattern.count(" ") + 1 < WORDS
-                if not few or (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " "):
-                    out.append(Match(item, start, end, distance))
-                low = end
+        for item, begins in self._windows(text) if text and not self.empty else ():
+            k = self.edits[item]
+            if k:
+                found = self._close(item, max(0, begins[0] - k), min(len(text), begins[-1] + len(self.items[item]) + k), text)
+            else:
+                found = self._exact(item, begins, text)
+            out += sorted(found)
         return out
 
     def any(self, text: str) -> bool:

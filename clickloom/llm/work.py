@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,6 +21,26 @@ from clickloom import scale
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _class_of(*categories: str) -> str:
+    """The characters of some Unicode categories, as ranges for a character class."""
+    places = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in categories]
+    starts = [c for k, c in enumerate(places) if not k or places[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(places) if k + 1 == len(places) or places[k + 1] != c + 1]
+    return "".join(re.escape(chr(a)) + "-" + re.escape(chr(b)) for a, b in zip(starts, ends))
+
+
+#: Marks that belong to the letter before them (vowel signs, accents), for a character class.
+MARKS = _class_of("Mn", "Mc")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh folder address below ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)

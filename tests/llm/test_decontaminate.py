@@ -90,3 +90,57 @@ def test_awkward_rows(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert dc.passages(docs, nothing).count() == 0 and dc.without_passages(docs, nothing).count() == len(fixtures.TEXTS)
     assert dc.passages(fixtures.empty(spark), bench).count() == 0
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def plain_matches(item, text, k):
+    """Best match, then the best in what is left on both sides, over all parts of the text."""
+    best = None
+    for start in range(len(text)):
+        for end in range(start + len(item) - k, min(len(text), start + len(item) + k) + 1):
+            if end > start:
+                d = plain_distance(item, text[start:end])
+                if d + dc.outside(text, start, end) <= k and (best is None or (d, end) < best[0]):
+                    best = (d, end), start
+    if best is None:
+        return []
+    (d, end), start = best
+    left, right = plain_matches(item, text[:start].rstrip(" "), k), plain_matches(item, text[end:].lstrip(" "), k)
+    return left + [d] + right
+
+
+def test_periodic_items_lose_no_copy():
+    item = " ".join(["ab cd"] * 8)
+    one_edit = item.replace("ab", "ax", 1)
+    text = one_edit + " ab cd ab cd axz" * 6 + " " + item
+    found = dc.Finder([item]).find(text)
+    # The text goes on as the item does, so the best place of the first copy is one period later.
+    assert [(m.start, m.end, m.distance) for m in found] == [(6, 53, 0), (144, 191, 0)]
+    apart = one_edit + " zz yy" * 6 + " " + item
+    assert [(m.start, m.distance) for m in dc.Finder([item]).find(apart)] == [(0, 1), (84, 0)]
+
+
+def test_repeated_copies_beside_brute_force():
+    rng = random.Random(3)
+    for _ in range(25):
+        item = " ".join(rng.choice(["ab", "cd", "e"]) for _ in range(8))
+        k = int(len(item) * 0.12)
+        text = " ".join(rng.choice([item, item[:-1] + "q", "ab cd", "zz"]) for _ in range(4))
+        found = dc.Finder([item], rate=0.12).find(text)
+        assert sorted(m.distance for m in found) == sorted(plain_matches(item, text, k)), (item, text)
+
+
+def test_no_match_inside_words_and_marks_are_letters():
+    finder = dc.Finder([dc.reduce("a b c d e"), dc.reduce("हिन्दी में लिखा हुआ एक वाक्य")])
+    assert finder.find("extra b c d else") == []
+    assert [m.start for m in finder.find("extra b c d else a b c d e")] == [17]
+    assert dc.reduce("हिन्दी!") == "हिन्दी"
+    assert finder.find(dc.reduce("हन्द मं लख हआ एक वक्य")) == []
