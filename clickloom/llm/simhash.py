@@ -21,7 +21,7 @@ without any id has a null id; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -56,12 +56,12 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long."""
+def fingerprints(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` and fp (a signed long) of every row."""
     def make():
         return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
 
-    return work.per_text(docs, make, "fp long")
+    return work.per_text(docs, make, "fp long", keep)
 
 
 # --------------------------------------------------------------------------- trees
@@ -189,14 +189,21 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.withColumn("shard", shard).groupBy("shard").applyInPandas(_shard_links(radius), "a long, b long")
 
 
+def _roots_of(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint, root being one fingerprint of its component."""
+    distinct = work.store(marked.select("fp").distinct(), "distinct")
+    roots = components(work.store(links(distinct, radius), "tree_links"))
+    found = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return work.store(found, "roots")
+
+
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, fingerprint (16 hex digits), component_id."""
     marked = work.store(fingerprints(docs), "fingerprints")
-    named = work.store(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(work.store(links(named.select("fp"), radius), "tree_links"))
-    owned = named.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = work.store(owned.join(ids, "root").select("fp", "component_id"), "classes")
+    named = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_roots_of(marked, radius), "fp")
+    named = work.store(named, "named")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = work.store(named.join(ids, "root").select("fp", "component_id"), "classes")
     return marked.join(of_fp, "fp").select("doc_id", "fp", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
@@ -205,20 +212,28 @@ def hex_digits(fp: Column | str) -> Column:
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id.
+    """``docs`` with one row of each component: that with the smallest doc_id, then the smallest key.
 
-    Rows that repeat the kept document stay once. Rows that share a doc_id and differ in their fingerprint are
-    decided one by one. A row without doc_id can't be named and stays.
+    A row's key is two hashes of its doc_id and text, so rows that share a doc_id, or have none, are
+    decided one by one. Rows without doc_id come after all others; of rows that repeat both, one stays.
+    Only keys are shuffled to decide; the texts meet the keys that go, and only repeated rows are
+    brought together.
     """
-    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
-    marked = work.store(classes(docs, radius).where("doc_id IS NOT NULL").select("doc_id", "fp", "component_id"), "marked")
-    goes, mixed = F.max(F.col("doc_id") != F.col("component_id")).alias("goes"), (F.min("fp") != F.max("fp")).alias("mixed")
-    gone = work.store(marked.groupBy("doc_id").agg(goes, mixed).where("goes").drop("goes"), "gone")
-    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    doubtful = gone.where("mixed").select("doc_id")
-    if not doubtful.isEmpty():
-        signed = F.udf(lambda text: int(np.uint64(fingerprint(text)).astype(np.int64)), "long")
-        drop = marked.where("doc_id <> component_id").select("doc_id", F.col("fp").alias("_fp")).distinct()
-        rows = named.join(doubtful, "doc_id", "left_semi").withColumn("_fp", signed(F.col("text").cast("string")))
-        kept = kept.unionByName(rows.join(drop, ["doc_id", "_fp"], "left_anti").select(*docs.columns))
-    return kept.dropDuplicates(["doc_id", "text"]).unionByName(nameless)
+    one, two = work.free_name(docs, "row_key"), work.free_name(docs, "row_key_2")
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({one: F.xxhash64("doc_id", text), two: F.xxhash64(text, F.lit(2), "doc_id")})
+    plain = keyed.select("doc_id", "text", F.col(one).alias("one"), F.col(two).alias("two"))
+    marked = work.store(fingerprints(plain, ("doc_id", "one", "two")), "fingerprints")
+    rooted = work.store(marked.join(_roots_of(marked, radius), "fp").select("doc_id", "one", "two", "root"), "rooted")
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("one").alias("one"), F.col("two").alias("two"))
+    best = rooted.groupBy("root").agg(F.min(rank).alias("best")).select("root", F.col("best.one").alias("best_one"), F.col("best.two").alias("best_two"))
+    stays = (F.col("one") == F.col("best_one")) & (F.col("two") == F.col("best_two"))
+    fates = rooted.groupBy("root", "one", "two").agg(F.count(F.lit(1)).alias("n")).join(best, "root").select("one", "two", stays.alias("stays"), "n")
+    # Keys that go, and keys that stay once of several rows; all others aren't listed.
+    fates = work.store(fates.where("NOT stays OR n > 1").select(F.col("one").alias(one), F.col("two").alias(two), F.col("stays").alias(work.free_name(docs, "stays"))), "fates")
+    repeated = fates.where(F.col(fates.columns[2])).select(one, two)
+    kept = keyed.join(fates.select(one, two), [one, two], "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    again = keyed.join(repeated, [one, two], "left_semi").dropDuplicates([one, two]).select(*docs.columns)
+    return kept.unionByName(again)

@@ -11,4 +11,17 @@ def test_repeated_ids_are_decided_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.fingerprint(A) != simhash.fingerprint(B)
     kept = sorted(map(tuple, simhash.near_dedup(docs).collect()), key=str)
-    assert kept == sorted([(2, A), (5, B), (None, A), (None, A), (None, B)], key=str)
+    # A row without id is a copy like any other.
+    assert kept == [(2, A), (5, B)]
+
+
+def test_one_row_stays_of_rows_that_differ_in_case(spark):
+    docs = spark.createDataFrame([(5, A), (5, A.upper()), (7, A), (None, B), (None, B), (None, B.upper())], "doc_id long, text string")
+    kept = simhash.near_dedup(docs).collect()
+    assert sorted((r.doc_id is None, r.text.lower()) for r in kept) == [(False, A), (True, B)]
+
+
+def test_columns_named_like_the_keys_stay(spark):
+    rows = [(1, A, 10, "x", True), (2, A, 20, "y", False), (3, B, 30, "z", True), (3, B, 30, "z", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int, _row_key string, stays boolean")
+    assert sorted(map(tuple, simhash.near_dedup(docs).collect())) == [rows[0], rows[2]]
