@@ -3,8 +3,8 @@
 Two sets link when 5 x intersection >= 4 x union. Tokens are 64-bit shingle hashes.
 
 1. ``shingled``: one pass over the texts gives every row its set's size and digest; rows of one
-   digest are one set from here on. A set that can link shares at least LEAD(4/5 n) tokens of its
-   first n - ceil(4/5 n) + LEAD(n) tokens (in hash order) with another set's first tokens, so only
+   digest are one set from here on. A set that can link shares at least lead(4/5 n) tokens of its
+   first n - ceil(4/5 n) + lead(n) tokens (in hash order) with another set's first tokens, so only
    those are sent, as arrays by token range, and counted. A token met twice in a task's own block
    is counted there and sent once, so a token of very many sets stays as small as there are blocks.
 2. What is left (``survivors``) is ordered by token frequency, rare first. The index has the tokens
@@ -42,6 +42,7 @@ from clickloom.llm.components import components
 
 SHINGLE = 5
 PART, WHOLE = 4, 5  # similarity of 4/5
+LEAD = 5  # first tokens sent beyond the prefix: one in so many of the set
 BLOCK = 1_000_000  # tokens of a task's block in the first pass
 _WORDS = 500_000  # words whose hashes a process remembers
 _FEW = 128  # entries of a block of an index list
@@ -89,7 +90,7 @@ def _least(n: int) -> int:
 
 
 def lead(n: int) -> int:
-    return max(1, n // 10)
+    return max(1, n // LEAD)
 
 
 def shingled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +148,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _met_elsewhere(blocks: DataFrame) -> DataFrame:
     """(block, nr, met): first tokens of a set that another block has too."""
-    schema, arrow = work.schemas("block string, nr int, met int")
+    packed, arrow_packed = work.schemas("block string, sets binary, counts binary")
 
     def run(batches: Iterator) -> Iterator:
         held, now = [], None
@@ -163,8 +164,10 @@ def _met_elsewhere(blocks: DataFrame) -> DataFrame:
             twice[order[:-1][same]] = True
             twice &= owner != _NOBODY
             places, counts = np.unique(source[twice] << 16 | owner[twice], return_counts=True)
-            names = pa.array([b for b, _, _ in held]).take(pa.array(places >> 16))
-            return pa.RecordBatch.from_arrays([names, pa.array((places & 0xFFFF).astype(np.int32)), pa.array(counts.astype(np.int32))], schema=arrow)
+            cuts = np.searchsorted(places >> 16, np.arange(len(held) + 1))
+            sets = (places & 0xFFFF).astype(np.uint16)
+            rows = [(block, sets[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for (block, _, _), a, b in zip(held, cuts[:-1], cuts[1:]) if a < b]
+            return work.record_batch(rows, arrow_packed)
 
         for batch in batches:
             for block, r, t, o in zip(*(c.to_pylist() for c in batch.columns)):
@@ -176,14 +179,34 @@ def _met_elsewhere(blocks: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
+    schema, arrow = work.schemas("block string, nr int, met int")
+
+    def add(batches: Iterator) -> Iterator:
+        """Sums by set of a block; its rows, one a token range, stand together."""
+        total, now = np.zeros(_NOBODY, np.int64), None
+
+        def flush():
+            nr = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(nr), pa.string()), pa.array(nr.astype(np.int32)), pa.array(total[nr].astype(np.int32))], schema=arrow)
+
+        for batch in batches:
+            for block, sets, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    if now is not None:
+                        yield flush()
+                    total[:], now = 0, block
+                total[np.frombuffer(sets, np.uint16)] += np.frombuffer(counts, np.uint32)
+        if now is not None:
+            yield flush()
+
     dealt = blocks.select("block", "token_range", "tokens", "owners").repartition("token_range").sortWithinPartitions("token_range")
-    return dealt.mapInArrow(run, schema).groupBy("block", "nr").agg(F.sum("met").alias("met"))
+    return dealt.mapInArrow(run, packed).repartition("block").sortWithinPartitions("block").mapInArrow(add, schema)
 
 
 def survivors(docs: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """(sid, digest, n, tokens, sketch): the sets that may have a link, tokens as sorted signed longs."""
-    n, tenth = F.col("n"), (F.ceil(F.col("n") * PART / WHOLE) / 10).cast("long")
-    alive = F.coalesce("met", F.lit(0)) + F.col("local") >= F.greatest(tenth, F.lit(1))
+    n, led = F.col("n"), F.floor(F.ceil(F.col("n") * PART / WHOLE) / LEAD)
+    alive = F.coalesce("met", F.lit(0)) + F.col("local") >= F.greatest(led, F.lit(1))
     chosen = rows.where(n > 0).join(_met_elsewhere(blocks), ["block", "nr"], "left").where(alive)
     chosen = work.store(chosen.groupBy("digest").agg(F.min("row_key").alias("row_key")), "chosen")
     schema, arrow = work.schemas("digest binary, n long, tokens array<long>, sketch binary")
@@ -198,10 +221,11 @@ def survivors(docs: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
                         out.append((name, len(mine), mine.view(np.int64), sketch(mine)))
                 yield work.record_batch(out, arrow)
 
-    # One row for each chosen key; equal rows of a table share it and merge below.
     texts = _keyed(docs).select("row_key", "text").join(chosen, "row_key").select("digest", "text")
-    sets = texts.mapInArrow(run, schema).dropDuplicates(["digest"])
-    return work.store(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    sets = work.store(texts.mapInArrow(run, schema).withColumn("sid", F.monotonically_increasing_id()), "sets")
+    # Rows of a table that are equal in doc_id and text share a key; only then a set is there twice.
+    twice = sets.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return sets if twice.isEmpty() else work.store(sets.dropDuplicates(["digest"]), "sets")
 
 
 def sketch(found: np.ndarray) -> bytes:
