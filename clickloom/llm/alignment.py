@@ -57,7 +57,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Words:
-    """Ids of single words by both tokenizers; None where the ids don't give back the word's bytes."""
+    """Ids of single words by both tokenizers, remembered."""
 
     def __init__(self, byte_level: str, pieces: bytes):
         import sentencepiece
@@ -74,20 +74,63 @@ class Words:
             piece = self.b.id_to_piece(i)
             special = self.b.is_control(i) or self.b.is_unknown(i)
             self.b_bytes.append(b"" if special else bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.a_size, self.b_size = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.bad: set[str] = set()  # the ids don't give back the word's bytes
+
+    def ids(self, words: list[str], bad: set[str]) -> tuple[bytes, bytes] | None:
+        """Ids of a text's words by A and by B, as 32-bit numbers; ``bad`` are those of its batch without."""
+        if not words or bad and not bad.isdisjoint(words):
+            return None
+        return b"".join(map(self.known_a.__getitem__, words)), b"".join(map(self.known_b.__getitem__, words))
+
+    def learn(self, words: set[str]) -> set[str]:
+        """Remember the words; return those whose ids don't give back their bytes."""
+        if len(self.known_a) > _WORDS:
+            self._forget()
+        new = [w for w in words if w not in self.known_a]
+        plain = [w for w in new if w and not w[0].isspace() and w[-1] != " "]
+        for at in range(0, len(plain), 2_000):
+            self._learn_joined(plain[at : at + 2_000])
+        self._learn_each([w for w in new if w not in self.known_a and w not in self.bad])
+        return self.bad & words if self.bad else self.bad
+
+    def _learn_joined(self, words: list[str]) -> None:
+        """Words that may stand side by side: one text of them, cut again by bytes where all bytes come back."""
+        raw = [f" {w}".encode("utf-8", "surrogatepass") for w in words]
+        joined = b"".join(raw)
+        text = " ".join(words)
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text)
+        if not b"".join(map(self.a_bytes.__getitem__, a)) == joined == b"".join(map(self.b_bytes.__getitem__, b)):
+            return
+        ends, sides = np.cumsum([len(r) for r in raw]), []
+        for ids, size in ((a, self.a_size), (b, self.b_size)):
+            ids = np.array(ids, "<i4")
+            upto = np.cumsum(size[ids])
+            cuts = np.searchsorted(upto, ends)
+            if (upto[cuts] != ends).any():
+                return
+            data, at = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            sides.append([data[x:y] for x, y in zip(at, at[1:])])
+        self.known_a.update(zip(words, sides[0]))
+        self.known_b.update(zip(words, sides[1]))
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > _WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
+    def _learn_each(self, new: list[str]) -> None:
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             a = self.a.encode_batch_fast([" " + w for w in some], add_special_tokens=False)
             b = self.b.encode(some, num_threads=1)
             for w, x, y in zip(some, a, b):
                 raw, x = (" " + w).encode("utf-8", "surrogatepass"), x.ids
-                same = b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
-                self.known[w] = (np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if same else None
+                if b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y)):
+                    self.known_a[w], self.known_b[w] = np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes()
+                else:
+                    self.bad.add(w)
 
 
 def cut(text: str) -> list[str]:
@@ -123,10 +166,10 @@ class Aligner:
     def _ends(self, tokens: pa.ListArray, side: int) -> tuple[pa.Array, pa.Array]:
         """(ids, ends): flat ids and, as one number, the text they belong to and their last byte in it."""
         ids, parent = pc.list_flatten(tokens), pc.list_parent_indices(tokens)
-        upto = pc.cumulative_sum(self.size[side].take(ids))
+        size = self.size[side].take(ids)
+        upto = pc.cumulative_sum(size)
         # Segments: what all texts before this one sum up to is taken off again.
-        first = tokens.offsets.take(parent)
-        before = pc.subtract(upto, self.size[side].take(ids)).take(first)
+        before = pc.subtract(upto, size).take(tokens.offsets.slice(0, len(tokens))).take(parent)
         end = pc.subtract(upto, before)
         return ids, pc.add(pc.shift_left(parent.cast(pa.int64()), pa.scalar(40, pa.int64())), end)
 
@@ -178,9 +221,8 @@ class _Chunk:
         pairs = np.concatenate(self.pairs) if self.pairs else np.zeros(0, np.int64)
         counts = pa.table({"pair": pairs}).group_by("pair", use_threads=False).aggregate([([], "count_all")]).sort_by([("count_all", "descending"), ("pair", "ascending")])
         # Common pairs get small codes, which compress well.
-        kinds, n = counts["pair"].combine_chunks().to_numpy(), counts["count_all"].combine_chunks()
-        order = np.argsort(kinds)
-        codes = order[np.searchsorted(kinds, pairs, sorter=order)].astype("<u4")
+        kinds, n = counts["pair"].combine_chunks(), counts["count_all"].combine_chunks()
+        codes = pc.index_in(pa.array(pairs), value_set=kinds).to_numpy(zero_copy_only=False).astype("<u4")
         packed = pa.compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
         columns = list(zip(*self.stats))
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
@@ -230,21 +272,20 @@ def aligned(docs: DataFrame, byte_level: str, pieces: bytes) -> DataFrame:
                 part = batch.slice(at, work.SLICE)
                 chunk.ids.append(part.column(0))
                 texts = [cut(t) if t else [] for t in part.column(1).to_pylist()]
-                words.learn(list(set().union(*texts)))
-                get = words.known.__getitem__
+                bad = words.learn(set().union(*texts))
                 for mine in texts:
                     figures: list = [0, 0, 0, 0, None]
                     chunk.stats.append(figures)
-                    found = list(map(get, mine))
-                    if not found or None in found:
+                    found = words.ids(mine, bad)
+                    if not found:
                         figures[4] = ""
                         continue
                     # A very long text goes in parts that end between words.
-                    step = max(1, PART * len(found) // max(1, sum(len(a) // 4 for a, _ in found)))
-                    for k in range(0, len(found), step):
-                        a, b = zip(*found[k : k + step])
-                        waiting.append((figures, b"".join(a), b"".join(b), k + step < len(found)))
-                        size += len(waiting[-1][1]) // 4
+                    step = max(1, 4 * PART * len(mine) // len(found[0]))
+                    for k in range(0, len(mine), step):
+                        some = found if step >= len(mine) else words.ids(mine[k : k + step], bad)
+                        waiting.append((figures, *some, k + step < len(mine)))
+                        size += len(some[0]) // 4
                         if size >= PART:
                             flush()
                 if chunk.links >= CHUNK:
