@@ -21,12 +21,14 @@ def _events_of(ev: DataFrame, users: DataFrame) -> DataFrame:
 
 def sample_users_random(ev: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """All events of n random users."""
-    return _events_of(ev, scale.first_rows(_users(ev), [scale.draw(seed, "user_id"), F.asc("user_id")], n))
+    return _events_of(ev, scale.first_rows(_users(ev), scale.draw(seed, "user_id"), n, [F.asc("user_id")]))
 
 
 def hashed_users(ev: DataFrame, n: int) -> DataFrame:
     """The n users with the smallest fingerprint."""
-    return scale.first_rows(_users(ev), [F.md5(F.col("user_id").cast("string")), F.asc("user_id")], n)
+    mark = F.md5(F.col("user_id").cast("string"))
+    start = F.conv(F.substring(mark, 1, 15), 16, 10).cast("long")
+    return scale.first_rows(_users(ev), start, n, [mark, F.asc("user_id")])
 
 
 def sample_users_hash(ev: DataFrame, n: int) -> DataFrame:
@@ -43,7 +45,7 @@ def sample_to_rows(ev: DataFrame, target_rows: int, seed: int = 42, min_events:
     eligible = eligible_users(ev, min_events)
     mean = eligible.agg(F.avg("event_count")).first()[0]
     n = int(target_rows / mean) if mean else 0
-    return _events_of(ev, scale.first_rows(eligible, [scale.draw(seed, "user_id"), F.asc("user_id")], n))
+    return _events_of(ev, scale.first_rows(eligible, scale.draw(seed, "user_id"), n, [F.asc("user_id")]))
 
 
 def sample_quality(frames: dict[str, DataFrame]) -> DataFrame:
@@ -75,7 +77,7 @@ def sample_profile(ev: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """n rows by hash order of their key columns."""
-    return scale.first_rows(df, [scale.draw(seed, *key), *[F.asc(k) for k in key]], n)
+    return scale.first_rows(df, scale.draw(seed, *key), n, [F.asc(k) for k in key])
 
 
 def cap_per_key(df: DataFrame, key: str, n: int, by: Sequence[str], seed: int = 42) -> DataFrame:

@@ -115,7 +115,37 @@ def add_position(df: DataFrame, order: Sequence[Column], name: str = "position",
     )
 
 
-def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+def first_rows(df: DataFrame, hashed: Column, n: int, tie: Sequence[Column] = (), steps: int = 4_096) -> DataFrame:
+    """The ``n`` rows with the smallest ``hashed`` (0 to 2^60, as :func:`draw` gives it), then by ``tie``.
+
+    The table is neither sorted nor stored. The n-th smallest value is found by histograms: a round
+    counts the values between two bounds in ``steps`` equal steps and the next one looks inside the
+    step that holds it, until that holds few rows or a single value. Rows below are kept by a filter;
+    only the rows of the last step are ordered.
+    """
+    rows = df.withColumn("_h", hashed)
+    low, high, below = 0, 1 << 60, 0
+    while n > 0:
+        width = max(1, (high - low) // steps)
+        inside = rows.where((F.col("_h") >= low) & (F.col("_h") < high))
+        # At most ``steps`` rows.
+        counts = inside.groupBy(F.floor((F.col("_h") - low) / width).alias("s")).agg(F.count(F.lit(1)).alias("c")).orderBy("s").collect()
+        for s, size in counts:
+            if below + size >= n:
+                break
+            below += size
+        else:
+            return rows.drop("_h")  # no more than n rows
+        low, high = low + s * width, min(high, low + (s + 1) * width)
+        if size <= steps or width == 1:
+            break
+    if n <= 0:
+        return df.limit(0)
+    last = first_of(rows.where((F.col("_h") >= low) & (F.col("_h") < high)), [F.col("_h"), *tie], n - below)
+    return rows.where(F.col("_h") < low).unionByName(last).drop("_h")
+
+
+def first_of(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows in ``order``, cut at a global position: n may be large, no task holds them all."""
     return add_position(df, order, "_position").where(F.col("_position") <= n).drop("_position")
 
@@ -193,8 +223,16 @@ def percentile_of_counts(p: float) -> Column:
 # --------------------------------------------------------------------------- keyed order
 
 
-def _slices(df: DataFrame, time: str, seconds: int) -> DataFrame:
-    return df.withColumn("_slice", F.floor(epoch_seconds(time) / F.lit(seconds)))
+def _scanned(df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str]) -> tuple[DataFrame, Column, Column]:
+    """The rows in ranges of (keys, time, tie), stored; the key of a row as one value; a window inside a range.
+
+    A range may begin and end anywhere, also inside a key's day or among equal times, so a key of any
+    weight spreads over as many tasks as its rows fill ranges.
+    """
+    order = [F.col(c) for c in (*keys, time, *tie)]
+    blocks = _ordered_blocks(df, order)
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    return blocks, key, Window.partitionBy("_block").orderBy("_mid")
 
 
 def with_previous(
@@ -203,39 +241,23 @@ def with_previous(
     time: str,
     tie: Sequence[str],
     columns: dict[str, str],
-    seconds: int = DAY,
 ) -> DataFrame:
-    """``lag`` per key, from time slices: add ``columns`` (new name -> source) of the previous row.
+    """``lag`` per key as a scan: add ``columns`` (new name -> source) of the key's previous row.
 
-    The window runs inside (key, slice). The first row of a slice takes its values from the last
-    row of the key's previous non-empty slice, kept as one row per slice.
+    Every range looks back inside itself. Its first row takes what the last row of the range before
+    holds, carried over as one row per range, if that row has the same key.
     """
-    sliced = _slices(df, time, seconds)
-    order = [F.col(time), *[F.col(t) for t in tie]]
-    part = [*keys, "_slice"]
-    inside = Window.partitionBy(*part).orderBy(*order)
+    blocks, key, inside = _scanned(df, keys, time, tie)
     packed = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
-    last = sliced.groupBy(*part).agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    carried = last.select(*part, F.lag("_last").over(across).alias("_carried"))
-    out = sliced.withColumn("_here", F.lag(packed).over(inside)).join(_null_safe(carried, part), _match(part), "left")
-    prev = F.coalesce(F.col("_here"), F.col("_carried"))
+    both = F.struct(key.alias("key"), packed.alias("row"))
+    lasts = blocks.groupBy("_block").agg(F.max_by(both, F.col("_mid")).alias("_last"))
+    # As many rows as there are ranges.
+    carried = lasts.select("_block", F.lag("_last").over(Window.orderBy("_block")).alias("_carried"))
+    out = blocks.withColumn("_here", F.lag(both).over(inside)).join(F.broadcast(carried), "_block")
+    before = F.coalesce("_here", "_carried")
     for new in columns:
-        out = out.withColumn(new, prev[new])
-    return out.drop("_slice", "_here", "_carried", *[f"_k{i}" for i in range(len(part))])
-
-
-def _null_safe(df: DataFrame, part: Sequence[str]) -> DataFrame:
-    for i, k in enumerate(part):
-        df = df.withColumnRenamed(k, f"_k{i}")
-    return df
-
-
-def _match(part: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for i, k in enumerate(part):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return cond
+        out = out.withColumn(new, F.when(before["key"].eqNullSafe(key), before["row"][new]))
+    return out.drop("_block", "_mid", "_here", "_carried")
 
 
 def with_running_sum(
@@ -245,24 +267,24 @@ def with_running_sum(
     tie: Sequence[str],
     value: Column,
     name: str,
-    seconds: int = DAY,
 ) -> DataFrame:
-    """Running sum per key (this row included), from time slices as in :func:`with_previous`."""
-    sliced = _slices(df, time, seconds).withColumn("_value", value)
-    part = [*keys, "_slice"]
-    inside = (
-        Window.partitionBy(*part)
-        .orderBy(F.col(time), *[F.col(t) for t in tie])
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sliced.groupBy(*part).agg(F.sum("_value").alias("_sum"))
-    carried = sums.select(*part, F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_carried"))
+    """Running sum per key (this row included) as a scan, from ranges as in :func:`with_previous`.
+
+    A key that is open at a range's end hands on its sum so far: sums of ranges that end in the same
+    key add up in their order, and a range begins with what the one before hands on, if the key goes on.
+    """
+    blocks, key, _ = _scanned(df.withColumn("_value", value), keys, time, tie)
+    of_key = Window.partitionBy("_block", *keys).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    summed = blocks.withColumn("_here", F.sum("_value").over(of_key))
+    ends = summed.groupBy("_block").agg(F.max_by(F.struct(key.alias("key"), F.col("_here").alias("sum")), F.col("_mid")).alias("_end"))
+    so_far = Window.partitionBy("_end.key").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    handed = ends.select("_block", F.struct(F.col("_end.key").alias("key"), F.sum("_end.sum").over(so_far).alias("sum")).alias("_open"))
+    carried = handed.select("_block", F.lag("_open").over(Window.orderBy("_block")).alias("_carried"))
+    goes_on = F.col("_carried.key").eqNullSafe(key)
     return (
-        sliced.withColumn("_here", F.sum("_value").over(inside))
-        .join(_null_safe(carried, part), _match(part), "left")
-        .withColumn(name, F.col("_here") + F.col("_carried"))
-        .drop("_slice", "_value", "_here", "_carried", *[f"_k{i}" for i in range(len(part))])
+        summed.join(F.broadcast(carried), "_block")
+        .withColumn(name, F.col("_here") + F.when(goes_on, F.col("_carried.sum")).otherwise(F.lit(0)))
+        .drop("_block", "_mid", "_value", "_here", "_carried")
     )
 
 

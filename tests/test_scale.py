@@ -40,6 +40,52 @@ def test_with_running_sum_equals_window(log):
     assert rows_of(got, "id", "total") == rows_of(log.withColumn("total", F.sum("v").over(w)), "id", "total")
 
 
+def hot_day(spark):
+    """One key holds a third of the rows, all within one second of one day."""
+    rows = [(i, i % 3 and i, datetime(2024, 1, 1, 12) + timedelta(microseconds=i % 7), i % 5) for i in range(9_000)]
+    return spark.createDataFrame(rows, "id long, key long, at timestamp, v long")
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small ranges stay apart, as ranges of a large table do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_hot_key_and_day_spreads_over_all_ranges(spark, uncoalesced):
+    blocks, _, _ = scale._scanned(hot_day(spark), ["key"], "at", ["id"])
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 9_000 / 8
+    hot = [r["count"] for r in blocks.where("key = 0").groupBy("_block").count().collect()]
+    assert sum(hot) == 3_000 and len(hot) >= 3
+
+
+def test_scans_of_a_hot_key_and_day(spark, uncoalesced):
+    df = hot_day(spark)
+    w = Window.partitionBy("key").orderBy("at", "id")
+    want = df.withColumns({"prev": F.lag("v").over(w), "total": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    got = scale.with_running_sum(scale.with_previous(df, ["key"], "at", ["id"], {"prev": "v"}), ["key"], "at", ["id"], F.col("v"), "total")
+    assert sorted(map(tuple, got.select("id", "prev", "total").collect()), key=str) == sorted(map(tuple, want.select("id", "prev", "total").collect()), key=str)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 41, 42, 999, 1_500, 1_501, 5_000])
+@pytest.mark.parametrize("steps", [4, 4_096])
+def test_first_rows_by_histogram(spark, n, steps):
+    # Half of the values are one and the same.
+    df = spark.range(1_500).withColumn("h", F.when(F.col("id") % 2 == 0, F.lit(123_456)).otherwise(scale.draw(3, "id")))
+    got = [r.id for r in scale.first_rows(df, F.col("h"), n, [F.desc("id")], steps).collect()]
+    want = [r.id for r in sorted(df.collect(), key=lambda r: (r.h, -r.id))[:n]]
+    assert sorted(got) == sorted(want)
+
+
+def test_first_rows_orders_the_last_step_only(spark):
+    df = spark.range(200_000)
+    plan = scale.first_rows(df, scale.draw(1, "id"), 100_000, [F.col("id")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan
+
+
 def test_null_keys_stay_together(spark):
     df = spark.createDataFrame([(1, None, datetime(2024, 1, 1)), (2, None, datetime(2024, 1, 5))], "id long, key string, at timestamp")
     got = {r.id: r.prev for r in scale.with_previous(df, ["key"], "at", ["id"], {"prev": "id"}).collect()}
