@@ -18,6 +18,9 @@ from clickloom.functions import dot, n_rows, unit
 from clickloom.operators.evaluate import _spread, batches
 
 
+CELL = 512  # free ranks of a pool that one directory row covers
+
+
 # --------------------------------------------------------------------------- uniform
 
 
@@ -43,20 +46,46 @@ def _skip(rank: Column, taken: Column) -> Column:
     return rank + F.size(F.filter(shifted, lambda x: x <= rank)).cast("long")
 
 
-def _past_own(draws: DataFrame, own: DataFrame) -> DataFrame:
-    """Turn the free ranks (``value``) of draws into positions that skip the user's own.
+def _counted_before(cells: DataFrame, key: Sequence[str], n: Column) -> DataFrame:
+    """Add ``base``: the sum of ``n`` over the key's earlier cells; a scan over cells, not over rows."""
+    return scale.with_running_sum(cells, key, "cell", [], n.cast("long"), "_upto").withColumn("base", F.col("_upto") - n).drop("_upto")
+
+
+def own_directory(own: DataFrame, asked: DataFrame, largest: int, width: int = CELL) -> DataFrame:
+    """(user_idx, pool, cell, base, marks): how many own positions stand before each free rank of a cell.
 
-    The j-th own position p of a user and pool stands before every rank above p - start - j, so one
-    running count over ranks and own positions, sorted together, gives the shift. The count streams:
-    memory does not depend on how many positives a user has.
+    The j-th own position p of a user and pool stands before every free rank from p - start - j on: that
+    is its mark. A cell covers ``width`` ranks, so it has at most as many different marks, kept with
+    their counts; ``base`` counts the marks of earlier cells. Cells that ``asked`` names (user_idx, pool,
+    cell) are there even without marks. Pools of up to ``width`` items have a single cell.
     """
     key = ["user_idx", "pool"]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("position")) - 1
-    marks = own.select(*key, (F.col("position") - F.col("start") - place).alias("value"), F.lit(0).alias("_draws"))
-    both = draws.withColumn("_draws", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    running = Window.partitionBy(*key).orderBy("value", "_draws").rowsBetween(Window.unboundedPreceding, 0)
-    shifted = both.withColumn("_shift", F.sum(1 - F.col("_draws")).over(running)).where("_draws = 1")
-    return shifted.withColumn("position", F.col("start") + F.col("value") + F.col("_shift")).drop("_draws", "_shift")
+    at = (F.col("position") - F.col("start")).cast("long")
+    blocks = own.groupBy(*key, F.floor(at / width).alias("cell")).agg(F.sort_array(F.collect_list(at)).alias("at"))
+    if largest <= width:
+        marks = F.transform("at", lambda p, i: F.struct((p - i).alias("mark"), F.lit(1).cast("long").alias("n")))
+        return blocks.select(*key, "cell", F.lit(0).cast("long").alias("base"), marks.alias("marks"))
+    blocks = _counted_before(blocks, key, F.size("at"))
+    each = blocks.select(*key, "base", F.posexplode("at").alias("i", "p")).select(*key, (F.col("p") - F.col("base") - F.col("i")).alias("mark"))
+    merged = each.groupBy(*key, "mark").agg(n_rows().alias("n"))
+    cells = merged.groupBy(*key, F.floor(F.col("mark") / width).alias("cell")).agg(F.sort_array(F.collect_list(F.struct("mark", "n"))).alias("marks"), F.sum("n").alias("n"))
+    bare = asked.select(*key, "cell", F.array().cast("array<struct<mark: bigint, n: bigint>>").alias("marks"), F.lit(0).cast("long").alias("n"))
+    cells = cells.unionByName(bare.join(cells, [*key, "cell"], "left_anti"))
+    return _counted_before(cells, key, F.col("n")).select(*key, "cell", "base", "marks")
+
+
+def _past_own(draws: DataFrame, own: DataFrame, largest: int, width: int = CELL) -> DataFrame:
+    """Turn the free ranks (``value``) of draws into positions that skip the user's own.
+
+    A draw meets its own cell of the directory in a join and counts marks inside it, so nothing is
+    sorted or counted per user; a hot user's cells and draws spread over many keys.
+    """
+    placed = draws.withColumn("cell", F.floor(F.col("value") / width) if largest > width else F.lit(0).cast("long"))
+    directory = own_directory(own, placed.select("user_idx", "pool", "cell").distinct(), largest, width)
+    met = placed.join(directory, ["user_idx", "pool", "cell"], "left")
+    before = F.aggregate(F.filter("marks", lambda m: m["mark"] <= F.col("value")), F.lit(0).cast("long"), lambda total, m: total + m["n"])
+    shift = F.coalesce(F.col("base") + before, F.lit(0))
+    return met.withColumn("position", F.col("start") + F.col("value") + shift).drop("cell", "base", "marks")
 
 
 def _pools(items: DataFrame) -> DataFrame:
@@ -76,7 +105,7 @@ def _pools(items: DataFrame) -> DataFrame:
 
 
 def hard_negatives(
-    tp: DataFrame, items: DataFrame, n: int = Config.hard_negatives, warm: int = Config.warm_pairs, seed: int = 42
+    tp: DataFrame, items: DataFrame, n: int = Config.hard_negatives, warm: int = Config.warm_pairs, seed: int = 42, cell: int = CELL
 ) -> DataFrame:
     """(user_idx, item_idx, route, draw, negative): n hard negatives per training pair.
 
@@ -154,7 +183,8 @@ def hard_negatives(
     anywhere = rest.where(F.col("route") == "any").withColumn(
         "position", F.col("start") + F.col("value") + F.when(F.col("me") <= F.col("value"), 1).otherwise(0)
     )
-    inside_pool = _past_own(rest.where(F.col("route") != "any").drop("me"), own.join(spans.select("pool", "start"), "pool"))
+    largest = spans.where(F.col("pool") != "a").agg(F.max("size")).first()[0] or 0
+    inside_pool = _past_own(rest.where(F.col("route") != "any").drop("me"), own.join(spans.select("pool", "start"), "pool"), largest, cell)
 
     columns = ["user_idx", "item_idx", "route", "draw", "position"]
     drawn = by_cat.select(*columns).unionByName(anywhere.select(*columns)).unionByName(inside_pool.select(*columns))
@@ -164,15 +194,25 @@ def hard_negatives(
 
 
 def hard_negative_routes(tp: DataFrame, items: DataFrame, n: int = Config.hard_negatives, warm: int = Config.warm_pairs) -> DataFrame:
-    """Pairs per mining route, warm and cold users, and the share of pairs without a category pool."""
-    known_items = items.select("item_idx", (F.col("cat_l2") != UNKNOWN).alias("known"), "cat_l2")
+    """Pairs per mining route, warm and cold users, and the share of pairs without a category pool.
+
+    Pairs count for the route they start on; ``any_pairs`` are those among them that find their pool
+    used up by the user and end in the whole catalog.
+    """
+    known_items = items.select("item_idx", (F.col("cat_l2") != UNKNOWN).alias("known"), "cat_l2", "price_bucket")
     pairs = tp.select("user_idx", "item_idx").join(known_items, "item_idx")
     sizes = items.where(F.col("cat_l2") != UNKNOWN).groupBy("cat_l2").agg(n_rows().alias("size"))
     touched = scale.salted_join(pairs.where("known").select("user_idx", "cat_l2").distinct(), sizes, ["cat_l2"], "inner")
     touched = touched.groupBy("user_idx").agg(n_rows().alias("m"), F.sum("size").alias("touched"))
     whole = sizes.agg(F.struct(n_rows().alias("n"), F.sum("size").alias("items")).alias("w")).scalar()
     people = pairs.groupBy("user_idx").agg(n_rows().alias("n_pairs"), F.count_if("known").alias("n_known"))
-    people = people.join(touched, "user_idx", "left").withColumn("_w", whole)
+    # Pools that hold nothing but the user's own items send their pairs to the whole catalog.
+    in_cat = pairs.where("known").groupBy("user_idx", "cat_l2").agg(n_rows().alias("own"))
+    used_cat = scale.salted_join(in_cat, sizes, ["cat_l2"], "inner").where("own >= size").groupBy("user_idx").agg(F.sum("own").alias("used_known"))
+    levels = items.groupBy("price_bucket").agg(n_rows().alias("size"))
+    in_level = pairs.groupBy("user_idx", "price_bucket").agg(n_rows().alias("own"), F.count_if(~F.col("known")).alias("unknown"))
+    used_level = scale.salted_join(in_level, levels, ["price_bucket"], "inner").where("own >= size").groupBy("user_idx").agg(F.sum("unknown").alias("used_unknown"))
+    people = people.join(touched, "user_idx", "left").join(used_cat, "user_idx", "left").join(used_level, "user_idx", "left").withColumn("_w", whole)
     is_warm = F.col("n_pairs") >= warm
     has_anti = (F.col("_w.n") > F.coalesce("m", F.lit(0))) & (F.col("_w.items") - F.coalesce("touched", F.lit(0)) >= n)
 
@@ -182,7 +222,7 @@ def hard_negative_routes(tp: DataFrame, items: DataFrame, n: int = Config.hard_n
     out = people.agg(
         F.sum("n_pairs").alias("pairs"), total("n_known", F.lit(True)).alias("known_pairs"),
         total("n_known", is_warm & has_anti).alias("anti_pairs"), total("n_known", is_warm & ~has_anti).alias("warm_fallback_pairs"),
-        total("n_known", ~is_warm).alias("cold_pairs"), F.count_if(is_warm).alias("warm_users"), F.count_if(~is_warm).alias("cold_users"),
+        total("n_known", ~is_warm).alias("cold_pairs"), (total("used_known", ~(is_warm & has_anti)) + total("used_unknown", F.lit(True))).alias("any_pairs"), F.count_if(is_warm).alias("warm_users"), F.count_if(~is_warm).alias("cold_users"),
     )
     return out.withColumn("bucket_pairs", F.col("pairs") - F.col("known_pairs")).withColumn(
         "bucket_pct", F.round(F.col("bucket_pairs") * 100 / F.col("pairs"), 4)

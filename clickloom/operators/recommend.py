@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clickloom import scale
 from clickloom.config import PAD, Config
 from clickloom.functions import n_rows
-from clickloom.operators import sample
+from clickloom.operators import sample, tiles
 
 # Ranks that travel together when users walk down a ranking.
 RANK_BLOCK = 64
@@ -125,18 +125,18 @@ def representative_item(tp: DataFrame) -> DataFrame:
     return tp.groupBy("user_idx").agg(best.alias("b")).select("user_idx", (-F.col("b.neg")).alias("rep"))
 
 
-def co_counts(tp: DataFrame, reps: DataFrame, cap: int | None = Config.neighbour_cap, seed: int = 42) -> DataFrame:
+def co_counts(
+    tp: DataFrame, reps: DataFrame, cap: int | None = Config.neighbour_cap, seed: int = 42, tile: int = tiles.TILE
+) -> DataFrame:
     """(rep, item_idx, n): users of ``rep`` who also have the item.
 
-    ``cap`` counts at most that many users of each rep, hash-sampled; None counts all. A hot user's join partition is split by
-    the adaptive skew join, since the counts group by another key.
+    ``cap`` counts at most that many users of each rep, hash-sampled; None counts all. Users with more
+    than ``tile`` items meet in tiles.
     """
     near = tp.join(reps.select(F.col("rep").alias("item_idx")).distinct(), "item_idx", "left_semi").select("item_idx", "user_idx")
     if cap is not None:
         near = sample.cap_per_key(near, "item_idx", cap, ["user_idx", "item_idx"], seed)
-    mine = near.select("user_idx", F.col("item_idx").alias("rep"))
-    together = mine.join(tp.select("user_idx", "item_idx"), "user_idx")
-    return together.where(F.col("rep") != F.col("item_idx")).groupBy("rep", "item_idx").agg(n_rows().alias("n"))
+    return tiles.co_counts(tp.select("user_idx", "item_idx"), near, tile)
 
 
 def top_neighbours(counts: DataFrame, n: int) -> DataFrame:
@@ -260,22 +260,9 @@ def recommend_sessions(events: DataFrame, vecs: DataFrame, k: int, dim: int) ->
     return top.join(sessions.drop("vec"), "query_id").drop("query_id")
 
 
-def item_knn(tp: DataFrame, k: int = 20) -> DataFrame:
-    """k nearest items by cosine of their confidence vectors over users.
-
-    Co-rated pairs meet on the user, where the adaptive skew join splits hot users, and their products
-    are summed before the next shuffle.
-    """
-    norms = tp.groupBy("item_idx").agg(F.sqrt(F.sum(F.col("confidence_score") * F.col("confidence_score"))).alias("norm"))
-    norms = norms.where("norm > 0")  # items of zero confidence have no direction
-    left = tp.select("user_idx", "item_idx", F.col("confidence_score").alias("a"))
-    right = tp.select("user_idx", F.col("item_idx").alias("neighbour"), F.col("confidence_score").alias("b"))
-    products = (
-        left.join(right, "user_idx").where(F.col("item_idx") != F.col("neighbour"))
-        .groupBy("item_idx", "neighbour").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
-    )
-    scored = products.join(norms, "item_idx").join(norms.toDF("neighbour", "norm_b"), "neighbour")
-    scored = scored.withColumn("score", F.col("ab") / (F.col("norm") * F.col("norm_b")))
+def item_knn(tp: DataFrame, k: int = 20, tile: int = tiles.TILE) -> DataFrame:
+    """k nearest items by cosine of their confidence vectors over users; users with many items meet in tiles."""
+    scored = tiles.item_knn(tp, k, tile)
     return scale.top_per_key(scored, ["item_idx"], [F.desc(F.round("score", 12)), F.asc("neighbour")], k).select(
         "item_idx", "rank", "neighbour", "score"
     )

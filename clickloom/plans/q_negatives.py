@@ -82,9 +82,15 @@ def _(t):
     return mined(t).where(F.col("route").isin("bucket", "any"))
 
 
+@query("neg_03_rank_directory", "SELECT * FROM hn_all WHERE route <> 'anti'")
+def _(t):
+    # Cells of eight ranks: every pool has several, so the whole directory is in use.
+    return negatives.hard_negatives(t.click_pairs, t.click_items, warm=WARM, cell=8).where(F.col("route") != "anti")
+
+
 @query("neg_05_routes", """
 SELECT count(*) AS pairs, count(cat_pool) AS known_pairs, count(*) FILTER (route = 'anti') AS anti_pairs, count(*) FILTER (route = 'warm_category') AS warm_fallback_pairs,
-       count(*) FILTER (route = 'category') AS cold_pairs, count(DISTINCT user_idx) FILTER (warm) AS warm_users, count(DISTINCT user_idx) FILTER (NOT warm) AS cold_users,
+       count(*) FILTER (route = 'category') AS cold_pairs, (SELECT count(*) FROM hn_rest WHERE route = 'any') AS any_pairs, count(DISTINCT user_idx) FILTER (warm) AS warm_users, count(DISTINCT user_idx) FILTER (NOT warm) AS cold_users,
        count(*) FILTER (route = 'bucket') AS bucket_pairs, round(count(*) FILTER (route = 'bucket') * 100 / count(*), 4) AS bucket_pct FROM hn_routed""")
 def _(t):
     return negatives.hard_negative_routes(t.click_pairs, t.click_items, warm=WARM)
