@@ -141,40 +141,78 @@ def _survivors(pairs: DataFrame, key: str, k: int) -> DataFrame:
     return pairs.groupBy(key).agg(F.sum("n").alias("total")).where(F.col("total") >= k).select(key)
 
 
-def _one_round(pairs: DataFrame, k: int) -> DataFrame:
-    kept = pairs.join(_survivors(pairs, "user_id", k), "user_id", "left_semi")
-    return kept.join(_survivors(pairs, "product_id", k), "product_id", "left_semi")
+FOLD = 16  # rounds of the k-core between two fresh sums
 
 
 class NotConverged(RuntimeError):
     """Raised when the allowed rounds end before the k-core stands still."""
 
 
-def k_core_rounds(ev: DataFrame, k: int = Config.core_k, max_rounds: int | None = Config.core_rounds, report: bool = False):
-    """Iterate on (user, item, count) pairs; return the surviving pairs and one record per round.
+def _sides(pairs: DataFrame) -> DataFrame:
+    """(is_user, key, n): every pair seen from its user and from its item."""
+    users = pairs.select(F.lit(True).alias("is_user"), F.col("user_id").alias("key"), "n")
+    return users.union(pairs.select(F.lit(False), "product_id", "n"))
+
+
+def _degrees(pairs: DataFrame) -> DataFrame:
+    return scale.cut_lineage(_sides(pairs).groupBy("is_user", "key").agg(F.sum("n").alias("total")))
+
+
+def _keys(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where("is_user").select(F.col("key").alias("user_id")), rows.where("NOT is_user").select(F.col("key").alias("product_id"))
+
 
-    The rounds never touch the event rows: counts add up over pairs, and a filter only ever removes
-    more. Each round is checkpointed, and the loop goes on until the event count stands still;
-    with ``max_rounds`` it fails if that takes longer. Users and items per round are counted only
-    for a report.
+def _without(pairs: DataFrame, dead: DataFrame | None) -> DataFrame:
+    if dead is None:
+        return pairs
+    users, items = _keys(dead)
+    return pairs.join(users, "user_id", "left_anti").join(items, "product_id", "left_anti")
+
+
+def k_core_rounds(ev: DataFrame, k: int = Config.core_k, max_rounds: int | None = Config.core_rounds, report: bool = False):
+    """Peel (user, item, count) pairs; return the surviving pairs and one record per round.
+
+    Degrees are summed once and stored. From then on only what a round removes moves: the pairs of the
+    keys that fell below k are taken out of the stored pairs (a filter where these keys are few, else a
+    join), and their counts are subtracted from the degrees of the keys on their other side. Only keys
+    touched in this way can fall next. When half of the stored pairs are gone, or after ``FOLD`` rounds,
+    the rest is written anew, so plans stay short.
+    The loop goes on until a round removes nothing; with ``max_rounds`` it fails if that takes longer.
     """
-    extra = (
-        (F.count_distinct("user_id").alias("users"), F.count_distinct("product_id").alias("items")) if report else ()
-    )
-    events = F.coalesce(F.sum("n"), F.lit(0)).alias("events")
-    pairs = scale.cut_lineage(_pairs(ev))
-    before = pairs.agg(events).first()["events"]
-    rounds = []
+    every = scale.cut_lineage(_pairs(ev))
+    before = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # Events without a user or item count for no key; they go with the first round.
+    pairs = every.where("user_id IS NOT NULL AND product_id IS NOT NULL")
+    base = _degrees(pairs)
+    sizes = base.agg(F.count_if("is_user").alias("users"), F.count_if(~F.col("is_user")).alias("items"), F.coalesce(F.sum(F.when(F.col("is_user"), F.col("total"))), F.lit(0)).alias("events")).first()
+    users, items, events = sizes
+    stored, weak, dead, history, rounds = events, base.where(F.col("total") < k), None, None, []
     for i in itertools.count(1):
         if max_rounds is not None and i > max_rounds:
             raise NotConverged(f"the {k}-core still shrank in round {max_rounds}")
-        pairs = scale.cut_lineage(_one_round(pairs, k))
-        size = pairs.agg(events, *extra).first()
-        rounds.append((i, *size, before - size["events"]))
-        if size["events"] == before:
-            break
-        before = size["events"]
-    return pairs, rounds
+        weak_users, weak_items = _keys(weak)
+        of_items = pairs.join(weak_items, "product_id", "left_semi").join(weak_users, "user_id", "left_anti")
+        fallen = pairs.join(weak_users, "user_id", "left_semi").unionByName(of_items)
+        removed = scale.cut_lineage(_without(fallen, dead))
+        n = removed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        if n:
+            history = removed if history is None else history.unionByName(removed)
+            touched = _sides(removed).select("is_user", "key").distinct()
+            gone = _sides(history).join(touched, ["is_user", "key"], "left_semi").groupBy("is_user", "key").agg(F.sum("n").alias("gone"))
+            state = scale.cut_lineage(base.join(gone, ["is_user", "key"]).select("is_user", "key", (F.col("total") - F.col("gone")).alias("total")))
+            if report:
+                empty = state.where("total = 0").agg(F.count_if("is_user").alias("users"), F.count_if(~F.col("is_user")).alias("items")).first()
+                users, items = users - empty["users"], items - empty["items"]
+        events -= n
+        rounds.append((i, events, *((users, items) if report else ()), before - events))
+        if before == events:
+            return _without(pairs, dead), rounds
+        before = events
+        dead = weak if dead is None else dead.unionByName(weak)
+        weak = state.where((F.col("total") > 0) & (F.col("total") < k)) if n else base.limit(0)
+        if 2 * events < stored or i % FOLD == 0:
+            pairs, dead, history, stored = scale.cut_lineage(_without(pairs, dead)), None, None, events
+            base = _degrees(pairs)
 
 
 def k_core(ev: DataFrame, k: int = Config.core_k, max_rounds: int | None = Config.core_rounds) -> DataFrame:

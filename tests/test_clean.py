@@ -1,10 +1,13 @@
 """Hand-computed cases for filters, duplicates, bots and k-core."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from clickloom import scale
 from clickloom.config import Config
 from clickloom.operators import clean, tables
 
@@ -130,3 +133,40 @@ def _scans(df):
 def test_rounds_are_stored(spark):
     few = spark.createDataFrame([(u, i) for u in range(9) for i in range(9)], "user_id long, product_id long")
     assert _scans(clean.core_simulation(few, 2, 3)) <= 16
+
+
+def plain_rounds(rows, k):
+    """(round, events, users, items, removed) by filtering all events again and again."""
+    out, before = [], len(rows)
+    for i in range(1, 1_000):
+        users, items = Counter(u for u, _ in rows), Counter(p for _, p in rows)
+        rows = [(u, p) for u, p in rows if users[u] >= k and items[p] >= k]
+        out.append((i, len(rows), len({u for u, _ in rows}), len({p for _, p in rows}), before - len(rows)))
+        if len(rows) == before:
+            return out
+        before = len(rows)
+
+
+@pytest.mark.parametrize("k", [2, 4, 7])
+def test_k_core_rounds_equal_filtering_again(spark, monkeypatch, k):
+    monkeypatch.setattr(clean, "FOLD", 3)
+    rng = random.Random(k)
+    rows = [(0 if rng.random() < 0.3 else rng.randrange(40), int(rng.paretovariate(0.7)) % 60) for _ in range(400)]
+    rows += [(100 + j, 100 + j + d) for j in range(8) for d in (0, 1)]
+    ev = spark.createDataFrame(rows, "user_id long, product_id long")
+    assert [tuple(r) for r in clean.k_core_report(ev, k).collect()] == plain_rounds(rows, k)
+
+
+def test_a_round_sends_only_what_it_removes(spark):
+    """The last rounds of a large table with a short tail neither shuffle nor write its pairs."""
+    wide = spark.range(60_000).select((F.col("id") % 300).alias("user_id"), (F.col("id") % 199).alias("product_id"))
+    tail = spark.createDataFrame([(1_000 + j, 1_000 + j + d) for j in range(6) for d in (0, 1)], "user_id long, product_id long")
+    written = []
+    cut = scale.cut_lineage
+    scale.cut_lineage = lambda df: (written.append(cut(df)), written[-1])[1]
+    try:
+        _, rounds = clean.k_core_rounds(wide.union(tail), 2)
+    finally:
+        scale.cut_lineage = cut
+    assert len(rounds) > 3
+    assert all(df.count() <= 4 for df in written[2:])
