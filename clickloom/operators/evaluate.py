@@ -6,15 +6,20 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom import scale
 from clickloom.config import PAD
 from clickloom.functions import cohort, dot, n_rows, unit
+from clickloom.operators import vectors
 from clickloom.operators.clean import high_intent
 from clickloom.operators.recommend import pairs_per_user, rec_popular
 
+POINTS = (0.1, 0.5, 0.9)  # percentiles of score spreads
+
 
 # --------------------------------------------------------------------------- ground truth
 
@@ -272,14 +277,50 @@ def _spread(values: DataFrame, column: str, prefix: str = "") -> DataFrame:
     return scale.beside(row, points.select(*[F.round(c, 6).alias(prefix + c) for c in points.columns]))
 
 
-def pairwise_cosine(vecs: DataFrame, n: int = 1000, key: str = "item_idx", seed: int = 42) -> DataFrame:
-    """Spread of cosines between different vectors of an n-row sample (n bounds the n*n scores)."""
-    part = vecs.orderBy(scale.draw(seed, key), key).limit(n).select(F.col(key).alias("a"), unit("vec").alias("va"))
-    part = scale.cut_lineage(part)
-    # The sample is spread over rows of one side; the other side is at most n vectors.
-    other = F.broadcast(part.toDF("b", "vb"))
-    scores = part.repartition(part.sparkSession.sparkContext.defaultParallelism, "a").join(other, F.col("a") != F.col("b"))
-    return _spread(scores.select(F.round(dot("va", "vb"), 9).alias("s")), "s")
+def _blocks_of(rows: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """Rows of each key (ids ``i`` and unit vectors ``v``) as lists, in blocks of about ``size``."""
+    n = rows.groupBy(*keys).agg(n_rows().alias("_n"))
+    dealt = rows.join(n, list(keys)).withColumn("block", F.pmod(F.xxhash64("i"), F.ceil(F.col("_n") / size)))
+    return dealt.groupBy(*keys, "block").agg(F.collect_list("i").alias("ids"), F.collect_list("v").alias("vecs"))
+
+
+def _spread_row(df: DataFrame, found: tuple, prefix: str) -> DataFrame:
+    _, mean, deviation, points = found
+    names = ["mean", "std", "p10", "p50", "p90"]
+    values = [None if v != v else round(float(v), 6) for v in (mean, deviation, *points)]
+    return df.sparkSession.createDataFrame([tuple(values)], ", ".join(f"{prefix}{n} double" for n in names))
+
+
+def _products(same: bool | None):
+    """Scores of two blocks of vectors a row; ``same``: only those of equal (or of different) ids."""
+
+    def scores(part: pd.DataFrame) -> np.ndarray:
+        out = [np.zeros(0)]
+        for a, va, b, vb in zip(part["a_ids"], part["a_vecs"], part["b_ids"], part["b_vecs"]):
+            s = np.round(np.stack(va) @ np.stack(vb).T, 9)
+            equal = np.asarray(a)[:, None] == np.asarray(b)[None, :]
+            out.append(s[equal if same else ~equal])
+        return np.concatenate(out)
+
+    return scores
+
+
+def _met(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every block of ``a`` beside every block of ``b`` with the same keys; a row is one product of blocks."""
+    left = a.select(*keys, F.col("ids").alias("a_ids"), F.col("vecs").alias("a_vecs"))
+    right = b.select(*keys, F.col("ids").alias("b_ids"), F.col("vecs").alias("b_vecs"))
+    met = left.join(right, list(keys))
+    return scale.cut_lineage(met.repartition(met.sparkSession.sparkContext.defaultParallelism))
+
+
+def pairwise_cosine(vecs: DataFrame, n: int = 1000, key: str = "item_idx", seed: int = 42, block: int = 256) -> DataFrame:
+    """Spread of cosines between different vectors of an n-row sample (n bounds the n*n scores).
+
+    Scores are made in products of blocks and counted; none is stored (:func:`vectors.score_spread`).
+    """
+    part = vecs.orderBy(scale.draw(seed, key), key).limit(n).select(F.lit(0).alias("all"), F.col(key).alias("i"), unit("vec").alias("v"))
+    rows = scale.cut_lineage(_blocks_of(part, ["all"], block))
+    return _spread_row(vecs, vectors.score_spread(_met(rows, rows, ["all"]), _products(False), POINTS), "")
 
 
 def paired_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -300,19 +341,19 @@ def batches(tp: DataFrame, size: int, n: int, seed: int = 42) -> DataFrame:
     return placed.withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
 
 
-def batch_scores(tp: DataFrame, uvec: DataFrame, ivec: DataFrame, size: int = 64, n: int = 4, seed: int = 42) -> DataFrame:
-    """Spread of positive and in-batch negative scores. A batch has ``size`` rows, so size^2 scores."""
-    b = batches(tp, size, n, seed)
-    u = b.join(uvec.select("user_idx", unit("vec").alias("vu")), "user_idx").select("batch", F.struct("user_idx", "item_idx").alias("row"), "vu")
-    i = b.join(ivec.select("item_idx", unit("vec").alias("vi")), "item_idx").select("batch", F.struct("user_idx", "item_idx").alias("other"), "vi")
-    # The rows of one side are dealt over all tasks; the other side is at most n * size vectors.
-    u = u.repartition(u.sparkSession.sparkContext.defaultParallelism, "row")
-    scores = scale.cut_lineage(
-        u.join(F.broadcast(i), "batch").select((F.col("row") == F.col("other")).alias("positive"), F.round(dot("vu", "vi"), 9).alias("s"))
-    )
-    row = scores.agg(F.count_if("positive").alias("n_positive"), F.count_if(~F.col("positive")).alias("n_negative"))
-    pos, neg = _spread(scores.where("positive"), "s", "pos_"), _spread(scores.where(~F.col("positive")), "s", "neg_")
-    out = scale.beside(scale.beside(row, pos), neg)
+def batch_scores(tp: DataFrame, uvec: DataFrame, ivec: DataFrame, size: int = 64, n: int = 4, seed: int = 42, block: int = 256) -> DataFrame:
+    """Spread of positive and in-batch negative scores. A batch has ``size`` rows, so size^2 scores.
+
+    A batch is cut into blocks on both sides; tasks multiply block by block and return counts, so the
+    n x size^2 scores are neither stored nor sorted, and no side is sent to all tasks.
+    """
+    b = scale.cut_lineage(batches(tp, size, n, seed).withColumn("i", F.xxhash64("user_idx", "item_idx")))
+    u = b.join(uvec.select("user_idx", unit("vec").alias("v")), "user_idx").select("batch", "i", "v")
+    i = b.join(ivec.select("item_idx", unit("vec").alias("v")), "item_idx").select("batch", "i", "v")
+    met = _met(_blocks_of(u, ["batch"], block), _blocks_of(i, ["batch"], block), ["batch"])
+    pos, neg = (vectors.score_spread(met, _products(same), POINTS) for same in (True, False))
+    row = tp.sparkSession.createDataFrame([(pos[0], neg[0])], "n_positive long, n_negative long")
+    out = scale.beside(scale.beside(row, _spread_row(tp, pos, "pos_")), _spread_row(tp, neg, "neg_"))
     return out.withColumn("gap", F.round(F.col("pos_mean") - F.col("neg_mean"), 6))
 
 

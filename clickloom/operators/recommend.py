@@ -5,18 +5,13 @@ Every recommender returns (user_idx, rank, item_idx, score), rank from 1.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom import scale
 from clickloom.config import PAD, Config
 from clickloom.functions import n_rows
-from clickloom.operators import sample, tiles
+from clickloom.operators import sample, tiles, vectors
 
 # Ranks that travel together when users walk down a ranking.
 RANK_BLOCK = 64
@@ -162,66 +157,7 @@ def rec_cooccurrence(
 # --------------------------------------------------------------------------- vectors
 
 
-def _matrix(vectors: pd.Series, normalize: bool) -> np.ndarray:
-    rows = np.stack(vectors.to_list()).astype("float64")
-    if normalize:
-        length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-        rows = rows / np.where(length > 0, length, 1.0)
-    return rows
-
-
-def _block_top(ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool, normalize: bool):
-    """Top-k of every query against one block of items, ids ascending (numpy, inside a task)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for left in batches:
-            cols = {"query_id": [], "item_idx": [], "score": []}
-            for at in range(0, len(left) if len(ids) else 0, 256):
-                part = left.iloc[at : at + 256]
-                scores = _matrix(part["vec"], normalize) @ matrix
-                for q, row in zip(part["query_id"].to_numpy(), scores):
-                    if exclude_self:
-                        row = np.where(ids == q, -np.inf, row)
-                    floor = np.partition(row, len(row) - k)[len(row) - k] if k < len(row) else -np.inf
-                    hit = np.flatnonzero((row >= floor) & np.isfinite(row))
-                    best = hit[np.argsort(-row[hit], kind="stable")][:k]
-                    cols["query_id"].append(np.full(len(best), q))
-                    cols["item_idx"].append(ids[best])
-                    cols["score"].append(row[best])
-            yield pd.DataFrame({c: np.concatenate(v) if v else np.array([]) for c, v in cols.items()}).astype(
-                {"query_id": "int64", "item_idx": "int64", "score": "float64"}
-            )
-
-    return run
-
-
-def topk_similar(
-    queries: DataFrame, items: DataFrame, k: int, normalize: bool = True, exclude_self: bool = False, block: int = 20_000
-) -> DataFrame:
-    """Exact top-k by inner product (cosine when normalised): (query_id, rank, item_idx, score).
-
-    The items go to the tasks in blocks of about ``block`` vectors, one broadcast each, so its size is
-    bounded whatever the table holds. Queries stay where they are; k rows of every query and block
-    meet in the final top-k.
-    """
-    sc = queries.sparkSession.sparkContext
-    source = queries.select(F.col("query_id").cast("long"), "vec")
-    n_blocks = max(1, math.ceil(items.count() / block))
-    best = None
-    for b in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_idx"), F.lit(n_blocks)) == b).select(F.col("item_idx").cast("long"), "vec").toPandas()
-        part = part.sort_values("item_idx")
-        matrix = _matrix(part["vec"], normalize).T if len(part) else np.zeros((0, 0))
-        shared = sc.broadcast((part["item_idx"].to_numpy(), matrix))
-
-        def run(batches, shared=shared):
-            return _block_top(*shared.value, k, exclude_self, normalize)(batches)
-
-        found = source.mapInPandas(run, "query_id long, item_idx long, score double")
-        best = found if best is None else best.unionByName(found)
-    return scale.top_per_key(best, ["query_id"], [F.desc("score"), F.asc("item_idx")], k).select(
-        "query_id", "rank", "item_idx", "score"
-    )
+topk_similar = vectors.topk
 
 
 def restrict_index(items: DataFrame, tp: DataFrame) -> DataFrame:
