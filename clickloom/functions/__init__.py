@@ -157,6 +157,31 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def mean_vector(c: Column | str) -> Column:
+    """Element-wise mean of a group's vectors; combines before the shuffle, one buffer of sums a group."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vector_to_array(Summarizer.mean(array_to_vector(F.transform(col(c), lambda x: x.cast("double")))))
+
+
+def sum_vector(c: Column | str) -> Column:
+    """Element-wise sum of a group's vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vector_to_array(Summarizer.sum(array_to_vector(F.transform(col(c), lambda x: x.cast("double")))))
+
+
+def distinct_by_bitmap(df, keys, number: str, name: str):
+    """(keys, name): different values of a non-negative long per key, counted in bitmaps of 32,768 values each.
+
+    Bitmaps of a key merge before the shuffle, whatever the number of rows, and stay 4 KiB each.
+    """
+    bits = df.groupBy(*keys, F.bitmap_bucket_number(F.col(number)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(number))).alias("_bits"))
+    return bits.groupBy(*keys).agg(F.sum(F.bitmap_count("_bits")).alias(name))
+
+
 def unit(a: Column | str) -> Column:
     """Vector scaled to length 1; a zero vector stays zero."""
     length = F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))

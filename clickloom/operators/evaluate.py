@@ -396,8 +396,32 @@ def best_run(metrics: DataFrame, metric: str = "recall_10", name: str = "model")
     return metrics.orderBy(F.desc(metric), F.asc(name)).limit(1)
 
 
+def popularity_epoch(seen: DataFrame, held: DataFrame, n_items: int, weight: Column, k: int = 50) -> DataFrame:
+    """(loss, recall): log loss and top-k recall of item shares learnt from ``seen`` on the pairs ``held``.
+
+    Shares are smoothed by one for each of ``n_items`` items, so unseen items have a finite loss.
+    """
+    counts = seen.groupBy("item_idx").agg(F.sum(weight).cast("double").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("t")).scalar()
+    top = counts.orderBy(F.desc("n"), F.asc("item_idx")).limit(k).select("item_idx", F.lit(1.0).alias("hit"))
+    met = held.select("item_idx").join(counts, "item_idx", "left").join(F.broadcast(top), "item_idx", "left")
+    share = (F.coalesce("n", F.lit(0.0)) + 1) / (total + n_items)
+    return met.agg(F.round(-F.avg(F.ln(share)), 6).alias("loss"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
+
+
+def run_correlations(metrics: DataFrame) -> DataFrame:
+    """Per run of a table of runs: correlation of loss and recall over its epochs, verdict and best epoch."""
+    out = metrics.groupBy("run").agg(
+        F.round(F.corr("loss", "recall"), 6).alias("pearson_r"), n_rows().alias("n_epochs"), F.max_by("epoch", F.struct("recall", (-F.col("epoch")).alias("first"))).alias("best_epoch")
+    )
+    return out.withColumn("verdict", _verdict(F.col("pearson_r")))
+
+
+def _verdict(r: Column) -> Column:
+    return F.when(r < -0.7, "strong negative").when(r < -0.3, "weak negative").otherwise("decoupled")
+
+
 def loss_recall_corr(metrics: DataFrame, loss: str = "loss", recall: str = "recall") -> DataFrame:
     """Pearson correlation with its verdict band."""
     out = metrics.agg(F.round(F.corr(loss, recall), 6).alias("pearson_r"), n_rows().alias("n_points"))
-    r = F.col("pearson_r")
-    return out.withColumn("verdict", F.when(r < -0.7, "strong negative").when(r < -0.3, "weak negative").otherwise("decoupled"))
+    return out.withColumn("verdict", _verdict(F.col("pearson_r")))

@@ -287,14 +287,16 @@ def user_centroid(tp: DataFrame, vecs: DataFrame, dim: int, min_score: float = 2
     )
 
 
-def assemble_users(users: DataFrame, centroid: DataFrame | None = None) -> DataFrame:
-    """(user_idx, categorical[4], dense[8]); the centroid is appended to dense when given."""
-    out = cyclic_dow(users)
+def assemble_users(users: DataFrame, centroid: DataFrame | None = None, cyclic: bool = True) -> DataFrame:
+    """(user_idx, categorical[4], dense[6], or 8 with the cyclic day); the centroid is appended to dense when given."""
+    out = cyclic_dow(users) if cyclic else users
     cats = F.array(*[F.col(c).cast("long") for c in ("top_cat_idx", "peak_hour_bucket", "preferred_dow", "has_purchase_history")])
-    dense = F.array(*[F.col(c).cast("double") for c in (*USER_ENCODED[6:], "dow_sin", "dow_cos")])
+    dense = F.array(*[F.col(c).cast("double") for c in (*USER_ENCODED[6:], *(("dow_sin", "dow_cos") if cyclic else ()))])
     if centroid is not None:
         out = out.join(centroid.select("user_idx", "centroid"), "user_idx", "left")
-        dense = F.concat(dense, F.col("centroid"))
+        # Users without any pair have no centroid row.
+        width = centroid.agg(F.max(F.size("centroid")).alias("w")).scalar()
+        dense = F.concat(dense, F.coalesce("centroid", F.array_repeat(F.lit(0.0), F.coalesce(width, F.lit(0)))))
     return out.select("user_idx", cats.alias("user_cat"), dense.alias("user_dense"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickloom import scale
 from clickloom.config import PAD, Config
-from clickloom.functions import n_rows
+from clickloom.functions import dot, n_rows, norm, sum_vector
 from clickloom.operators import sample, tiles, vectors
 
 # Ranks that travel together when users walk down a ranking.
@@ -223,3 +223,28 @@ def als_recommend(model, users: DataFrame, n: int = 20) -> DataFrame:
         F.col("user_idx").cast("long"), (F.col("_at") + 1).cast("long").alias("rank"),
         F.col("_rec.item_idx").cast("long").alias("item_idx"), F.col("_rec.rating").cast("double").alias("score"),
     )
+
+
+def als_residuals(model, tp: DataFrame, reg: float = 0.01, alpha: float = 1.0) -> DataFrame:
+    """(user_idx, residual, size): how far each user's factors are from solving their normal equations.
+
+    The last half step of the fit solves, for every user u with item factors y_i and weights c_i =
+    alpha x confidence, (Y'Y + sum c_i y_i y_i' + reg n_u) u = sum (1 + c_i) y_i. ``residual`` is the length
+    of the difference of both sides, ``size`` that of the right side. Every pair gives one multiple of
+    its item's factors; their sums combine before the shuffle.
+    """
+    items = model.itemFactors.select(F.col("id").cast("long").alias("item_idx"), F.col("features").alias("y"))
+    users = model.userFactors.select(F.col("id").cast("long").alias("user_idx"), F.col("features").alias("u"))
+    rank = model.rank
+    y = [F.get("y", F.lit(i)).cast("double") for i in range(rank)]
+    gram = items.agg(F.array(*[F.sum(y[i] * y[j]) for i in range(rank) for j in range(rank)]).alias("g")).scalar()
+    c = F.col("confidence_score").cast("double") * alpha
+    met = tp.join(items, "item_idx").join(users, "user_idx").withColumn("c", c)
+    pull, push = (1 + F.col("c")) - F.col("c") * dot("y", "u"), 1 + F.col("c")
+    scaled = met.select("user_idx", F.transform("y", lambda v: v.cast("double") * pull).alias("open"), F.transform("y", lambda v: v.cast("double") * push).alias("right"))
+    sums = scaled.groupBy("user_idx").agg(sum_vector("open").alias("open"), sum_vector("right").alias("right"), n_rows().alias("n"))
+    both = sums.join(users, "user_idx").withColumn("g", gram)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(rank - 1)), lambda i: F.slice("g", i * rank + 1, rank))
+    left = F.transform(rows, lambda r, i: dot(r, F.col("u")) + F.get("u", i).cast("double") * reg * F.col("n"))
+    gap = F.zip_with(left, "open", lambda a, b: a - b)
+    return both.select("user_idx", norm(gap).alias("residual"), norm("right").alias("size"))

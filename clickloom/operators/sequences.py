@@ -196,4 +196,4 @@ def save_sessions(sets: dict[str, DataFrame], folder: str, max_len: int = Config
     for name, df in sets.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}_sessions")
     stored = {n: df.sparkSession.read.parquet(f"{folder}/{n}_sessions") for n, df in sets.items()}
-    session_metadata(stored, max_len).coalesce(1).write.mode("overwrite").json(f"{folder}/metadata")
+    session_metadata(stored, max_len).write.mode("overwrite").json(f"{folder}/metadata")

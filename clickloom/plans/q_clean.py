@@ -130,6 +130,17 @@ def _(t):
     return shown(t.spark.table(name))
 
 
+@query("snk_02_bucketed_join", """
+SELECT user_id, count(*) AS events, any_value(n_pairs) AS n_pairs FROM clicks JOIN (SELECT user_id, count(*) AS n_pairs FROM (SELECT DISTINCT user_id, product_id FROM clicks) GROUP BY 1) USING (user_id) GROUP BY user_id""")
+def _(t):
+    stored = []
+    for df in (t.clicks, t.clicks.select("user_id", "product_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n_pairs"))):
+        path = scale.scratch_path(t.spark, "buckets")
+        stored.append(files.save_bucketed(df, "clickloom_buckets_" + path.rsplit("/", 1)[1][:12], "user_id", 8, path))
+    # Stored by user, the two tables join and group where they are.
+    return stored[0].join(stored[1].hint("merge"), "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max("n_pairs").alias("n_pairs"))
+
+
 @query("snk_03_ctas", "SELECT user_id, product_id, confidence_score FROM im")
 def _(t):
     path = scale.scratch_path(t.spark, "ctas")
@@ -161,7 +172,7 @@ def _(t):
 PRESETS = (3, 5, 8)
 cte("catalog_rows", """
 SELECT CAST(product_id AS VARCHAR) AS item_id, cat_l1 AS c1, cat_l2 AS c2, trim(lower(brand)) AS b,
-       coalesce(round(avg_price, 2), 0.0) AS price, item_total_confidence AS interactions, product_id FROM itemf""")
+       coalesce(floor(avg_price * 100 + 0.500001) / 100, 0.0) AS price, item_total_confidence AS interactions, product_id FROM itemf""")
 cte("catalog", f"""
 SELECT item_id, c1, c2, array_to_string(list_transform(string_split(b, ' '), lambda w: CASE
          WHEN w IN ('lg','hp','aeg','tcl','bmw','kia','cpu','ssd','led','rgb','usb','hdmi','tv','jbl','msn') THEN upper(w)

@@ -729,6 +729,26 @@ def _(t):
     return t.vectors.select("item_idx", F.round(fn.dot("vec", "vec"), 5).alias("dot"), F.round(fn.norm("vec"), 5).alias("norm"), F.round(mean, 5).alias("mean"))
 
 
+@query("scl_46_sets", """
+SELECT user_id, array_to_string(list_sort(list(DISTINCT category_code)), ',') AS categories, count(DISTINCT brand) AS brands FROM baskets GROUP BY 1""")
+def _(t):
+    sets = t.baskets.groupBy("user_id").agg(F.array_sort(F.collect_set("category_code")).alias("categories"), F.size(F.collect_set("brand")).cast("long").alias("brands"))
+    return sets.select("user_id", F.array_join("categories", ",").alias("categories"), "brands")
+
+
+@query("scl_46_bitmaps", "SELECT year(event_time) AS year, count(DISTINCT user_id) AS users FROM baskets GROUP BY 1")
+def _(t):
+    return fn.distinct_by_bitmap(t.baskets.withColumn("year", F.year("event_time")), ["year"], "user_id", "users")
+
+
+@query("scl_47_mean_vectors", """
+SELECT grp, CAST(i - 1 AS INT) AS dim, round(avg(vec[i]), 6) AS mean, round(sum(vec[i]), 5) AS total FROM (SELECT item_idx % 10 AS grp, vec FROM vecs), (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2""")
+def _(t):
+    out = t.vectors.groupBy((F.col("item_idx") % 10).alias("grp")).agg(fn.mean_vector("vec").alias("m"), fn.sum_vector("vec").alias("s"))
+    flat = out.select("grp", F.posexplode(F.arrays_zip("m", "s")).alias("dim", "v"))
+    return flat.select("grp", "dim", F.round("v.m", 6).alias("mean"), F.round("v.s", 5).alias("total"))
+
+
 @query("scl_50_hash", "SELECT user_id, md5(CAST(user_id AS VARCHAR)) AS fingerprint, ('0x' || substr(md5(CAST(user_id AS VARCHAR) || '|3'), 1, 15))::BIGINT AS draw FROM (SELECT DISTINCT user_id FROM baskets)")
 def _(t):
     users = t.baskets.select("user_id").distinct()

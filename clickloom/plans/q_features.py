@@ -315,6 +315,27 @@ def _(t):
     return out.select("user_idx", text_list("user_cat").alias("user_cat"), d[0].alias("d1"), d[1].alias("d6"), d[2].alias("d7"), F.size("user_dense").alias("width"))
 
 
+def user_parts(t):
+    vocabs = {"user": features.id_vocab(t.im, "user_id"), "top_cat": features.str_vocab(t.stored_user_features, "top_category")}
+    return features.encode_users(t.stored_user_features, vocabs)
+
+
+@query("fe_13_assemble_users_6", "SELECT user_idx, log_total_events AS d1, avg_purchase_price_scaled AS d6, 6 AS width FROM uenc")
+def _(t):
+    out = features.assemble_users(user_parts(t), cyclic=False)
+    return out.select("user_idx", *[F.round(F.get("user_dense", F.lit(i)), 6).alias(n) for i, n in ((0, "d1"), (5, "d6"))], F.size("user_dense").alias("width"))
+
+
+@query("fe_13_assemble_users_40", """
+SELECT e.user_idx, e.log_total_events AS d1, round(coalesce(c.c1, 0), 6) AS c1, round(coalesce(c.c32, 0), 6) AS c32, 40 AS width FROM uenc e LEFT JOIN (
+  SELECT user_idx, avg(vec[1]) AS c1, avg(vec[32]) AS c32 FROM tp JOIN vecs USING (item_idx) WHERE confidence_score >= 2 GROUP BY 1) c USING (user_idx)""")
+def _(t):
+    short = t.vectors.select("item_idx", F.slice("vec", 1, 32).alias("vec"))
+    centroids = features.user_centroid(t.pairs, short, 32)
+    out = features.assemble_users(user_parts(t), centroids)
+    return out.select("user_idx", *[F.round(F.get("user_dense", F.lit(i)), 6).alias(n) for i, n in ((0, "d1"), (8, "c1"), (39, "c32"))], F.size("user_dense").alias("width"))
+
+
 @query("fe_13_assemble_items", """
 SELECT item_idx, array_to_string([item_idx, cat_l1_idx, cat_l2_idx, brand_idx, price_bucket], ',') AS item_cat, avg_price_scaled AS d1, purchase_rate_scaled AS d3 FROM ienc""")
 def _(t):
@@ -331,6 +352,13 @@ def _(t):
     return rounded(features.log_q(t.pairs, t.items))
 
 
+@query("fe_14_log_q_high_intent", """
+SELECT i.item_idx, round(coalesce(ln(p.n / (SELECT count(*) FROM tp WHERE confidence_score >= 2)), ln(1.0 / (SELECT count(*) FROM items))), 6) AS log_q
+FROM items i LEFT JOIN (SELECT item_idx, count(*) AS n FROM tp WHERE confidence_score >= 2 GROUP BY 1) p USING (item_idx)""")
+def _(t):
+    return rounded(features.log_q(t.pairs.where("confidence_score >= 2"), t.items))
+
+
 @query("fe_15_confidence_weight", "SELECT user_idx, item_idx, round(confidence_score / avg(confidence_score) OVER (), 6) AS weight FROM tp")
 def _(t):
     return rounded(features.confidence_weight(t.pairs).select("user_idx", "item_idx", "weight"))

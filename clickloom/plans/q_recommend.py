@@ -10,6 +10,7 @@ from clickloom.operators import clean, eda, evaluate, features, recommend, seque
 from clickloom.plans.q_clean import draw_sql
 from clickloom.plans.q_features import DIM, rounded
 from clickloom.plans.registry import cte, query
+from clickloom.sources import files
 
 RECS = ("user_idx", "rank", "item_idx", "score")
 
@@ -261,6 +262,43 @@ def _(t):
     return evaluate.compare(models(t), t.truth)
 
 
+@query("rec_09_als_solved", "SELECT count(DISTINCT user_idx) AS users, count(DISTINCT user_idx) AS solved FROM ctp")
+def _(t):
+    # Half an epoch is float work on 64 factors; a wrong weighting is off by more than a tenth.
+    gaps = recommend.als_residuals(recommend.als_fit(t.click_pairs), t.click_pairs)
+    return gaps.agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("residual") <= 1e-3 * F.col("size")).alias("solved"))
+
+
+EPOCHS = (1996, 1997, 1998, 1999)
+
+
+def runs_sql(weight: str, run: str) -> str:
+    return "\nUNION ALL ".join(f"""
+SELECT '{run}' AS run, {k} AS epoch, round(-avg(ln((coalesce(c.n, 0) + 1) / ((SELECT sum({weight}) FROM dated WHERE y <= {y}) + (SELECT count(*) FROM items)))), 6) AS loss,
+       round(avg(CASE WHEN r <= 50 THEN 1.0 ELSE 0 END), 6) AS recall
+FROM held LEFT JOIN (SELECT item_idx, n, row_number() OVER (ORDER BY n DESC, item_idx) AS r FROM (SELECT item_idx, sum({weight})::DOUBLE AS n FROM dated WHERE y <= {y} GROUP BY 1)) c USING (item_idx)""" for k, y in enumerate(EPOCHS, 1))
+
+
+cte("dated", "SELECT i.item_idx, year(b.event_time) AS y, CASE b.event_type WHEN 'view' THEN 1 WHEN 'cart' THEN 2 ELSE 4 END AS w FROM baskets b JOIN items i USING (product_id)")
+cte("held", "SELECT item_idx FROM dated WHERE y = 2000")
+cte("runs", f"{runs_sql('1', 'events')}\nUNION ALL {runs_sql('w', 'weighted')}")
+
+
+@query("ev_24_table_of_runs", """
+SELECT run, pearson_r, n_epochs, CAST(best_epoch AS INT) AS best_epoch, CASE WHEN pearson_r < -0.7 THEN 'strong negative' WHEN pearson_r < -0.3 THEN 'weak negative' ELSE 'decoupled' END AS verdict
+FROM (SELECT run, round(corr(loss, recall), 6) AS pearson_r, count(*) AS n_epochs, max_by(epoch, recall - epoch * 1e-9) AS best_epoch FROM runs GROUP BY 1)""")
+def _(t):
+    path = scale.scratch_path(t.spark, "runs")
+    weight = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "cart", 2).otherwise(4)
+    dated = t.baskets.join(t.items.select("product_id", "item_idx"), "product_id").select("item_idx", F.year("event_time").alias("y"), weight.alias("w"))
+    dated, n_items = scale.cut_lineage(dated), t.items.count()
+    for run, value in (("events", F.lit(1)), ("weighted", F.col("w"))):
+        for epoch, year in enumerate(EPOCHS, 1):
+            row = evaluate.popularity_epoch(dated.where(F.col("y") <= year), dated.where("y = 2000"), n_items, value)
+            files.append_metrics(row.select(F.lit(run).alias("run"), F.lit(epoch).alias("epoch"), "loss", "recall"), path)
+    return evaluate.run_correlations(files.read_metrics(t.spark, path))
+
+
 def models(t):
     return {
         "popular": popular(t),

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterable, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,9 +55,10 @@ def bad_event_times(df: DataFrame, column: str = "event_time") -> DataFrame:
 def load_with_rejects(spark: SparkSession, paths: str | Sequence[str], max_bad: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Tolerant load: (events, rejects). Empty text is null, malformed or jagged rows are rejected.
 
-    ``rejects`` has the raw fields of every rejected row and the reason. Rejected rows are counted
-    in one pass before anything is returned; above ``max_bad`` the load fails. The header is checked
-    against the schema, so unknown columns are refused.
+    ``rejects`` has the raw fields of every rejected row and the reason. The files are parsed once:
+    rejected rows are observed while all rows are written as Parquet, and above ``max_bad`` the load
+    fails before it returns anything. The header is checked against the schema, so unknown columns
+    are refused.
     """
     corrupt = "_corrupt"
     schema = T.StructType([*RAW_EVENT_SCHEMA.fields, T.StructField(corrupt, T.StringType())])
@@ -74,12 +75,12 @@ def load_with_rejects(spark: SparkSession, paths: str | Sequence[str], max_bad:
     )
     when = F.try_to_timestamp(F.col("event_time"), F.lit(EVENT_TIME_PATTERN))
     malformed = F.col(corrupt).isNotNull() | (F.col("event_time").isNotNull() & when.isNull())
-    marked = raw.withColumn("_bad", malformed)
-    # The parser only judges fields that a query reads, so the count reads them all through a hash.
-    touch = F.max(F.xxhash64(*raw.columns)).alias("_touch")
-    bad = marked.groupBy("_bad").agg(F.count(F.lit(1)).alias("n"), touch).filter("_bad and _touch is not null").first()
-    if bad is not None and bad["n"] > max_bad:
-        raise ValueError(f"{bad['n']} malformed rows, more than the {max_bad} allowed")
+    seen = Observation()
+    marked = raw.withColumn("_bad", malformed).observe(seen, F.count_if("_bad").alias("bad"))
+    # One pass parses, writes and counts; what follows reads the written rows.
+    marked = scale.cut_lineage(marked)
+    if seen.get["bad"] > max_bad:
+        raise ValueError(f"{seen.get['bad']} malformed rows, more than the {max_bad} allowed")
     reason = F.when(F.col(corrupt).isNotNull(), "fields do not match the columns").otherwise("event_time is no time")
     fields = [f.name for f in RAW_EVENT_SCHEMA.fields]
     rejects = marked.where("_bad").select(*fields, F.col(corrupt).alias("raw_row"), reason.alias("reason"))
@@ -172,6 +173,30 @@ def save_table(df: DataFrame, name: str, path: str | None = None, partition_by:
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Overwrite a catalog table whose files are dealt out and sorted by ``key``, and return it.
+
+    Tables with equal buckets meet on the key without a shuffle, and a group by it needs none either.
+    Rows are first brought together by bucket, so there is one file a bucket.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def append_metrics(df: DataFrame, path: str) -> None:
+    """Add rows (run, epoch and figures) to a table of runs; rows of earlier runs stay."""
+    df.write.mode("append").parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The table of runs; a run and epoch that was written again counts as last written."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_modification_time").alias("_at"))
+    rest = [c for c in rows.columns if c not in ("run", "epoch", "_at")]
+    last = rows.groupBy("run", "epoch").agg(F.max_by(F.struct(*rest), "_at").alias("_row"))
+    return last.select("run", "epoch", "_row.*")
+
+
 def ctas(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Create or replace a table from a query and return the stored table; rerunning is harmless."""
     save_table(df, name, path)
@@ -190,8 +215,8 @@ def export_sorted(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Report as a JSON folder, every record of it."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Report as a JSON folder, every record of it, in as many files as its rows have partitions."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_vocab(df: DataFrame, path: str) -> None:
@@ -218,7 +243,8 @@ def build_catalog(item_features: DataFrame, n: int = 2000, presets: Sequence[int
         known("cat_l1").alias("c1"),
         known("cat_l2").alias("c2"),
         brand_title("brand").alias("brand"),
-        F.coalesce(F.round(F.col("avg_price").cast("double"), 2), F.lit(0.0)).alias("price"),
+        # Half a cent counts up. The order of summing moves a mean by less than the slack, so it can't move the cent.
+        F.coalesce(F.floor(F.col("avg_price").cast("double") * 100 + 0.500001) / 100, F.lit(0.0)).alias("price"),
         F.col("item_total_confidence").cast("long").alias("interactions"),
         "product_id",
     )

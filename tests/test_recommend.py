@@ -220,3 +220,22 @@ def test_hard_negatives_of_a_user_with_very_many_positives(spark):
     row = got.agg(F.count("*").alias("n"), F.min("negative").alias("low"), F.max("negative").alias("high"), F.count_distinct("negative").alias("d")).first()
     assert (row.n, row.low, row.high, row.d) == (3 * n, n + 1, n + 10, 10)
     assert got.groupBy("item_idx").agg(F.count_distinct("negative").alias("d")).where("d < 3").count() == 0
+
+
+def test_als_solves_its_normal_equations(spark):
+    """User factors beside numpy's solution; another weighting is found out."""
+    rng = random.Random(1)
+    rows = [(u, i, rng.randint(1, 9)) for u in range(30) for i in rng.sample(range(40), 8)]
+    tp = spark.createDataFrame(rows, "user_idx long, item_idx long, confidence_score long")
+    model = recommend.als_fit(tp, rank=4, reg=0.1, iterations=5)
+    ys = {r.id: np.array(r.features, float) for r in model.itemFactors.collect()}
+    us = {r.id: np.array(r.features, float) for r in model.userFactors.collect()}
+    gram = sum(np.outer(y, y) for y in ys.values())
+    for u, have in us.items():
+        mine = [(ys[i], c) for x, i, c in rows if x == u]
+        left = gram + sum(c * np.outer(y, y) for y, c in mine) + 0.1 * len(mine) * np.eye(4)
+        assert np.allclose(have, np.linalg.solve(left, sum((1 + c) * y for y, c in mine)), atol=1e-4)
+    right = recommend.als_residuals(model, tp, 0.1).collect()
+    assert len(right) == 30 and all(r.residual < 1e-4 * r.size for r in right)
+    wrong = recommend.als_residuals(model, tp, 0.1, alpha=2.0).collect()
+    assert all(r.residual > 1e-2 * r.size for r in wrong)
