@@ -1,4 +1,8 @@
+import base64
+import math
 import random
+import re
+from fractions import Fraction
 
 import numpy as np
 
@@ -6,7 +10,7 @@ from clickloom.llm import language
 from clickloom.llm.queries import tokenizer_path
 from tests.llm import fixtures
 
-SMALL = [b"a", b"b", b"c", b" ", b"ab", b"ba", b" a", b"abc", b"cab"]
+SMALL = [b"a", b"b", b"c", b" ", b"ab", b"ba", b" a", b"abc", b"cab", b"abcabcabcabc", b" abcabcabca"]
 
 
 def some_probability(pieces, languages=2):
@@ -23,16 +27,13 @@ def segmentations(raw):
 
 
 def place(pieces, piece):
-    if len(piece) > 8:
-        return None
-    at = int(pieces.find(np.array([int.from_bytes(piece, "big")], np.uint64))[0])
-    return at if at < len(pieces) else None
+    return pieces.place.get(piece)
 
 
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(SMALL)
     p = some_probability(pieces)
-    words = ["a", "ab", "abc", "cabab", "bbaacabc"]
+    words = ["a", "ab", "abc", "cabab", "bbaacabc", "abcabcabcabcab"]
     got = language.log_scores(pieces, p, words)
     for word, row in zip(words, got):
         total = np.zeros(2)
@@ -57,6 +58,43 @@ def test_expected_counts_match_enumeration():
     assert np.allclose(language.expected_counts(pieces, p, some, weight, column), want)
 
 
+def big_log_score(pieces, p, raw):
+    """Forward sums as exact fractions."""
+    rows = [[Fraction(float(x)) for x in row] for row in p]
+    sums = [[Fraction(1)] * p.shape[1]] + [[Fraction(0)] * p.shape[1] for _ in raw]
+    for end in range(1, len(raw) + 1):
+        for begin in range(max(0, end - 12), end):
+            i = place(pieces, raw[begin:end])
+            if i is not None:
+                sums[end] = [x + y * z for x, y, z in zip(sums[end], sums[begin], rows[i])]
+    return [math.log(x.numerator) - math.log(x.denominator) for x in sums[-1]]
+
+
+def test_words_of_forty_bytes_and_far_more():
+    pieces = language.Pieces(SMALL)
+    p = some_probability(pieces)
+    rng = random.Random(6)
+    for n in (38, 39, 40, 41, 90, 400):
+        word = "".join(rng.choice(["a", "b", "c", "abcabcabcabc"]) for _ in range(n))[:n]
+        assert np.allclose(language.log_scores(pieces, p, [word])[0], big_log_score(pieces, p, b" " + word.encode()))
+
+
+def test_long_and_short_words_count_alike(monkeypatch):
+    pieces = language.Pieces(SMALL)
+    p = some_probability(pieces)
+    some, weight, column = [b" abcabcabcabc", b" cabab", b" bbaacabcabcabcabca"], np.array([2.0, 1.0, 3.0]), np.array([0, 1, 0])
+    short = language.expected_counts(pieces, p, some, weight, column)
+    monkeypatch.setattr(language, "SHORT", 3)
+    assert np.allclose(language.expected_counts(pieces, p, some, weight, column), short)
+
+
+def test_no_piece_of_letters_is_left_out_and_marks_stay():
+    with open(tokenizer_path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        every = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+    assert set(language.read_pieces(tokenizer_path("byte_bpe_multi_50k.tiktoken"))) == {x for x in every if len(x) == 1 or re.fullmatch(rb" ?[a-z\x80-\xff]+", x)}
+    assert language.words("हिन्दी, Été² e\u0301t") == ["हिन्दी", "été²", "e\u0301t"]
+
+
 SYLLABLES = {"xx": ["ka", "to", "mi", "shu"], "yy": ["ble", "tion", "er", "the"], "zz": ["ung", "sch", "ä", "keit"]}
 
 
