@@ -20,6 +20,7 @@ doc_id stays null; repeated rows give repeated results; other columns are ignore
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -33,8 +34,6 @@ from pyspark.sql import functions as F
 from clickloom.llm import work
 
 PER_CLASS = 10_000  # labelled documents of a class used for training, about
-CANDIDATES = 5_000  # terms considered for the lexicon
-TERMS, PHRASES = 1_000, 1_000  # most terms of the lexicon, most exception phrases
 SUPPORT = 5  # toxic documents, at least, that a term must stand in and explain
 SHARE = 0.002  # the same as a share of the toxic documents
 DEPTH = 4  # terms that a toxic document asks for before it counts as explained
@@ -143,6 +142,11 @@ def _words(text: str | None) -> set[str]:
     return set(fold(text).split())
 
 
+def least_support(toxic: int) -> float:
+    """Toxic documents that a term must explain: ``SUPPORT``, a share where there are very many."""
+    return max(SUPPORT, SHARE * toxic)
+
+
 def _candidates(labelled: DataFrame, toxic: int, clean: int) -> list[tuple[str, int, int]]:
     schema, arrow = work.schemas("term string, toxic long, clean long")
 
@@ -160,11 +164,12 @@ def _candidates(labelled: DataFrame, toxic: int, clean: int) -> list[tuple[str,
         yield counted(counts)
 
     pure = F.col("toxic") / toxic / (F.col("toxic") / toxic + (F.col("clean") + 0.5) / clean)
-    least = max(SUPPORT, SHARE * toxic)
+    least = least_support(toxic)
     rows = (
         labelled.mapInArrow(run, schema).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= least) & (pure >= PURITY)).orderBy(F.desc("toxic"), F.length("term"), "term").limit(CANDIDATES)
+        .where((F.col("toxic") >= least) & (pure >= PURITY)).orderBy(F.desc("toxic"), F.length("term"), "term")
     )
+    # The sample is bounded, and so are the terms that stand in several of its documents.
     return [tuple(r) for r in rows.collect()]
 
 
@@ -182,12 +187,23 @@ def _cover(labelled: DataFrame, candidates: list[tuple[str, int, int]], weights:
         for i in row[0]:
             documents[i].add(k)
     open_ = dict.fromkeys(set().union(*documents.values()), DEPTH)
-    chosen, total = [], len(open_)
-    while documents and len(chosen) < TERMS:
-        # Documents gained times the term's weight; of equals the shorter term.
-        best = max(documents, key=lambda i: (len(documents[i] & open_.keys()) * weights[i], -len(candidates[i][0]), -i))
-        gain = documents.pop(best) & open_.keys()
-        if len(gain) < max(SUPPORT, SHARE * total):
+    chosen, least = [], least_support(len(open_))
+
+    def worth(i: int) -> tuple[float, int, int]:
+        """Documents gained times the term's weight; of equals the shorter term."""
+        return -len(documents[i] & open_.keys()) * weights[i], len(candidates[i][0]), i
+
+    # Worth only falls as documents get explained, so the first term whose worth is up to date is the best.
+    heap = [worth(i) for i in documents]
+    heapq.heapify(heap)
+    while heap:
+        best = heapq.heappop(heap)[2]
+        now = worth(best)
+        if heap and now > heap[0]:
+            heapq.heappush(heap, now)
+            continue
+        gain = documents[best] & open_.keys()
+        if len(gain) < least:
             break
         term = candidates[best][0].rstrip()
         if any(term.startswith(candidates[i][0]) for i in chosen):
@@ -222,7 +238,7 @@ def _phrases(labelled: DataFrame, lexicon: Lexicon) -> list[str]:
 
     rows = labelled.mapInArrow(run, schema).groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     harmless = rows.where((F.col("clean") >= SUPPORT) & (F.col("clean") >= 9 * F.col("toxic")))
-    return [r[0] for r in harmless.orderBy(F.desc("clean"), "phrase").limit(PHRASES).collect()]
+    return [r[0] for r in harmless.orderBy(F.desc("clean"), "phrase").collect()]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
