@@ -55,11 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name next to the checkpoints."""
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}-{name}"
+    return register_scratch(f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}-{name}")
+
+
+def register_scratch(path: str) -> str:
+    """Have :func:`remove_scratch` delete a folder too; returns its address."""
     _scratch.append(path)
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The address with its file system, as Spark resolves a bare path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete every scratch folder of this process. Frames that were stored in them end with that."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
