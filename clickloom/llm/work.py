@@ -44,9 +44,11 @@ def free_name(df: DataFrame, name: str) -> str:
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh folder address below ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}-{name}"
-    return scale.scratch_path(spark, name)
+    if not base:
+        return scale.scratch_path(spark, name)
+    # A bare path means the default file system, to tasks as to Spark.
+    base = base if ":" in base else scale.qualified(spark, base)
+    return scale.register_scratch(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}-{name}")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
