@@ -2,15 +2,15 @@
 
 Words, numbers and runs of signs and their neighbouring pairs are hashed into ``BUCKETS`` buckets.
 Two bag-of-n-grams models count them: the target over a bounded sample of documents labelled good,
-the raw one over all documents. A document's importance is the mean over its n-grams of the
-logarithm of target over raw probability. Adding ``SCALE`` times that to a Gumbel variable drawn
-from a hash of the id and taking the k largest sums samples k documents without replacement, in
-proportion to exp(SCALE * importance).
+the raw one over all documents. A document's importance is the logarithm of its probability in the
+target model over that in the raw one: the sum over its n-grams. Adding it to a Gumbel variable
+drawn from a hash of the id and taking the k largest sums samples k documents without replacement,
+in proportion to target over raw probability. Long texts bring more evidence either way.
 
 Counts leave each task as one row per bucket; documents are never shuffled. Places in the sample
 come from a range sort of (id, sum) pairs, not from one task.
 
-Defined cases: a null text, or one without n-grams, has importance -``SCALE`` (last of all);
+Defined cases: a null text, or one without n-grams, has importance ``NOTHING`` (last of all);
 labels with a null id or quality are left out, of contradicting labels of an id the worse counts;
 without good examples all importances are 0; ties go to the smaller doc_id; rows that repeat a
 doc_id draw the same variable; a null doc_id stays null; empty tables give empty results; other
@@ -33,7 +33,7 @@ from clickloom.llm import work
 
 BUCKETS = 1 << 14
 TARGET = 20_000  # good documents that the target model reads, about
-SCALE = 20.0
+NOTHING = -1e12  # importance of a text without n-grams
 KEEP = 0.5  # share of the documents that the sample takes
 SMOOTHING = 1.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -104,7 +104,7 @@ def importance(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
         def run(texts: list) -> list:
             found = [hasher(t) for t in texts]
-            return [[float(values[x].mean()) if x.size else -SCALE for x in found]]
+            return [[float(values[x].sum()) if x.size else NOTHING for x in found]]
 
         return run
 
@@ -115,7 +115,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, limit: int
     """One row per row of ``docs``: doc_id, importance, gumbel_key, place (from 1), selected."""
     scored = importance(docs, ratios(docs, labels, limit))
     gumbel = -F.log(-F.log(work.fraction("doc_id", salt="gumbel")))
-    keyed = work.store(scored.withColumn("gumbel_key", F.col("importance") * SCALE + gumbel), "keys")
+    keyed = work.store(scored.withColumn("gumbel_key", F.col("importance") + gumbel), "keys")
     k = math.floor(keyed.count() * keep + 0.5)
     placed = scale.add_position(keyed, [F.desc("gumbel_key"), F.asc("doc_id")], "place")
     return placed.withColumn("selected", F.col("place") <= k)

@@ -34,7 +34,8 @@ def test_importance_matches_plain_counting(spark, corpus):
     smooth = lambda c: (c + 1) / (c.sum() + quality.BUCKETS)
     ratio = np.log(smooth(counts(good))) - np.log(smooth(counts(texts)))
     for r in quality.resample(docs, labels).collect():
-        assert r.importance == pytest.approx(ratio[plain_buckets(texts[r.doc_id])].mean(), rel=1e-9)
+        assert r.importance == pytest.approx(ratio[plain_buckets(texts[r.doc_id])].sum(), rel=1e-9)
+        assert abs(r.gumbel_key - r.importance) < 40
 
 
 def test_sample_is_the_top_of_the_keys(spark, corpus):
@@ -49,11 +50,19 @@ def test_sample_is_the_top_of_the_keys(spark, corpus):
     assert {r.doc_id for r in again.collect()} == {r.doc_id for r in rows if r.selected}
 
 
+def test_keys_are_gumbel_variables_beside_the_ratio(spark):
+    """Equal texts differ by the variable alone; its mean and deviation are those of the Gumbel law."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
+    keys = np.array([r.gumbel_key - r.importance for r in quality.resample(docs, labels).collect()])
+    assert abs(keys.mean() - 0.5772) < 0.04 and abs(keys.std() - np.pi / np.sqrt(6)) < 0.04
+
+
 def test_awkward_rows(spark):
     docs, labels = fixtures.awkward(spark), fixtures.labels(spark)
     rows = quality.resample(docs, labels).collect()
     assert len(rows) == len(fixtures.TEXTS)
-    assert {r.doc_id for r in rows if r.importance == -quality.SCALE} == {3, 4, 5}
+    assert {r.doc_id for r in rows if r.importance == quality.NOTHING} == {3, 4, 5}
     none = quality.resample(docs, labels.where("quality = 0"))
     assert {r.importance for r in none.where(F.col("doc_id") == 1).collect()} == {0.0}
     assert quality.resample(fixtures.empty(spark), labels).count() == 0
