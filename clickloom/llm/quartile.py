@@ -29,6 +29,7 @@ from clickloom.llm import work
 
 BUCKETS = 128
 BOUND = 200
+START = 64  # first characters of a text that may part rows of one doc_id
 _PART = 1 << 22  # bytes hashed at once
 
 
@@ -112,7 +113,9 @@ _EDGE = "block int, end string, text string"
 def chain(docs: DataFrame) -> DataFrame:
     """Every row's digest, that of its edited text, and its likeness to both and to the next document's."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartitionByRange("doc_id")
+    ordered = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Rows without doc_id, or with one and the same, still differ in how they begin.
+    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, START))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select("doc_id", "text", F.spark_partition_id().alias("block"))
     inside, arrow = work.schemas(f"doc_id {kind}, {_OWN}, {_NEXT}, {_EDGE}")
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from clickloom.llm import quartile
 from tests.llm import fixtures
@@ -54,3 +55,18 @@ def test_one_document_and_none(spark):
     one = quartile.chain(fixtures.awkward(spark).where("doc_id = 9")).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert quartile.chain(fixtures.empty(spark)).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_out_and_stay_in_order(spark):
+    """A third of the rows has no doc_id: they spread over tasks, and every row still meets its successor."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(3)
+        rows = [(None if k % 3 == 0 else k, "".join(rng.choice("abcdef ") for _ in range(rng.randint(70, 200)))) for k in range(300)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in quartile.chain(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = {(i, len(t), hashlib.sha256(quartile.edited(t, after).encode()).hexdigest()) for (i, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1])}
+    assert got == want
