@@ -239,7 +239,8 @@ def als_residuals(model, tp: DataFrame, reg: float = 0.01, alpha: float = 1.0) -
     y = [F.get("y", F.lit(i)).cast("double") for i in range(rank)]
     gram = items.agg(F.array(*[F.sum(y[i] * y[j]) for i in range(rank) for j in range(rank)]).alias("g")).scalar()
     c = F.col("confidence_score").cast("double") * alpha
-    met = tp.join(items, "item_idx").join(users, "user_idx").withColumn("c", c)
+    # Pairs without confidence carry no weight and aren't counted in n_u.
+    met = tp.where("confidence_score > 0").join(items, "item_idx").join(users, "user_idx").withColumn("c", c)
     pull, push = (1 + F.col("c")) - F.col("c") * dot("y", "u"), 1 + F.col("c")
     scaled = met.select("user_idx", F.transform("y", lambda v: v.cast("double") * pull).alias("open"), F.transform("y", lambda v: v.cast("double") * push).alias("right"))
     sums = scaled.groupBy("user_idx").agg(sum_vector("open").alias("open"), sum_vector("right").alias("right"), n_rows().alias("n"))

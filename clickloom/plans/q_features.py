@@ -132,6 +132,12 @@ def _(t):
     return recommend.co_counts(t.pairs, recommend.representative_item(t.pairs))
 
 
+@query("jn_15_cooccurrence_tiles", "SELECT * FROM co_counts")
+def _(t):
+    # Tiles of ten items: most users meet themselves in several.
+    return recommend.co_counts(t.pairs, recommend.representative_item(t.pairs), tile=10)
+
+
 @query("jn_16_train_test_users", """
 SELECT user_id, a.n AS train_events, b.n AS test_events FROM (SELECT user_id, count(*) AS n FROM btrain GROUP BY 1) a JOIN (SELECT user_id, count(*) AS n FROM btest GROUP BY 1) b USING (user_id)""")
 def _(t):

@@ -160,15 +160,24 @@ def _(t):
     return rounded(recommend.recommend_sessions(events, t.vectors, 10, DIM))
 
 
-@query("rec_08_item_knn", """
+KNN = """
 WITH n AS (SELECT item_idx, sqrt(sum(confidence_score * confidence_score)) AS w FROM ctp GROUP BY 1 HAVING sum(confidence_score * confidence_score) > 0),
      p AS (SELECT a.item_idx, b.item_idx AS neighbour, sum(a.confidence_score * b.confidence_score) AS ab FROM ctp a JOIN ctp b ON a.user_idx = b.user_idx AND a.item_idx <> b.item_idx GROUP BY 1, 2)
 SELECT item_idx, rank, neighbour, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_idx ORDER BY round(score, 12) DESC, neighbour) AS rank FROM (
-  SELECT p.item_idx, p.neighbour, ab / (x.w * y.w) AS score FROM p JOIN n x ON x.item_idx = p.item_idx JOIN n y ON y.item_idx = p.neighbour)) WHERE rank <= 20""")
+  SELECT p.item_idx, p.neighbour, ab / (x.w * y.w) AS score FROM p JOIN n x ON x.item_idx = p.item_idx JOIN n y ON y.item_idx = p.neighbour)) WHERE rank <= 20"""
+
+
+@query("rec_08_item_knn", KNN)
 def _(t):
     return rounded(recommend.item_knn(t.click_pairs, 20))
 
 
+@query("rec_08_item_knn_tiles", KNN)
+def _(t):
+    # Tiles of ten: every user of the click log has several.
+    return rounded(recommend.item_knn(t.click_pairs, 20, tile=10))
+
+
 @query("rec_09_als")
 def _(t):
     model = recommend.als_fit(t.click_pairs)
@@ -262,7 +271,7 @@ def _(t):
     return evaluate.compare(models(t), t.truth)
 
 
-@query("rec_09_als_solved", "SELECT count(DISTINCT user_idx) AS users, count(DISTINCT user_idx) AS solved FROM ctp")
+@query("rec_09_als_solved", "SELECT count(DISTINCT user_idx) AS users, count(DISTINCT user_idx) AS solved FROM ctp WHERE confidence_score > 0")
 def _(t):
     # Half an epoch is float work on 64 factors; a wrong weighting is off by more than a tenth.
     gaps = recommend.als_residuals(recommend.als_fit(t.click_pairs), t.click_pairs)
