@@ -222,7 +222,7 @@ def survivors(docs: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
                 yield work.record_batch(out, arrow)
 
     # Most rows are left out before the shuffle of the texts.
-    asked = _keyed(docs).select("row_key", "text").where(_may_be_in(chosen, "row_key"))
+    asked = _keyed(docs).select("row_key", "text").where(work.may_be_in(chosen, "row_key"))
     texts = asked.join(chosen, "row_key").select("digest", "text")
     sets = work.store(texts.mapInArrow(run, schema).withColumn("sid", F.monotonically_increasing_id()), "sets")
     # Rows of a table that are equal in doc_id and text share a key; only then a set is there twice.
@@ -230,16 +230,6 @@ def survivors(docs: DataFrame, rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return sets if twice.isEmpty() else work.store(sets.dropDuplicates(["digest"]), "sets")
 
 
-def _may_be_in(keys: DataFrame, column: str) -> Column:
-    """False only for values of the long ``column`` that ``keys`` lacks: a bit for each hash, in 2^23 bits whatever the table holds."""
-    words = 1 << 17
-    place = F.pmod(F.xxhash64(F.col(column)), F.lit(64 * words))
-    bits = keys.groupBy(F.shiftright(place, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits"))
-    every = keys.sparkSession.range(words).join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-    table = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("t")).scalar()
-    return F.getbit(F.get(table, F.shiftright(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1
-
-
 def sketch(found: np.ndarray) -> bytes:
     """Parity of the tokens by bit place: two sketches differ in at most as many bits as their sets in tokens."""
     place = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 10)

@@ -216,8 +216,8 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     A row's key is two hashes of its doc_id and text, so rows that share a doc_id, or have none, are
     decided one by one. Rows without doc_id come after all others; of rows that repeat both, one stays.
-    Only keys are shuffled to decide; the texts meet the keys that go, and only repeated rows are
-    brought together.
+    Only keys are shuffled to decide. Texts that may go, by a bit table of fixed size, meet the keys that
+    do; all others stay in place, and only repeated rows are brought together.
     """
     one, two = work.free_name(docs, "row_key"), work.free_name(docs, "row_key_2")
     text = F.col("text").cast("string")
@@ -232,8 +232,11 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     # Keys that go, and keys that stay once of several rows; all others aren't listed.
     fates = work.store(fates.where("NOT stays OR n > 1").select(F.col("one").alias(one), F.col("two").alias(two), F.col("stays").alias(work.free_name(docs, "stays"))), "fates")
     repeated = fates.where(F.col(fates.columns[2])).select(one, two)
-    kept = keyed.join(fates.select(one, two), [one, two], "left_anti").select(*docs.columns)
+    # Most rows have no fate and stay where they are; the others meet their keys.
+    listed = work.may_be_in(fates, one)
+    met = keyed.where(listed).join(fates.select(one, two), [one, two], "left_anti")
+    kept = keyed.where(~listed).unionByName(met).select(*docs.columns)
     if repeated.isEmpty():
         return kept
-    again = keyed.join(repeated, [one, two], "left_semi").dropDuplicates([one, two]).select(*docs.columns)
+    again = keyed.where(work.may_be_in(repeated, one)).join(repeated, [one, two], "left_semi").dropDuplicates([one, two]).select(*docs.columns)
     return kept.unionByName(again)
