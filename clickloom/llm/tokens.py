@@ -24,7 +24,6 @@ file and reads back empty; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import uuid
 import zlib
@@ -32,6 +31,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +45,8 @@ MAGIC = b"DACT"
 _HEAD = struct.Struct("<4sIQQIQ")
 _LEVEL = struct.Struct("<IQQQQ")
 _TYPES = {8: np.uint8, 16: np.uint16, 32: np.uint32}
-_WORDS, _CORES = 400_000, 1_000_000  # words and letter runs that a process remembers
+_WORDS, _CORES = 1 << 24, 1 << 18  # bytes of texts whose words are told apart at once, of words in one call of the tokenizer
+_KEPT = 1 << 25  # bytes of letter runs and their ids that a process remembers
 
 
 # --------------------------------------------------------------------------- the code
@@ -58,8 +59,8 @@ def pack(ids: np.ndarray, ends: np.ndarray, widths: Sequence[int] = WIDTHS, name
         last = k == len(widths) - 1
         if last and rest.size and int(rest.max()) >> width:
             raise ValueError(f"an id needs more than {sum(widths)} bits")
-        chunks = (rest & np.uint32((1 << width) - 1)).astype(_TYPES[width])
-        more = (rest >> np.uint32(width)) > 0 if not last else np.zeros(rest.size, bool)
+        chunks = rest.astype(_TYPES[width])
+        more = rest > np.uint32((1 << width) - 1) if not last else np.zeros(rest.size, bool)
         bitmap = np.packbits(more, bitorder="little")
         padded = np.zeros(-(-more.size // BLOCK) * BLOCK, bool)
         padded[: more.size] = more
@@ -133,72 +134,81 @@ class Tokens:
 # --------------------------------------------------------------------------- encoding
 
 
+def _runs(lengths: pa.Array, limit: int) -> list[tuple[int, int]]:
+    """Bounds of runs of values that are about ``limit`` bytes long together, one value at least."""
+    before = np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64) - lengths.to_numpy(zero_copy_only=False)
+    cuts = (np.flatnonzero(np.diff(before // limit)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(lengths)])) if len(lengths) else []
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never joins across it.
 
     Such a tokenizer gives a text the ids of its words, one after the other, so every distinct word
-    of a batch is encoded once, all new ones in one call with a separator word between them.
+    of a batch is encoded once. Words are told apart and put together again as Arrow columns; only
+    distinct ones, or their parts, become Python objects. Letter runs stay known from one batch to the
+    next, as two Arrow columns of at most ``_KEPT`` bytes together.
     """
 
-    #: White space to the tokenizer and to Unicode alike; what else may separate stays in the word.
-    SEPARATOR = "\x00"
-
     #: Latin letters, each one code point also after composition, then ASCII signs: to the tokenizer two
     #: runs of their own, the first lower-cased. (Contractions need an apostrophe and are not of this form.)
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        mark = self._ids(self.SEPARATOR)
-        self.mark = mark[0] if len(mark) == 1 else None
         # Only for a tokenizer that treats the two runs of a plain word apart.
         probe = ("Aé", ".;")
-        self.splits = self.mark is not None and self._ids("".join(probe)) == self._ids(probe[0].lower()) + self._ids(probe[1])
-        self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.splits = self._ids("".join(probe)) == self._ids(probe[0].lower()) + self._ids(probe[1])
+        self.cores, self.core_ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _look_up(self, new: list[str], into: dict[str, bytes]) -> None:
-        """Encode words and remember their ids."""
-        for w in [w for w in new if self.mark is None or self.SEPARATOR in w]:
-            into[w] = np.array(self._ids(w), "<u4").tobytes()
-        joined = [w for w in new if self.mark is not None and self.SEPARATOR not in w]
-        for at in range(0, len(joined), 20_000):
-            some = joined[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if cuts.size != len(some) - 1:
-                raise ValueError("the separator was not kept apart")
-            raw, bounds = ids.tobytes(), [-4, *(4 * cuts).tolist(), 4 * len(ids)]
-            for w, a, b in zip(some, bounds, bounds[1:]):
-                into[w] = raw[a + 4 : b]
-
-    def _learn(self, new: set[str]) -> None:
-        if not self.splits:
-            return self._look_up(list(new), self.words)
-        if len(self.cores) > _CORES:
-            self.cores = {"": b""}
-        plain, match = {}, self.PLAIN.fullmatch
-        for w in new:
-            if m := match(w):
-                plain[w] = m[1].lower(), m[2]
-        self._look_up(list(new - plain.keys()), self.words)
-        cores = self.cores
-        self._look_up([x for x in {x for pair in plain.values() for x in pair} if x not in cores], cores)
-        self.words.update((w, cores[a] + cores[b]) for w, (a, b) in plain.items())
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32 bits."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > _WORDS:
-            self.words = {"": b""}
-        self._learn({w for w in set().union(*split) if w not in self.words})
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _look_up(self, words: pa.Array) -> pa.Array:
+        """Ids of every word, encoded on its own, as little-endian unsigned 32 bits."""
+        ids, counts = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        for a, b in _runs(pc.binary_length(words), _CORES):
+            made = self.tokenizer.encode(words.slice(a, b - a).to_pylist(), is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(made.ids, "<u4"))
+            counts.append(np.bincount(np.array(made.word_ids, np.int64), minlength=b - a))
+        ends = 4 * np.cumsum(np.concatenate(counts))
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(ids))])
+
+    def _remember(self, words: pa.Array) -> pa.Array:
+        """Ids of letter runs; only those not known yet are encoded."""
+        places = pc.index_in(words, self.cores)
+        missing = places.is_null().to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(missing))
+        known, ids = pa.concat_arrays([self.cores, new]), pa.concat_arrays([self.core_ids, self._look_up(new)])
+        places = np.where(missing, len(self.cores) + np.cumsum(missing) - 1, pc.fill_null(places, 0).to_numpy())
+        full = known.nbytes + ids.nbytes > _KEPT
+        self.cores, self.core_ids = (pa.array([], known.type), pa.array([], ids.type)) if full else (known, ids)
+        return ids.take(pa.array(places))
+
+    def encode(self, texts: Sequence[str | None] | pa.Array, tail: bytes = b"") -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32 bits, and ``tail``."""
+        texts = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # White space to the tokenizer and to Unicode alike; what else may separate stays in the word.
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        seen = split.values.dictionary_encode()
+        words = seen.dictionary
+        parts = pc.extract_regex(words, self.PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False) & self.splits
+        parts = parts.filter(pa.array(plain))
+        cores, signs = pc.utf8_lower(parts.field("core")).dictionary_encode(), parts.field("signs").dictionary_encode()
+        known = pc.binary_join_element_wise(
+            self._remember(cores.dictionary).take(cores.indices), self._look_up(signs.dictionary).take(signs.indices), pa.scalar(b"", pa.large_binary())
+        )
+        table = pa.concat_arrays([known, self._look_up(words.filter(pa.array(~plain))), pa.array([tail], pa.large_binary())])
+        # Places in the table: of a distinct word, of every word, and of the tail after each text.
+        place = np.where(plain, np.cumsum(plain), len(known) + np.cumsum(~plain)).astype(np.int32) - np.int32(1)
+        ends = split.offsets.to_numpy()[1:].astype(np.int64)
+        ids = table.take(pa.array(np.insert(place[seen.indices.to_numpy()], ends, len(table) - 1)))
+        _, bounds, data = ids.buffers()
+        bounds = np.frombuffer(bounds, np.int64, len(ids) + 1)[np.append(0, ends + np.arange(1, len(ends) + 1))].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(bounds, bounds[1:])] if data else [b""] * len(ends)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -234,26 +244,28 @@ def write(docs: DataFrame, definition: str, where: str, end_id: int = END_ID, wi
 
         def flush():
             name = f"{uuid.uuid4().hex}.dac"
-            ends = np.cumsum([len(x) // 4 for x in held])
+            ends, raw = np.cumsum([len(x) // 4 for x in held]), b"".join(held)
+            held.clear()
             names = pa.BufferOutputStream()
             with pa.ipc.new_stream(names, pa.schema([("doc_id", ids[0].type)])) as out:
                 out.write_batch(pa.record_batch([pa.concat_arrays(ids)], names=["doc_id"]))
             store.create_dir(path, recursive=True)
             with store.open_output_stream(f"{path}/{name}") as out:
-                out.write(pack(np.frombuffer(b"".join(held), "<u4"), ends, widths, names.getvalue().to_pybytes()))
-            return work.record_batch([(name, block, files, len(held), int(ends[-1]))], arrow)
+                out.write(pack(np.frombuffer(raw, "<u4"), ends, widths, names.getvalue().to_pybytes()))
+            return work.record_batch([(name, block, files, len(ends), int(ends[-1]))], arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, work.SLICE):
-                part = batch.slice(at, work.SLICE)
-                codes = [x + tail for x in encode(part.column(1).to_pylist())]
-                block = part.column(2)[0].as_py()
-                ids.append(part.column(0))
-                held += codes
-                size += sum(map(len, codes)) // 4
-                if size >= FILE_IDS:
-                    yield flush()
-                    held, ids, size, files = [], [], 0, files + 1
+            block = batch.column(2)[0].as_py()
+            for a, b in _runs(pc.binary_length(batch.column(1)), _WORDS):
+                codes = encode(batch.column(1).slice(a, b - a), tail)
+                for at in range(0, b - a, work.SLICE):
+                    some = codes[at : at + work.SLICE]
+                    ids.append(batch.column(0).slice(a + at, len(some)))
+                    held += some
+                    size += sum(map(len, some)) // 4
+                    if size >= FILE_IDS:
+                        yield flush()
+                        ids, size, files = [], 0, files + 1
         if held:
             yield flush()
 

@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +45,34 @@ def test_words_encode_like_whole_texts(definition, monkeypatch):
         assert got == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("kept", [0, 3000, 1 << 25])
+def test_words_are_not_kept_as_objects(definition, monkeypatch, kept):
+    monkeypatch.setattr(tokens, "_KEPT", kept, raising=False)
+    encoder = tokens.WordEncoder(definition)
+    letters = "abcdefghijklmnop"
+    word = lambda i: "".join(letters[i >> s & 15] for s in (12, 8, 4, 0))
+    texts = [" ".join(f"{word(i).title()}{',.'[i % 2] if i % 3 else ''}" for i in range(at, at + 4000)) for at in range(0, 20_000, 2000)]
+    encoder.encode(texts[:1])
+    tracemalloc.start()
+    for text in texts:
+        got = np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
+        assert got == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        del got
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 500_000
+    assert encoder.cores.nbytes + encoder.core_ids.nbytes <= kept
+
+
+def test_a_tail_follows_every_text(definition):
+    encoder = tokens.WordEncoder(definition)
+    assert encoder.encode([]) == []
+    alone = encoder.encode(ODD)
+    assert [x + b"tail" for x in alone] == encoder.encode(ODD, b"tail")
+    assert alone == encoder.encode(pa.array(["x", *ODD], pa.large_string()).slice(1))
+    assert encoder.encode([None, ""]) == [b"", b""]
+
+
 def test_files_hold_every_document_in_order(spark, definition, monkeypatch):
     monkeypatch.setattr(tokens, "FILE_IDS", 30)
     docs = fixtures.awkward(spark)
