@@ -69,7 +69,8 @@ def pack(ids: np.ndarray, ends: np.ndarray, widths: Sequence[int] = WIDTHS, name
         body = [chunks.astype(chunks.dtype.newbyteorder("<")).tobytes(), bitmap.tobytes(), ranks.tobytes()]
         heads.append(_LEVEL.pack(width, rest.size, *map(len, body)))
         parts += body
-        rest = rest[more] >> np.uint32(width)
+        rest = rest[more]
+        rest >>= np.uint32(width)
         if not rest.size:
             break
     head = _HEAD.pack(MAGIC, 1, len(ends), len(ids), len(heads), len(names))

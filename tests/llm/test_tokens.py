@@ -27,6 +27,17 @@ def test_too_wide_an_id_is_refused():
         tokens.pack(np.array([1 << 20], np.uint32), np.array([1]), (8, 8))
 
 
+def test_packing_takes_a_bounded_multiple_of_the_ids():
+    draw = np.random.default_rng(1)
+    ids = draw.integers(0, 49_000, 500_000).astype(np.uint32)
+    ids[draw.random(ids.size) < 0.3] &= 255
+    tracemalloc.start()
+    tokens.pack(ids, np.arange(1000, ids.size + 1, 1000))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 9 * ids.size
+
+
 @pytest.fixture(scope="module")
 def definition():
     with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
