@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 
 from clickloom import scale
 
-QUERIES = 1_024  # queries that a task follows through the blocks together
+QUERIES = 2_048  # queries that a task follows through the blocks together
+SHELF = 20_000  # rows of whole blocks that are stored and read together
+PIECE = 4_096  # rows that are multiplied together
 HELD = 64 << 20  # bytes of blocks that a task keeps
+TASKS = 4  # of queries, for each core
 _SLACK = 1e-9  # what rounding may add to a bound
+_SINGLE = 2.0**-23  # what single precision may take from a score for each component, as a share of both lengths
 
 
 def matrix(vectors: pd.Series, normalize: bool) -> np.ndarray:
@@ -44,7 +48,7 @@ def _direction(vec: Column) -> Column:
 def store_blocks(items: DataFrame, size: int, normalize: bool) -> str:
     """Write (item_idx, vec) in blocks of ``size`` rows below a fresh folder and return its address.
 
-    ``items/block=n`` holds a block's rows, ``index`` one row per block: centre, radius, longest.
+    ``items/shelf=n`` holds the rows of neighbouring blocks, ``index`` one row per block: shelf, centre, radius, longest.
     """
     where = scale.scratch_path(items.sparkSession, "vectors")
     vec = F.transform("vec", lambda x: x.cast("double"))
@@ -54,16 +58,18 @@ def store_blocks(items: DataFrame, size: int, normalize: bool) -> str:
     rows = items.select(F.col("item_idx").cast("long"), vec.alias("vec"))
     top = F.array_max(F.transform("vec", lambda x: F.abs(x)))
     placed = scale.add_position(rows, [_direction(F.col("vec")), F.desc(top), F.asc("item_idx")], "_at", 0)
-    placed.withColumn("block", F.floor(F.col("_at") / size)).drop("_at").repartition("block").write.partitionBy("block").parquet(f"{where}/items")
+    placed = placed.withColumn("block", F.floor(F.col("_at") / size)).withColumn("shelf", F.floor(F.col("block") / max(1, SHELF // size))).drop("_at")
+    placed.repartition("shelf").write.partitionBy("shelf").parquet(f"{where}/items")
 
     def about(block: tuple, part: pd.DataFrame) -> pd.DataFrame:
         m = np.stack(part["vec"].to_list())
         centre = m.mean(axis=0)
         radius = float(np.sqrt(((m - centre) ** 2).sum(axis=1)).max())
-        return pd.DataFrame({"block": [block[0]], "centre": [centre], "radius": [radius], "longest": [float(np.sqrt((m * m).sum(axis=1)).max())]})
+        longest = float(np.sqrt((m * m).sum(axis=1)).max())
+        return pd.DataFrame({"block": [block[0]], "shelf": [part["shelf"].iloc[0]], "centre": [centre], "radius": [radius], "longest": [longest]})
 
-    stored = items.sparkSession.read.schema("item_idx long, vec array<double>, block long").parquet(f"{where}/items")
-    stored.groupBy("block").applyInPandas(about, "block long, centre array<double>, radius double, longest double").write.parquet(f"{where}/index")
+    stored = items.sparkSession.read.schema("item_idx long, vec array<double>, block long, shelf long").parquet(f"{where}/items")
+    stored.groupBy("block").applyInPandas(about, "block long, shelf long, centre array<double>, radius double, longest double").write.parquet(f"{where}/index")
     return where
 
 
@@ -76,11 +82,11 @@ class Blocks:
 
         self.read = lambda path: pq.read_table(path, filesystem=self.store, partitioning=None)
         self.store, self.path = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where.removeprefix("file:"))
-        index = self.read(f"{self.path}/index").to_pandas()
-        self.numbers = index["block"].to_numpy()
+        index = self.read(f"{self.path}/index").to_pandas().sort_values("block")
+        self.numbers, self.shelf = index["block"].to_numpy(), index["shelf"].to_numpy()
         self.centres = np.stack(index["centre"].to_list()) if len(index) else np.zeros((0, 1))
         self.radius, self.longest = index["radius"].to_numpy(), index["longest"].to_numpy()
-        self.held: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+        self.held: OrderedDict[int, tuple[np.ndarray, ...]] = OrderedDict()
         self.loads = 0
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
@@ -90,18 +96,24 @@ class Blocks:
         length = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
         return np.minimum(queries @ self.centres.T + length * self.radius, length * self.longest) + _SLACK
 
-    def load(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self.held:
-            table = self.read(f"{self.path}/items/block={self.numbers[k]}")
-            ids, vec = table.column("item_idx").to_numpy(), table.column("vec").combine_chunks()
-            order = np.argsort(ids)
+    def load(self, shelf: int) -> tuple[np.ndarray, ...]:
+        """A shelf's block numbers, ids, vectors, and these in single precision, by block."""
+        if shelf not in self.held:
+            table = self.read(f"{self.path}/items/shelf={shelf}")
+            of, ids, vec = table.column("block").to_numpy(), table.column("item_idx").to_numpy(), table.column("vec").combine_chunks()
+            order = np.lexsort((ids, of))
             rows = vec.flatten().to_numpy().reshape(len(ids), -1)[order]
-            self.held[k] = ids[order], rows
+            self.held[shelf] = of[order], ids[order], rows, single(rows)
             self.loads += 1
-            while len(self.held) > 1 and sum(m.nbytes for _, m in self.held.values()) > HELD:
+            while len(self.held) > 1 and sum(x.nbytes for some in self.held.values() for x in some) > HELD:
                 self.held.popitem(last=False)
-        self.held.move_to_end(k)
-        return self.held[k]
+        self.held.move_to_end(shelf)
+        return self.held[shelf]
+
+
+def single(rows: np.ndarray) -> np.ndarray:
+    """In single precision, unless products would leave its range."""
+    return rows.astype(np.float32) if rows.size and np.abs(rows).max() < 1e15 else rows
 
 
 class _Best:
@@ -125,26 +137,50 @@ class _Best:
 
 
 def best_of(blocks: Blocks, names: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool) -> _Best:
+    """The k best of every query, by shelves, the most promising first.
+
+    Whole pieces of a shelf are multiplied in single precision; what comes near enough to a query's k best
+    to be one of them is scored again in full, for that query alone.
+    """
     best = _Best(len(names), k)
     bounds = blocks.bounds(queries)
-    for b in np.argsort(-bounds.max(axis=0)) if bounds.size else ():
-        open_ = np.flatnonzero(bounds[:, b] >= best.floor)
-        if not open_.size:
-            continue  # later blocks may still serve queries of other bounds
-        ids, rows = blocks.load(int(b))
-        for at in range(0, open_.size, 256):
-            some = open_[at : at + 256]
-            # Sums come in another order in blocks of another shape; ties must not depend on it.
-            scores = np.round(queries[some] @ rows.T, 12)
-            for q, row in zip(some, scores):
-                best.offer(q, ids, np.where(ids == names[q], -np.inf, row) if exclude_self else row)
+    quick, length = single(queries), np.sqrt((queries * queries).sum(axis=1))
+    most = bounds.max(axis=0) if bounds.size else np.zeros(0)
+    shelves = sorted(np.unique(blocks.shelf), key=lambda x: -most[blocks.shelf == x].max()) if bounds.size else []
+    for shelf in shelves:
+        mine = np.flatnonzero(blocks.shelf == shelf)
+        open_ = bounds[:, mine] >= best.floor[:, None]
+        asking = np.flatnonzero(open_.any(axis=1))
+        if not asking.size:
+            continue  # later shelves may still serve queries of other bounds
+        of, ids, rows, low = blocks.load(int(shelf))
+        wanted = np.flatnonzero(np.isin(of, blocks.numbers[mine[open_.any(axis=0)]]))
+        longest = blocks.longest[mine].max()
+        for start in range(0, wanted.size, PIECE):
+            piece = wanted[start : start + PIECE]
+            names_, full, right = ids[piece], rows[piece], low[piece].T
+            for at in range(0, asking.size, 256):
+                some = asking[at : at + 256]
+                near = quick[some] @ right
+                slack = _SINGLE * (queries.shape[1] + 4) * length[some] * longest + _SLACK
+                least = np.nextafter((best.floor[some] - slack).astype(near.dtype), -np.inf)
+                hit = ~(near < least[:, None])
+                for r in np.flatnonzero(hit.any(axis=1)):
+                    found, q = np.flatnonzero(hit[r]), some[r]
+                    if found.size > 4 * (k + 1):  # only the k best of the piece, one more for the query itself, and what can't be told from them
+                        score = near[r][found]
+                        found = found[~(score < np.partition(score, -k - 1)[-k - 1] - 2 * slack[r])]
+                    # Sums come in another order in pieces of another shape; ties must not depend on it.
+                    scores = np.round(full[found] @ queries[q], 12)
+                    best.offer(q, names_[found], np.where(names_[found] == names[q], -np.inf, scores) if exclude_self else scores)
     return best
 
 
 def topk(queries: DataFrame, items: DataFrame, k: int, normalize: bool = True, exclude_self: bool = False, block: int = 20_000) -> DataFrame:
     """Exact top-k by inner product (cosine when normalised): (query_id, rank, item_idx, score).
 
-    ``query_id`` is a key. Queries stay where they are, and a query's list is finished in its task.
+    ``query_id`` is a key. Queries are dealt out over all cores, however few files they come in, and a
+    query's list is finished in its task.
     """
     where = store_blocks(items, block, normalize)
 
@@ -165,7 +201,8 @@ def topk(queries: DataFrame, items: DataFrame, k: int, normalize: bool = True, e
                     }
                 )
 
-    source = queries.select(F.col("query_id").cast("long"), "vec")
+    tasks = TASKS * queries.sparkSession.sparkContext.defaultParallelism
+    source = queries.select(F.col("query_id").cast("long"), "vec").repartition(tasks, "query_id")
     return source.mapInPandas(run, "query_id long, rank long, item_idx long, score double")
 
 

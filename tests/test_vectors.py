@@ -80,3 +80,25 @@ def test_batch_scores_beside_numpy(spark):
     for name, values in (("pos", pos), ("neg", neg)):
         want = [np.mean(values), np.std(values), *np.percentile(values, [10, 50, 90])]
         assert np.allclose([row[f"{name}_{c}"] for c in ("mean", "std", "p10", "p50", "p90")], want, atol=2e-6)
+
+
+def test_small_blocks_share_a_read_and_one_file_of_queries_all_cores(spark):
+    """Blocks of five rows are found again exactly, read together; queries of one partition are dealt out."""
+    rng = np.random.default_rng(6)
+    items = [(i, rng.normal(size=8)) for i in range(400)] + [(900 + i, np.full(8, 0.5)) for i in range(12)]
+    blocks = vectors.Blocks(vectors.store_blocks(frame(spark, items), 5, False))
+    best = vectors.best_of(blocks, np.array([i for i, _ in items]), np.stack([v for _, v in items]), 4, True)
+    assert len(blocks.numbers) == 83 and blocks.loads == 1
+    assert sorted((i, r, int(x)) for (i, _), ids in zip(items, best.ids) for r, x in enumerate(ids, 1)) == plain_top(items, items, 4, False, True)
+    top = vectors.topk(frame(spark, items, "query_id").coalesce(1), frame(spark, items), 4, False, True, 5)
+    assert top.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_scores_closer_than_single_precision_keep_their_order(spark):
+    """Neighbours that differ in the eighth digit, and lengths beyond single precision."""
+    items = [(i, np.r_[1.0, i * 1e-8, np.zeros(6)]) for i in range(200)]
+    for scale_ in (1.0, 1e20):
+        rows = [(i, v * scale_) for i, v in items]
+        blocks = vectors.Blocks(vectors.store_blocks(frame(spark, rows), 16, False))
+        best = vectors.best_of(blocks, np.array([1_000]), np.array([[1.0, 1.0] + [0.0] * 6]) * scale_, 5, False)
+        assert list(best.ids[0]) == [199, 198, 197, 196, 195]
