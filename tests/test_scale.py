@@ -139,3 +139,27 @@ def test_draw_depends_only_on_the_key(log):
 def test_checkpoints_use_the_configured_folder(spark, log):
     scale.cut_lineage(log.select("id"))
     assert spark.sparkContext.getCheckpointDir()
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_join_counts_the_copies_of_a_stored_table(spark, log):
+    """Files of half a megabyte are four with their copies: they are shuffled, not sent through the driver."""
+    big = spark.range(100).select(F.col("id").alias("key"))
+    for rows, sent in ((60_000, False), (100, True)):
+        small = scale.cut_lineage(spark.range(rows).select(F.col("id").alias("key"), F.xxhash64("id").alias("v")))
+        joined = scale.salted_join(big, small, ["key"], "inner")
+        assert ("BroadcastHashJoin" in joins(joined)) == sent
+        assert joined.count() == 100
+
+
+def test_a_large_table_is_not_sent_with_fewer_columns(spark):
+    text = F.concat_ws("-", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(8)])
+    whole = scale.cut_lineage(spark.range(60_000).select("id", *[text.alias(f"t{i}") for i in range(3)]))
+    rows = spark.range(50)
+    size, most = scale._estimated(whole)
+    assert size > most > 0
+    assert "BroadcastHashJoin" in joins(spark.range(50_000_000).join(scale.as_whole(rows), "id"))
+    assert "BroadcastHashJoin" not in joins(spark.range(50_000_000).join(scale.as_whole(whole), "id").select("id"))
