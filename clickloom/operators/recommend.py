@@ -40,7 +40,7 @@ def _ranked(scores: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def _unseen_top(candidates: DataFrame, tp: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    fresh = candidates.join(tp.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti")
+    fresh = candidates.join(scale.by_size(tp.select("user_idx", "item_idx")), ["user_idx", "item_idx"], "left_anti")
     return scale.top_per_key(fresh, ["user_idx"], order, n).select("user_idx", "rank", "item_idx", "score")
 
 
@@ -64,7 +64,7 @@ def _walk(users: DataFrame, ranked: DataFrame, key: str | None, reach: Column, s
 
 
 def _with_seen(users: DataFrame, tp: DataFrame) -> DataFrame:
-    return users.join(pairs_per_user(tp), "user_idx", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
+    return users.join(scale.by_size(pairs_per_user(tp)), "user_idx", "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
 
 
 # --------------------------------------------------------------------------- popularity
@@ -81,10 +81,11 @@ def _pad_popular(lists: DataFrame, tp: DataFrame, users: DataFrame, n: int) -> D
     """Fill lists shorter than n with popular items neither seen nor already listed (score 0 order kept)."""
     # The lists are read three times below.
     lists = scale.cut_lineage(lists)
-    size = lists.groupBy("user_idx").agg(n_rows().alias("_have"))
+    size = scale.by_size(lists.groupBy("user_idx").agg(n_rows().alias("_have")))
     short = users.join(size, "user_idx", "left").where(F.coalesce("_have", F.lit(0)) < n)
     popular = rec_popular(tp, short.select("user_idx"), 2 * n)
-    fresh = popular.join(lists.select("user_idx", "item_idx"), ["user_idx", "item_idx"], "left_anti")
+    # n rows a user, though near items make small files.
+    fresh = popular.join(scale.by_size(lists.select("user_idx", "item_idx")), ["user_idx", "item_idx"], "left_anti")
     joined = lists.withColumn("_tier", F.lit(0)).unionByName(fresh.withColumn("_tier", F.lit(1)))
     return scale.top_per_key(joined.withColumnRenamed("rank", "_old"), ["user_idx"], [F.asc("_tier"), F.asc("_old")], n).select(
         "user_idx", "rank", "item_idx", F.when(F.col("_tier") == 0, F.col("score")).otherwise(0.0).alias("score")
@@ -95,7 +96,7 @@ def _pad_popular(lists: DataFrame, tp: DataFrame, users: DataFrame, n: int) -> D
 
 
 def user_top_category(tp: DataFrame, items: DataFrame, category: str = "cat_l2") -> DataFrame:
-    scored = tp.join(items.select("item_idx", category), "item_idx").groupBy("user_idx", category).agg(
+    scored = tp.join(scale.by_size(items.select("item_idx", category)), "item_idx").groupBy("user_idx", category).agg(
         F.sum("confidence_score").alias("c")
     )
     return scale.top_per_key(scored, ["user_idx"], [F.desc("c"), F.asc(category)], 1).select("user_idx", category)
@@ -103,8 +104,9 @@ def user_top_category(tp: DataFrame, items: DataFrame, category: str = "cat_l2")
 
 def rec_category(tp: DataFrame, items: DataFrame, users: DataFrame, n: int = 20, category: str = "cat_l2") -> DataFrame:
     """Unseen popular items of each user's strongest category, then global popularity."""
-    users = users.select("user_idx").distinct()
-    scores = item_popularity(tp).join(items.select("item_idx", category), "item_idx")
+    # The users are read four times below, here and for the padding.
+    users = scale.by_size(scale.cut_lineage(users.select("user_idx").distinct()))
+    scores = item_popularity(tp).join(scale.by_size(items.select("item_idx", category)), "item_idx")
     top = users.join(user_top_category(tp, items, category), "user_idx")
     steps = _walk(_with_seen(top, tp), _ranked(scores, category), category, F.col("n_seen") + n)
     own = _unseen_top(steps, tp, n, [F.desc("score"), F.asc("item_idx")])
@@ -145,7 +147,8 @@ def rec_cooccurrence(
 
     ``top`` leaves out neighbours beyond that rank; by default a user goes as far as it needs.
     """
-    users = users.select("user_idx").distinct()
+    # The users are read four times below, here and for the padding.
+    users = scale.by_size(scale.cut_lineage(users.select("user_idx").distinct()))
     reps = users.join(representative_item(tp), "user_idx")
     ranked = _ranked(co_counts(tp, reps, cap).select("rep", "item_idx", F.col("n").cast("double").alias("score")), "rep")
     ranked = ranked if top is None else ranked.where(F.col("rank") <= top)
