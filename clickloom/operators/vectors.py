@@ -167,12 +167,13 @@ def best_of(blocks: Blocks, names: np.ndarray, queries: np.ndarray, k: int, excl
                 hit = ~(near < least[:, None])
                 for r in np.flatnonzero(hit.any(axis=1)):
                     found, q = np.flatnonzero(hit[r]), some[r]
-                    if found.size > 4 * (k + 1):  # only the k best of the piece, one more for the query itself, and what can't be told from them
+                    if exclude_self:
+                        found = found[names_[found] != names[q]]
+                    if found.size > 4 * k:  # only the k best of the piece, and what can't be told from them
                         score = near[r][found]
-                        found = found[~(score < np.partition(score, -k - 1)[-k - 1] - 2 * slack[r])]
+                        found = found[~(score < np.partition(score, -k)[-k] - 2 * slack[r])]
                     # Sums come in another order in pieces of another shape; ties must not depend on it.
-                    scores = np.round(full[found] @ queries[q], 12)
-                    best.offer(q, names_[found], np.where(names_[found] == names[q], -np.inf, scores) if exclude_self else scores)
+                    best.offer(q, names_[found], np.round(full[found] @ queries[q], 12))
     return best
 
 

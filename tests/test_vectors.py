@@ -102,3 +102,13 @@ def test_scores_closer_than_single_precision_keep_their_order(spark):
         blocks = vectors.Blocks(vectors.store_blocks(frame(spark, rows), 16, False))
         best = vectors.best_of(blocks, np.array([1_000]), np.array([[1.0, 1.0] + [0.0] * 6]) * scale_, 5, False)
         assert list(best.ids[0]) == [199, 198, 197, 196, 195]
+
+
+def test_an_item_that_comes_twice_takes_no_place_from_others(spark):
+    rng = np.random.default_rng(7)
+    items = [(i, rng.normal(size=8)) for i in range(120)]
+    blocks = vectors.Blocks(vectors.store_blocks(frame(spark, items + items + items), 50, False))
+    best = vectors.best_of(blocks, np.array([i for i, _ in items]), np.stack([v for _, v in items]), 4, True)
+    for q, v in items:
+        want = sorted((-round(float(v @ w), 9), i) for i, w in items * 3 if i != q)[:4]
+        assert list(best.ids[q]) == [i for _, i in want]
